@@ -1 +1,20 @@
 """Operations of a training-data pipeline; nothing else in the library imports this subpackage."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    """The numbered queries, by name."""
+    from . import quality, secrets, simhash, substring
+
+    found = [
+        quality.op2_quality_rules, secrets.op3_secret_scan, simhash.op7_simhash, substring.op10_substring_dedup,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict:
+    """DuckDB SQL for the queries that SQL can express."""
+    from . import quality, secrets
+
+    return {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL}

@@ -132,3 +132,21 @@ def chunks_of(texts, budget: int = 2_000_000):
         size += len(item[1])
     if part:
         yield part
+
+
+def map_texts(df: DataFrame, function, schema: str, rows_per_batch: int = 500) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows_per_batch`` rows, so that long texts don't pile up in one batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_per_batch):
+                yield from function(pa.Table.from_batches([batch.slice(start, rows_per_batch)]))
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    return df.mapInArrow(run, schema)
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit key of (id, text): rows that share it are repeats of one document and get one result."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), F.coalesce(text, F.lit("")))
