@@ -5,16 +5,17 @@ from __future__ import annotations
 
 def queries() -> dict:
     """The numbered queries, by name."""
-    from . import quality, secrets, simhash, substring
+    from . import bpe, decontaminate, html_extract, langid, quality, secrets, sharding, simhash, substring, warc
 
     found = [
-        quality.op2_quality_rules, secrets.op3_secret_scan, simhash.op7_simhash, substring.op10_substring_dedup,
+        decontaminate.op1_decontamination, quality.op2_quality_rules, secrets.op3_secret_scan, bpe.op4_bpe, langid.op5_language_id,
+        warc.op6_warc_revisits, simhash.op7_simhash, html_extract.op8_html_text, sharding.op9_sharding, substring.op10_substring_dedup,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
     """DuckDB SQL for the queries that SQL can express."""
-    from . import quality, secrets
+    from . import quality, secrets, warc
 
-    return {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL, "op6_warc_revisits": warc.SQL}

@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import map_texts, read_table
 
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
         yield from table.append_column(into, ids).combine_chunks().to_batches()
 
-    return map_texts(docs, run, docs.drop(into).schema.add(into, "array<int>"), 200)
+    return map_texts(docs, run, docs.drop(into).schema.add(into, ArrayType(IntegerType())), 200)
 
 
 def decode(coded: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded", pieces: bool = False) -> DataFrame:
