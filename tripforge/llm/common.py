@@ -112,6 +112,11 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     return _spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASE), offsets
 
 
+def spans_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the stretches words[start:end] of word hashes."""
+    return _spans_hash(mix64(words + np.uint64(salt)), starts, ends, _WORD_BASE)
+
+
 def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hashes of all windows of ``size`` consecutive word hashes (windows may cross texts; callers mask those)."""
     n = len(words) - size + 1

@@ -3,8 +3,8 @@
 A window of ``window`` = 50 words that two documents share holds, whole, one of the non-overlapping reference blocks of
 ``window // 2`` words into which each of them is cut. So (1) reference blocks are indexed by hash, one row per distinct
 block, and every rolling block-sized window of every document probes the index; a hit is a block seen in another
-document. (2) Hits are extended: each window of 50 words around a hit is identified by two 64-bit hashes and compared
-with the smallest document in which it starts; runs of matching windows are the maximal exact repeats. (3) The words
+document. (2) Hits are extended, by hashes, to all words that windows around them reach, and windows are
+compared with the smallest document in which they start; runs of matching windows are the maximal exact repeats. (3) The words
 they cover go.
 
 The index has one row per distinct block and the extension one aggregate per distinct window, so a passage that very many
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, hash_words, map_texts, materialize, read_table, text_key, window_hashes
+from .common import chunks_of, hash_words, map_texts, materialize, mix64, read_table, spans_hash, text_key, window_hashes
 
 WINDOW = 50
 #: Probes carry 48 bits of hash and the low 16 bits of the position in one long; false hits only cost work in (2).
@@ -70,52 +70,92 @@ def anchors(docs: DataFrame, window: int, blocks_only: bool) -> DataFrame:
 
 
 def repeat_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc, at): per document key, the positions (modulo 65536) of block-sized windows found in another document."""
+    """Rows (doc, at): per document key, the positions (modulo 65536) of block-sized windows that match a block of another document.
+
+    The matched reference blocks themselves are among them.
+    """
     mask = F.lit((1 << HASH_BITS) - 1)
-    index = anchors(docs, window, True).groupBy(F.col("v").bitwiseAND(mask).alias("h")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    place = lambda: F.shiftrightunsigned("v", HASH_BITS).cast("int").alias("at")
+    blocks = materialize(anchors(docs, window, True).select("doc", place(), F.col("v").bitwiseAND(mask).alias("h")), "blocks")
+    # written, so that the probes of a very common block can be split over tasks
+    index = materialize(blocks.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "block-index")
     probes = anchors(docs, window, False)
     hit = (probes["v"].bitwiseAND(mask) == index["h"]) & ((index["lo"] != probes["doc"]) | (index["hi"] != probes["doc"]))
-    hits = probes.join(index.hint("shuffle_hash"), hit).select("doc", F.shiftrightunsigned("v", HASH_BITS).cast("int").alias("at"))
-    return hits.groupBy("doc").agg(F.collect_set("at").alias("at"))  # bounded by the words of one text
+    hits = materialize(probes.join(index.hint("shuffle_hash"), hit).select("doc", place(), "h"), "probe-hits")
+    matched = blocks.join(hits.select("h").distinct(), "h", "left_semi")
+    return hits.select("doc", "at").unionByName(matched.select("doc", "at")).groupBy("doc").agg(F.collect_set("at").alias("at"))  # bounded by the words of one text
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc, starts): the starts of the windows whose words also start in a document with a smaller id.
+def _all_places(at: pa.Scalar, n: int, size: int) -> np.ndarray:
+    """Positions of a text of n words that a list of positions modulo 65536 stands for."""
+    low = np.asarray(at.as_py(), np.int64)
+    places = np.unique(np.concatenate([low + base for base in range(0, n, 65536)]))
+    return places[places <= n - size]
 
-    ``docs`` has doc (key of the row), doc_id and text.
-    """
-    size = window // 2
-    hits = materialize(repeat_hits(docs, window), "repeat-hits")
-    near = docs.join(hits.hint("shuffle_hash"), "doc")
+
+def _at_hits(docs: DataFrame, hits: DataFrame, places_of, hashes_of) -> DataFrame:
+    """Rows (w1, w2, doc, doc_id, start): two hashes for each place that ``places_of`` makes of a text's hits."""
 
     def run(table: pa.Table):
         keys, ids, hit = table.column("doc").to_numpy(), table.column("doc_id"), table.column("at")
         for first, hashes, offsets in _batches(table):
-            rows, starts = [], []
-            for k in range(len(offsets) - 1):
-                n = int(offsets[k + 1] - offsets[k])
-                near_at = np.unique(np.concatenate([np.asarray(hit[first + k].as_py(), np.int64) + base for base in range(0, n, 65536)]))
-                mark = np.zeros(n + 1, np.int32)
-                near_at = near_at[near_at <= n - size]
-                np.add.at(mark, np.maximum(near_at - size, 0), 1)
-                np.add.at(mark, near_at + 1, -1)
-                found = np.flatnonzero(np.cumsum(mark[: max(0, n - window + 1)]) > 0)
-                rows.append(np.full(len(found), k))
-                starts.append(found)
-            row, start = np.concatenate(rows), np.concatenate(starts)
-            at = start + offsets[row]
-            w1, w2 = (window_hashes(hashes, window, salt)[at].view(np.int64) for salt in (1, 2)) if len(at) else (np.zeros(0, np.int64),) * 2
+            places = [places_of(hit[first + k], int(offsets[k + 1] - offsets[k])) for k in range(len(offsets) - 1)]
+            row, start = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
+            w1, w2 = hashes_of(hashes, offsets, row, start) if len(start) else (np.zeros(0, np.uint64),) * 2
+            columns = [w1.view(np.int64), w2.view(np.int64), keys[first + row]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w1), pa.array(w2), pa.array(keys[first + row]), ids.take(pa.array(first + row)).combine_chunks(), pa.array(start.astype(np.int32))],
+                [*map(pa.array, columns), ids.take(pa.array(first + row)).combine_chunks(), pa.array(start.astype(np.int32))],
                 ["w1", "w2", "doc", "doc_id", "start"],
             )
 
-    found = map_texts(near.select("doc", "doc_id", "text", "at"), run, "w1 long, w2 long, doc long, doc_id long, start int")
-    found = materialize(found, "repeat-windows")
-    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    least = least.where("least < most or nulls > 0").select("w1", "w2", "least")
-    later = found.join(least, ["w1", "w2"]).where("doc_id > least or (doc_id is null and least is not null)")
-    return later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    near = docs.join(hits.hint("shuffle_hash"), "doc").select("doc", "doc_id", "text", "at")
+    return map_texts(near, run, "w1 long, w2 long, doc long, doc_id long, start int")
+
+
+def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc, starts, hits): windows whose words also start in a document with a smaller id: their starts, and the
+    blocks of which every window around them is one.
+
+    ``docs`` has doc (key of the row), doc_id and text. A hit is first extended on both sides to all that a window
+    around it can reach. Where all that hold a block agree on that whole context, the smallest of them decides for all of
+    its windows at once; only around blocks whose contexts differ are windows compared one by one.
+    """
+    size = window // 2
+    reach = window - size
+    hits = materialize(repeat_hits(docs, window), "repeat-hits")
+
+    def contexts(hashes, offsets, row, start):
+        begin = np.maximum(start - reach, 0)
+        end = np.minimum(start + window, offsets[row + 1] - offsets[row])
+        block = window_hashes(hashes, size)[start + offsets[row]]
+        left = (start - begin).astype(np.uint64)
+        return block, spans_hash(hashes, begin + offsets[row], end + offsets[row]) ^ mix64(left)
+
+    found = materialize(_at_hits(docs, hits, lambda at, n: _all_places(at, n, size), contexts), "repeat-contexts")
+    kinds = found.groupBy(F.col("w1").alias("w1")).agg(F.min("w2").alias("c1"), F.max("w2").alias("c2"), F.min("doc_id").alias("least"))
+    kinds = materialize(kinds, "block-kinds")
+    judged = found.join(kinds, "w1")
+    whole = judged.where("c1 = c2 and (doc_id > least or (doc_id is null and least is not null))")
+    whole = whole.groupBy("doc").agg(F.collect_set("start").alias("hits"))
+    mixed = materialize(judged.where("c1 != c2").groupBy("doc").agg(F.collect_set(F.col("start") % 65536).alias("at")), "mixed-hits")
+
+    def windows_at(at, n: int) -> np.ndarray:
+        places = _all_places(at, n, size)
+        mark = np.zeros(n + 1, np.int32)
+        np.add.at(mark, np.maximum(places - reach, 0), 1)
+        np.add.at(mark, places + 1, -1)
+        return np.flatnonzero(np.cumsum(mark[: n - window + 1]) > 0)
+
+    def windows(hashes, offsets, row, start):
+        at = start + offsets[row]
+        return window_hashes(hashes, window, 1)[at], window_hashes(hashes, window, 2)[at]
+
+    each = materialize(_at_hits(docs, mixed, windows_at, windows), "repeat-windows")
+    least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    least = materialize(least.where("least < most or nulls > 0").select("w1", "w2", "least"), "first-windows")
+    later = each.join(least, ["w1", "w2"]).where("doc_id > least or (doc_id is null and least is not null)")
+    alone = later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    return whole.join(alone, "doc", "full")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,22 +165,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(table: pa.Table):
         counts, gone, kept = [], [], []
-        for text, at in zip(table.column("text").to_pylist(), table.column("starts").to_pylist(), strict=True):
+        for text, at, around in zip(*(table.column(c).to_pylist() for c in ("text", "starts", "hits")), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
             n = len(words)
             counts.append(n)
-            if at:
+            if at or around:
                 mark = np.zeros(n + 1, np.int32)
-                starts_at = np.asarray(at)
-                np.add.at(mark, starts_at, 1)
-                np.add.at(mark, np.minimum(starts_at + window, n), -1)
+                for places, before, after in ((at, 0, window), (around, window - window // 2, window)):
+                    places = np.asarray(places or [], np.int64)
+                    np.add.at(mark, np.maximum(places - before, 0), 1)
+                    np.add.at(mark, np.minimum(places + after, n), -1)
                 stay = np.cumsum(mark[:n]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             gone.append(n - len(words))
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return map_texts(keyed.join(starts.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "starts"), run, "doc_id long, n_words long, n_removed long, kept string")
+    return map_texts(keyed.join(starts.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "starts", "hits"), run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple]:

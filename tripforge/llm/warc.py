@@ -139,7 +139,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
     )
     tag_then = F.when(pid % 3 == 0, F.lit('"changed"')).when(pid % 5 != 0, F.concat(F.lit("W/"), tag))
     sent = F.create_map(F.lit("etag"), tag_then, F.lit("last-modified"), F.concat(F.lit("day "), (pid % 7).cast("string")), F.lit("content-type"), F.lit("none"), F.lit("cache-control"), F.lit("max-age=600"))
-    again = pages.select((pid * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "^https?://", "HTTPS://WWW."), F.lit("#again")).alias("uri"), (pid * 10 + 5).alias("at"), F.lit(304).alias("status"), F.map_filter(sent, lambda k, v: v.isNotNull()).alias("headers"), F.lit(None).cast("string").alias("payload"))
+    again = pages.select((pid * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", r"^https?://(www\.)?", "HTTPS://WWW."), F.lit("#again")).alias("uri"), (pid * 10 + 5).alias("at"), F.lit(304).alias("status"), F.map_filter(sent, lambda k, v: v.isNotNull()).alias("headers"), F.lit(None).cast("string").alias("payload"))
     return first.unionByName(again)
 
 
