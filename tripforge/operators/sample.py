@@ -54,7 +54,7 @@ def take_exactly(df: DataFrame, keys: list[str], need: DataFrame, seed: int = 42
         F.coalesce(F.min(F.when(F.col("__upto") >= F.col("target_in_stratum"), F.col("__range"))), F.lit(BUCKETS)).alias("__edge"),
         F.max(F.col("target_in_stratum")).alias("__need"),
         F.collect_list(F.struct("__range", F.col("__upto").alias("u"))).alias("__ends"),
-    )  # at most 4,096 ranges a stratum
+    ).where("__need is not null")  # at most 4,096 ranges a stratum
     before = F.coalesce(F.array_max(F.transform(F.filter("__ends", lambda e: e["__range"] < F.col("__edge")), lambda e: e["u"])), F.lit(0))
     edge = edge.select(*keys, "__edge", (F.col("__need") - before).alias("__need"))
     zero = need.where("target_in_stratum <= 0").select(*keys, F.lit(-1).alias("__edge"), F.lit(0).cast("long").alias("__need"))
