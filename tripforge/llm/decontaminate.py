@@ -20,6 +20,7 @@ null text are ignored. Ties between windows go to the fewest edits, then to the
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -185,15 +186,15 @@ class ItemIndex:
             yield text, m, start - int(offsets[text]), size, d
 
 
-_INDEXES: dict[int, ItemIndex] = {}
+_INDEXES: dict[str, ItemIndex] = {}
 
 
-def _index(shared) -> ItemIndex:
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _INDEXES:
+def _index(name: str, shared) -> ItemIndex:
+    """The index of a block of items; a worker keeps the last one. ``name`` is the driver's own for the block."""
+    if name not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = ItemIndex(shared.value)
-    return _INDEXES[key]
+        _INDEXES[name] = ItemIndex(shared.value)
+    return _INDEXES[name]
 
 
 def item_blocks(benchmark: DataFrame, block: int = BLOCK):
@@ -215,10 +216,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     spark = docs.sparkSession
 
     def against(items: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(table: pa.Table):
-            index = _index(shared)
+            index = _index(name, shared)
             ids = table.column("doc_id").to_pylist()
             texts = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in enumerate(table.column("text").to_pylist())]
             out = []

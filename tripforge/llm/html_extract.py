@@ -196,7 +196,7 @@ def extract(page: str | None, path: str | None) -> str:
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a leading ``www.``; '' where there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1)), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]+)", 1)), F.lit(""))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
