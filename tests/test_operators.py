@@ -135,11 +135,11 @@ def test_model_input(spark):
 def test_ks_and_tvd(spark):
     a = spark.createDataFrame([(float(i % 5), "x") for i in range(300)], "v double, c string")
     b = spark.createDataFrame([(float(i % 6), "y") for i in range(200)], "v double, c string")
-    assert evaluate.ks_statistic(a, b, "v").first().value == pytest.approx(1 / 6, abs=0.01)
-    assert evaluate.tvd(a, b, "c").first().value == pytest.approx(1.0)
-    assert evaluate.tvd(a, a, "c").first().value == pytest.approx(0.0)
+    assert evaluate.ks_statistics(a, b, ["v"]).first().value == pytest.approx(1 / 6, abs=0.01)
+    assert evaluate.total_variations(a, b, ["c"]).first().value == pytest.approx(1.0)
+    assert evaluate.total_variations(a, a, ["c"]).first().value == pytest.approx(0.0)
     mixed = spark.createDataFrame([(None,), ("x",)], "c string")
-    assert evaluate.tvd(mixed, a.select("c"), "c").first().value == pytest.approx(0.5)
+    assert evaluate.total_variations(mixed, a.select("c"), ["c"]).first().value == pytest.approx(0.5)
 
 
 def test_constant_correlation_is_null(spark):

@@ -19,6 +19,7 @@ import codecs
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from pathlib import Path
 
@@ -32,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import map_texts, read_table
 
 #: Words kept in a worker's memo; beyond, it starts anew.
-MEMO = 200_000
+MEMO = 100_000
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _LATIN_LETTERS = "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == "L")
 _LATIN_NUMBERS = "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == "N")
@@ -67,7 +68,7 @@ class Vocabulary:
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(ids[a] << 20 | ids[b], (rank, ids[a + b]))
+            self.merges.setdefault(ids[a] << 20 | ids[b], rank << 20 | ids[a + b])
         self.sizes = [max(1, len(p.removesuffix(self.suffix)) if self.suffix else len(p)) for p in self.pieces]
 
 
@@ -79,35 +80,35 @@ def sufficient_lookahead(vocabulary: Vocabulary) -> int:
     then x y stands there in one continuation and x in the other. A token there can also grow to its right.
     """
     reach = [0] * len(vocabulary.pieces)
-    for key, (_, made) in sorted(vocabulary.merges.items(), key=lambda kv: kv[1][0]):
-        x, y = key >> 20, key & 0xFFFFF
+    for key, rule in sorted(vocabulary.merges.items(), key=lambda kv: kv[1]):
+        x, y, made = key >> 20, key & 0xFFFFF, rule & 0xFFFFF
         moved = vocabulary.sizes[x] + reach[y]
         reach[made] = max(reach[made], reach[x], moved)
         reach[x] = max(reach[x], moved)
     return max(reach) + max(vocabulary.sizes)
 
 
+_NONE = 1 << 62
+
+
 def merge_all(symbols: list[int], merges: dict) -> list[int]:
-    """Apply the merges in rank order, leftmost first."""
+    """Apply the merges in rank order, leftmost first. ``merges`` maps a pair (first << 20 | second) to rank << 20 | made."""
     if len(symbols) > 64:
         return _merge_long(symbols, merges)
-    while len(symbols) > 1:
-        best = None
-        for a, b in zip(symbols, symbols[1:], strict=False):
-            m = merges.get(a << 20 | b)
-            if m is not None and (best is None or m < best):
-                best, x, y = m, a, b
-        if best is None:
+    get = merges.get
+    ranks = [get(a << 20 | b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while ranks:
+        best = min(ranks)
+        if best == _NONE:
             break
-        out, k, n, made = [], 0, len(symbols), best[1]
-        while k < n:
-            if k + 1 < n and symbols[k] == x and symbols[k + 1] == y:
-                out.append(made)
-                k += 2
-            else:
-                out.append(symbols[k])
-                k += 1
-        symbols = out
+        i = ranks.index(best)
+        made = best & 0xFFFFF
+        symbols[i : i + 2] = [made]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = get(symbols[i - 1] << 20 | made, _NONE)
+        if i < len(ranks):
+            ranks[i] = get(made << 20 | symbols[i + 1], _NONE)
     return symbols
 
 
@@ -121,7 +122,7 @@ def _merge_long(symbols: list[int], merges: dict) -> list[int]:
         if i >= 0 and nxt[i] < n:
             m = merges.get(sym[i] << 20 | sym[nxt[i]])
             if m is not None:
-                heapq.heappush(heap, (m[0], i, sym[i], sym[nxt[i]], m[1]))
+                heapq.heappush(heap, (m >> 20, i, sym[i], sym[nxt[i]], m & 0xFFFFF))
 
     for i in range(n - 1):
         offer(i)
@@ -139,12 +140,28 @@ def _merge_long(symbols: list[int], merges: dict) -> list[int]:
     return [s for s in sym if s >= 0]
 
 
+class _Memo(dict):
+    """Ids by word, made on demand and forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.make(word)
+        if len(word) <= 40:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Transducer:
     """Encodes texts with one vocabulary; ``encode`` returns the ids as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, lookahead: int):
         self.v, self.lookahead = vocabulary, lookahead
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.word)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
 
     def stream(self, data, buffer_size: int | None = None):
@@ -157,7 +174,7 @@ class Transducer:
                 following = next(data, None)
                 buffer.append(inner[ahead] if following is not None else self.v.last[ahead])
                 ahead = following
-            tokens = merge_all(buffer, self.v.merges)
+            tokens = merge_all(list(buffer), self.v.merges)
             if ahead is None:
                 yield from tokens
                 return
@@ -170,18 +187,12 @@ class Transducer:
             del buffer[:at]
 
     def word(self, word: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
         data = word.encode("utf-8", "surrogatepass")
-        if len(data) <= 64:
-            inner = self.v.inner
-            ids = merge_all([*(inner[b] for b in data[:-1]), self.v.last[data[-1]]], self.v.merges)
-        else:
-            ids = list(self.stream(data))
-        out = np.array(ids, "<i4").tobytes()
-        if len(data) <= 64:
-            self.memo[word] = out
-        return out
+        if len(data) > 64:
+            return np.fromiter(self.stream(data), "<i4").tobytes()
+        inner = self.v.inner
+        ids = merge_all([*[inner[b] for b in data[:-1]], self.v.last[data[-1]]], self.v.merges)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def plain(self, text: str) -> bytes:
         """A stretch without special tokens."""
@@ -195,11 +206,7 @@ class Transducer:
             words = _LATIN.findall(text)
         except UnicodeEncodeError:
             words = _ANY.findall(text)
-        memo, word = self.memo, self.word
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            return b"".join([memo.get(w) or word(w) for w in words])
+        return b"".join(map(self.memo.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self.split is None or "<|" not in text and not any(s in text for s in self.v.special):
@@ -256,18 +263,32 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((source, sufficient_lookahead(Vocabulary(source))))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Add the token ids of a text as array<int>; other columns stay."""
+def _texts_of(v: Vocabulary, values: np.ndarray, offsets: np.ndarray, pieces: bool) -> pa.Array:
+    """Decoded text of each stretch of ids."""
+    if pieces:
+        names = v.pieces
+        out = [" ".join([names[i] for i in values[a:b].tolist()]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    else:
+        out = [Decoder(v).feed(values[a:b].tolist(), True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str = "ids", decoded: str | None = None, pieces: bool = False) -> DataFrame:
+    """Add the token ids of a text as array<int>; other columns stay. ``decoded`` names a column for the text decoded from them again."""
     shared = _share(docs.sparkSession, vocabulary_path)
 
     def run(table: pa.Table):
         t = _transducer(shared)
         coded = [t.encode(x) if x else b"" for x in table.column(text).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-        yield from table.append_column(into, ids).combine_chunks().to_batches()
+        values = np.frombuffer(b"".join(coded), "<i4")
+        out = table.append_column(into, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+        if decoded:
+            out = out.append_column(decoded, _texts_of(t.v, values, offsets, pieces))
+        yield from out.combine_chunks().to_batches()
 
-    return map_texts(docs, run, docs.drop(into).schema.add(into, ArrayType(IntegerType())), 200)
+    schema = docs.drop(into, decoded or into).schema.add(into, ArrayType(IntegerType()))
+    return map_texts(docs.drop(into, decoded or into), run, schema.add(decoded, "string") if decoded else schema, 200)
 
 
 def decode(coded: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded", pieces: bool = False) -> DataFrame:
@@ -275,16 +296,10 @@ def decode(coded: DataFrame, vocabulary_path: str, ids: str = "ids", into: str =
     shared = _share(coded.sparkSession, vocabulary_path)
 
     def run(table: pa.Table):
-        v = _transducer(shared).v
         column = table.column(ids).combine_chunks()
-        values, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        if pieces:
-            names = np.array(v.pieces, object)[values].tolist()
-            out = [" ".join(names[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        else:
-            out = [Decoder(v).feed(values[a:b].tolist(), True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield from table.drop_columns([ids]).append_column(into, pa.array(out, pa.string())).combine_chunks().to_batches()
+        offsets = column.offsets.to_numpy()
+        texts = _texts_of(_transducer(shared).v, column.flatten().to_numpy(), offsets - offsets[0], pieces)
+        yield from table.drop_columns([ids]).append_column(into, texts).combine_chunks().to_batches()
 
     return map_texts(coded, run, coded.drop(ids).schema.add(into, "string"), 200)
 
@@ -298,7 +313,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
-    path = vocabulary_path()
-    coded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    digest = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(digest, path, pieces=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, vocabulary_path(), decoded="decoded", pieces=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -92,12 +92,16 @@ def judge_lines(docs: DataFrame, text: str = "text", into: str = "quality") -> D
             F.array_join(F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
         )
 
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+        gutted = 100 * q["lost_chars"] > MAX_LOST_PERCENT * q["line_chars"]
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "lost_chars", "n_lines_removed", "clean_text"]
+        return F.struct(*[q[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & ~gutted).alias("kept"))
+
     lines = F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), F.size(split_words(x)).alias("n"), line_fails(x).alias("fails")))
-    out = docs.withColumn(into, let(split_words(body), lambda w: let(lines, lambda x: figures(w, x))))
-    q = F.col(into)
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    gutted = 100 * q["lost_chars"] > MAX_LOST_PERCENT * q["line_chars"]
-    return out.withColumn(into, q.withField("base_failed", failed).withField("kept", ~failed & ~gutted))
+    judged = let(let(split_words(body), lambda w: let(lines, lambda x: figures(w, x))), verdict)
+    # a generator of one row: a filter on the verdict stays above it, so that a text is judged once
+    return docs.drop(into).select("*", F.explode(F.array(judged)).alias(into))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,42 +13,46 @@ from ..functions.exprs import rounded
 SLICES = 512
 
 
-def ks_statistic(real: DataFrame, synthetic: DataFrame, column: str, slices: int = SLICES) -> DataFrame:
-    """One row: the two-sample Kolmogorov-Smirnov statistic over known values.
+def _long(real: DataFrame, synthetic: DataFrame, columns: list[str], value) -> DataFrame:
+    """Rows (column, v, real, synthetic): how often each value of each column occurs on either side."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in columns])
+    side = lambda df, s: df.select(F.explode(cells).alias("e"), F.lit(s).alias("s")).select("e.column", "e.v", "s")
+    both = side(real, 0).unionByName(side(synthetic, 1))
+    return both.groupBy("column", "v").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
+
 
-    Values are counted first. Slices of the value range, from a sketch, are then summed, so that running counts are made
-    within a slice and begin with what the slices before it hold; no task orders all values.
+def ks_statistics(real: DataFrame, synthetic: DataFrame, columns: list[str], slices: int = SLICES) -> DataFrame:
+    """One row a column: the two-sample Kolmogorov-Smirnov statistic over known values.
+
+    Values are counted first. Slices of each column's range, from a sketch, are then summed, so that running counts are
+    made within a slice and begin with what the slices before it hold; no task orders all values.
     """
-    side = lambda df, s: df.select(F.col(column).cast("double").alias("v"), F.lit(s).alias("s")).where("v is not null and not isnan(v)")
-    both = side(real, 0).unionByName(side(synthetic, 1))
-    counts = both.groupBy("v").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
-    cuts = both.agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10_000).alias("cuts"), F.count_if(F.col("s") == 0).alias("na"), F.count_if(F.col("s") == 1).alias("nb"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("v"))))  # one row
-    sums = placed.groupBy("slice").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    earlier = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # at most SLICES rows
-    base = sums.select("slice", F.coalesce(F.sum("sa").over(earlier), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(earlier), F.lit(0)).alias("ob"))
-    upto = W.partitionBy("slice").orderBy("v")
-    run = placed.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto)}).join(F.broadcast(base), "slice")
+    counts = _long(real, synthetic, columns, lambda c: F.col(c).cast("double")).where("v is not null and not isnan(v)")
+    cuts = counts.groupBy("column").agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10_000).alias("cuts"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    placed = counts.join(F.broadcast(cuts), "column")  # one row a column
+    placed = placed.withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = placed.groupBy("column", "slice").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    earlier = W.partitionBy("column").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # at most SLICES rows
+    base = sums.select("column", "slice", F.coalesce(F.sum("sa").over(earlier), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(earlier), F.lit(0)).alias("ob"))
+    upto = W.partitionBy("column", "slice").orderBy("v")
+    run = placed.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto)}).join(base, ["column", "slice"])
     gap = F.abs(F.try_divide(F.col("ca") + F.col("oa"), F.col("na").cast("double")) - F.try_divide(F.col("cb") + F.col("ob"), F.col("nb").cast("double")))
-    return run.agg(F.max(gap).alias("value")).select(F.lit(column).alias("column"), F.lit("continuous").alias("type"), F.lit("ks_statistic").alias("metric"), "value")
+    return run.groupBy("column").agg(F.max(gap).alias("value")).select("column", F.lit("continuous").alias("type"), F.lit("ks_statistic").alias("metric"), "value")
 
 
-def tvd(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
-    """One row: the total variation distance of a column's values, compared as text, with null as a value."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    shares = lambda df, n: df.groupBy(text.alias("v")).agg(F.count("*").alias("c")).select("v", (F.col("c") / F.sum("c").over(W.partitionBy())).alias(n))
-    both = shares(real, "p").join(shares(synthetic, "q"), "v", "full")
-    gap = F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2
-    return both.agg(gap.alias("value")).select(F.lit(column).alias("column"), F.lit("categorical").alias("type"), F.lit("tvd").alias("metric"), "value")
+def total_variations(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a column: the total variation distance of its values, compared as text, with null as a value."""
+    counts = _long(real, synthetic, columns, lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+    totals = counts.groupBy("column").agg(F.sum("a").cast("double").alias("na"), F.sum("b").cast("double").alias("nb"))
+    gap = F.sum(F.abs(F.try_divide("a", "na") - F.try_divide("b", "nb"))) / 2
+    both = counts.join(F.broadcast(totals), "column")  # one row a column
+    return both.groupBy("column").agg(gap.alias("value")).select("column", F.lit("categorical").alias("type"), F.lit("tvd").alias("metric"), "value")
 
 
 def fidelity_report(real: DataFrame, synthetic: DataFrame, continuous: list[str], categorical: list[str]) -> DataFrame:
     """One row a column: KS statistic or total variation distance."""
-    parts = [ks_statistic(real, synthetic, c) for c in continuous] + [tvd(real, synthetic, c) for c in categorical]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("value", rounded(F.col("value")))
+    parts = ([ks_statistics(real, synthetic, continuous)] if continuous else []) + ([total_variations(real, synthetic, categorical)] if categorical else [])
+    return reduce(DataFrame.unionByName, parts).withColumn("value", rounded(F.col("value")))
 
 
 def fidelity_means(report: DataFrame) -> DataFrame:
@@ -87,10 +91,9 @@ def bootstrap_generator(real: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return uniform_sample(real, n, seed)
 
 
-def evaluate_generator(real: DataFrame, test: DataFrame, generate: Callable[[DataFrame, int], DataFrame], n: int, continuous: list[str], categorical: list[str], features: list[str], **forest) -> dict:
-    """Fidelity and utility of ``generate(real, n)`` as a report."""
-    synthetic = generate(real, n)
-    report = fidelity_report(real, synthetic, continuous, categorical)
-    means = {r.metric: r.mean_value for r in fidelity_means(report).collect()}
+def evaluate_synthetic(real: DataFrame, test: DataFrame, synthetic: DataFrame, continuous: list[str], categorical: list[str], features: list[str], **forest) -> dict:
+    """Fidelity and utility of synthetic rows as a report; the frames should be written tables, since each is read several times."""
+    rows = [r.asDict() for r in fidelity_report(real, synthetic, continuous, categorical).collect()]
+    mean = lambda m: round(sum(v) / len(v), 4) if (v := [r["value"] for r in rows if r["metric"] == m and r["value"] is not None]) else None
     own, other = (forest_utility(t, test, features, **forest).first().asDict() for t in (real, synthetic))
-    return {"fidelity": [r.asDict() for r in report.collect()], "mean_ks": means.get("ks_statistic"), "mean_tvd": means.get("tvd"), "trtr": own, "tstr": other, "transfer_gap": round(own["r2"] - other["r2"], 4)}
+    return {"fidelity": rows, "mean_ks": mean("ks_statistic"), "mean_tvd": mean("tvd"), "trtr": own, "tstr": other, "transfer_gap": round(own["r2"] - other["r2"], 4)}

@@ -286,7 +286,7 @@ def qc_checks(spark, d):
     return P.qc_checks(trips.clean_trips(Q.raw_trips(spark, d)))
 
 
-@query("""with u as (select l_orderkey, l_linenumber, l_returnflag from lineitem), u2 as (select count(*) as n from u group by all)
+@query("""with u as (select l_orderkey, l_linenumber, l_returnflag from lineitem), u2 as (select count(*) as n from u group by l_orderkey, l_linenumber, l_returnflag)
 select (select sum(n) from u2)::bigint as total_rows, (select sum(n - 1) from u2)::bigint as repeated_rows, (select sum(n - 1) from (select count(*) as n from u group by l_orderkey))::bigint as repeated_values""")
 def duplicates_report(spark, d):
     return P.duplicates(Q.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey")
