@@ -95,14 +95,12 @@ def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of several texts, and the offsets at which each text's words begin (one more at the end).
 
     Callers pass a few megabytes of text at a time; the cost is a few array operations per byte.
     """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_SPACES[data]
     edges = np.diff(inside)

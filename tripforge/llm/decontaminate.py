@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 A document leaks an item if one of its windows of as many words as the item has a word edit distance of at most
-``MAX_EDITS`` = 0.2 times that number. Words are compared in ASCII lower case. Items without a word leak nowhere.
+``MAX_EDITS`` = 0.2 times that number. Words are compared case-folded. Items without a word leak nowhere.
 
 * Windows: a window within k edits holds, unmoved by more than k words, one of k + 1 equal pieces of the item, so only
   windows around such pieces can match; this loses none and leaves a small part of all windows.
@@ -90,11 +90,16 @@ def _steps_of(walks: np.ndarray, size: int) -> np.ndarray:
     return walks[:, :, : 3 * size]
 
 
+def folded(text: str | None) -> bytes:
+    """The case-folded text in UTF-8; a passage in capitals is still that passage, accents included."""
+    return (text or "").casefold().encode("utf-8", "surrogatepass")
+
+
 class ItemIndex:
     """A block of benchmark items: pieces, and LSH tables by item size."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = MAX_EDITS):
-        hashes, offsets = hash_words([t for _, t in items], lower=True)
+        hashes, offsets = hash_words([t for _, t in items])
         self.items = [(i, hashes[offsets[k] : offsets[k + 1]]) for k, (i, _) in enumerate(items)]
         self.share = share
         pieces: dict[int, list] = {}
@@ -201,7 +206,7 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK):
     """The items, at most ``block`` of them on the driver at a time."""
     part = []
     for row in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        part.append((row.item_id, row.text.encode("utf-8", "surrogatepass")))
+        part.append((row.item_id, folded(row.text)))
         if len(part) == block:
             yield part
             part = []
@@ -221,10 +226,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
         def run(table: pa.Table):
             index = _index(name, shared)
             ids = table.column("doc_id").to_pylist()
-            texts = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in enumerate(table.column("text").to_pylist())]
+            texts = [(i, folded(t)) for i, t in enumerate(table.column("text").to_pylist())]
             out = []
             for part in chunks_of(texts):
-                words, offsets = hash_words([t for _, t in part], lower=True)
+                words, offsets = hash_words([t for _, t in part])
                 out += [(ids[part[text][0]], index.items[m][0], start, size, d) for text, m, start, size, d in index.matches(words, offsets)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "n_words", "edits"])
