@@ -32,11 +32,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near copies; of rows that share its id, one."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct().hint("shuffle_hash")
-    kept = docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keep the document with the smallest id (null last) of each group of near copies; of repeated rows, one."""
+    keyed = docs.select(*COLUMNS, text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    groups = simhash_groups(keyed.select("doc_id", "text", "key"), carry=("key",))
+    first = groups.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
+    first = materialize(first.select("key"), "first-of-groups")
+    return keyed.join(first.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).drop("key")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

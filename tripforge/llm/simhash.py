@@ -85,14 +85,15 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document row: doc_id, fp and component_id, the smallest id reachable over links."""
-    rows = materialize(with_fingerprint(docs, text, ["doc_id"]), "fingerprints")
+def simhash_groups(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: doc_id, the columns ``carry``, fp, root (one fingerprint names each group) and component_id,
+    the smallest id reachable over links."""
+    rows = materialize(with_fingerprint(docs, text, ["doc_id", *carry]), "fingerprints")
     first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = connected_components(hamming_links(first.select("fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
