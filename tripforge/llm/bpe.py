@@ -34,6 +34,8 @@ from .common import map_texts, read_table
 
 #: Words kept in a worker's memo; beyond, it starts anew.
 MEMO = 100_000
+#: Ids that a decoder is fed at a time.
+FEED = 4096
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _LATIN_LETTERS = "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == "L")
 _LATIN_NUMBERS = "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == "N")
@@ -216,16 +218,24 @@ class Transducer:
 
 
 class Decoder:
-    """Turns ids into text, some at a time: keeps the bytes of an unfinished character and whether a word just ended."""
+    """Turns ids into text, some at a time: keeps the bytes of an unfinished character and whether a space is due.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.of = {s: b for b, s in enumerate(byte_symbols())}
+    With ``pieces`` the vocabulary's own strings come out with a space between them, as a tokenizer file without a decoder asks for.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pieces: bool = False):
+        self.v, self.pieces = vocabulary, pieces
+        self.of = {} if pieces else {s: b for b, s in enumerate(byte_symbols())}
         self.specials = set(vocabulary.special.values())
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
         self.open = False
 
     def feed(self, ids, final: bool = False) -> str:
+        if self.pieces:
+            names = self.v.pieces
+            joined = " ".join([names[i] for i in ids])
+            due, self.open = self.open and len(ids) > 0, self.open or len(ids) > 0
+            return " " + joined if due else joined
         out = []
         for i in ids:
             piece = self.v.pieces[i]
@@ -264,12 +274,12 @@ def _share(spark: SparkSession, path: str):
 
 
 def _texts_of(v: Vocabulary, values: np.ndarray, offsets: np.ndarray, pieces: bool) -> pa.Array:
-    """Decoded text of each stretch of ids."""
-    if pieces:
-        names = v.pieces
-        out = [" ".join([names[i] for i in values[a:b].tolist()]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    else:
-        out = [Decoder(v).feed(values[a:b].tolist(), True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    """Decoded text of each stretch of ids, fed to a decoder ``FEED`` ids at a time."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        decoder = Decoder(v, pieces)
+        parts = [decoder.feed(values[at : min(at + FEED, b)].tolist()) for at in range(a, b, FEED)]
+        out.append("".join([*parts, decoder.feed([], True)]))
     return pa.array(out, pa.string())
 
 
