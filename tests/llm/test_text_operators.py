@@ -67,6 +67,86 @@ def test_pipeline_on_nasty_and_empty_tables(spark, folder):
         assert stage(spark, docs, f"{folder}/nasty").columns == P.COLUMNS
 
 
+def test_near_dedup_keeps_one_of_each_group(spark):
+    import corpus_pipeline as P
+
+    texts = [f"document {k} " + " ".join(f"word{k}x{i}" for i in range(60)) for k in range(5)]
+    rows = [(1, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (9, texts[3]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).withColumn("key", F.lit("clash"))
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4])], key=str)
+
+
+def brute_pipeline(docs, items):
+    """The pipeline's rows (doc_id, ids) by plain loops over all lines, pairs and windows."""
+    import re
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from tripforge.llm import bpe, decontaminate, quality, secrets
+
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+
+    def line_is_bad(line):
+        n = len(words_of(line))
+        count = lambda chars: sum(line.count(c) for c in chars)
+        tests = [
+            count(quality.SYMBOLS) >= max(3, 0.3 * n), count("!?") >= max(3, 0.3 * n), n >= 4 and count(quality.UPPER) > 2 * count(quality.LOWER), count(quality.SEPARATORS) >= max(3, n / 3),
+            n <= quality.CRUMB_WORDS and not re.search(r"[.!?:;,\"”»…)]\s*$", line), n <= quality.BOILERPLATE_WORDS and any(p in line.translate({c: c + 32 for c in range(65, 91)}) for p in quality.BOILERPLATE),
+        ]
+        return n > 0 and any(tests)
+
+    kept = []
+    for i, text in docs:
+        words, lines = words_of(text or ""), (text or "").split("\n")
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        often = Counter(windows)
+        repeated = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(5)}
+        lost, whole = sum(len(x) for x in lines if line_is_bad(x)), sum(len(x) for x in lines if words_of(x))
+        if len(words) >= 10 and 100 * len(repeated) <= 20 * len(words) and 100 * lost <= quality.MAX_LOST_PERCENT * whole:
+            kept.append((i, "\n".join(x for x in lines if not line_is_bad(x))))
+    kept.sort()
+    roots = brute_simhash([t for _, t in kept])[1]
+    kept = [x for k, x in enumerate(kept) if roots[k] == k]
+
+    def leaks(text):
+        words = text.casefold().split()
+        have = Counter(words)
+        for item in items:
+            n, most = len(item), decontaminate.edits_allowed(len(item))
+            if sum((Counter(item) & have).values()) >= n - most and any(decontaminate.edit_distance(words[s : s + n], item, most) <= most for s in range(len(words) - n + 1)):
+                return True
+        return False
+
+    def masked(text):
+        parts = [(m.start(), m.end(), kind, role) for kind, role, pattern, group, least in secrets.STRONG + secrets.WEAK for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
+        near = lambda p, role: any(q[3] == role and abs(q[0] - p[0]) <= secrets.SCOPE for q in parts)
+        needs = {"weak_id": ["secret"], "weak_secret": ["id"], "endpoint": ["id", "secret"]}
+        spans = sorted(p for p in parts if all(near(p, r) for r in needs.get(p[2], [])))
+        out, at = [], 0
+        for start, end, *_ in spans:
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    return {i: library.encode(masked(t), add_special_tokens=False).ids for i, t in kept if not leaks(t)}
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline as P
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [r.text.casefold().split() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    got = {r.doc_id: r.ids for r in P.run(spark, folder).collect()}
+    assert got == brute_pipeline(docs, [x for x in items if x])
+
+
 def tables(spark, folder, **frames):
     con = duckdb.connect()
     for name, df in frames.items():
@@ -241,7 +321,7 @@ def test_decontamination_recall_and_precision(spark):
         docs.append((i, " ".join(words)))
     want = {}
     for i, text in docs:
-        words = text.lower().split()
+        words = text.casefold().split()
         for k, item in enumerate(items):
             n = len(item)
             d = min((edit_distance(words[s : s + n], item, edits_allowed(n)) for s in range(len(words) - n + 1)), default=n)
@@ -255,6 +335,15 @@ def test_decontamination_recall_and_precision(spark):
     assert exact <= set(got)
 
 
+def test_leaks_in_capitals_are_found(spark):
+    from tripforge.llm.decontaminate import find_leaks
+
+    item = "Être là où été naît, straße à côté de l'œuvre ñandú über alles ça va"
+    rows = spark.createDataFrame([(1, "X Y " + item.upper() + " Z"), (2, item.lower()), (3, "rien de cela ici")], "doc_id long, text string")
+    got = {(r.doc_id, r.edits) for r in find_leaks(rows, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 0)}
+
+
 def test_item_blocks_cover_all_items(spark):
     from tripforge.llm.decontaminate import item_blocks
 
@@ -297,6 +386,8 @@ def test_bounded_stream_and_decoder():
     ids = np.frombuffer(t.encode("wörld 😀 tail"), "<i4").tolist()
     d = bpe.Decoder(v)
     assert "".join([*(d.feed([i]) for i in ids), d.feed([], True)]).strip() == "wörld 😀 tail"
+    d = bpe.Decoder(v, pieces=True)
+    assert "".join([d.feed([]), *(d.feed([i]) for i in ids), d.feed([], True)]) == " ".join(v.pieces[i] for i in ids)
 
 
 def test_language_accuracy_on_held_out_rows(spark):
