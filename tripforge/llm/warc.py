@@ -83,7 +83,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.when(F.col("agree"), F.map_concat(stored, update)).otherwise(F.col("headers")).alias("headers"),
     )
     payloads = records.where("status = 200").select(F.col("record_id").alias("response_id"), "payload").dropDuplicates(["response_id"])
-    return merged.join(payloads, "response_id", "left").select("record_id", "at", "url", "outcome", "response_id", "headers", "payload")
+    columns = ["record_id", "at", "url", "outcome", "response_id", "headers", "payload"]
+    with_payload = merged.where("response_id is not null").join(payloads, "response_id", "left").select(*columns)
+    # the rest would all meet in the null key's task
+    rest = merged.where("response_id is null").withColumn("payload", F.lit(None).cast(payloads.schema["payload"].dataType))
+    return with_payload.unionByName(rest.select(*columns))
 
 
 def parse_warc(data: bytes):
