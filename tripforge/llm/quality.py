@@ -52,6 +52,18 @@ def line_fails(line: Column) -> Column:
     return let(split_words(line), rules)
 
 
+def _window_hashes(words: Column, size: int) -> Column:
+    """A hash of every window of ``size`` words, folded from hashes of the words, so that no word is read more than once."""
+
+    def fold(each: Column) -> Column:
+        out = each
+        for k in range(1, size):
+            out = F.zip_with(out, F.slice(each, k + 1, F.size(each) + 1), lambda a, b: F.xxhash64(a, b))
+        return F.slice(out, 1, F.greatest(F.size(each) - size + 1, F.lit(0)))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), fold)
+
+
 def repeated_window_words(words: Column, size: int = 5) -> Column:
     """Words that lie in windows of ``size`` words found twice or more in the text, first ones included."""
 
@@ -68,7 +80,7 @@ def repeated_window_words(words: Column, size: int = 5) -> Column:
         )
 
     return F.when(F.size(words) < size + 1, F.lit(0)).otherwise(
-        let(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size))), covered)
+        let(_window_hashes(words, size), covered)
     )
 
 
