@@ -11,6 +11,8 @@ Equality of 5-word windows is by 64-bit hash within one text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +38,23 @@ def _count(text: Column, chars: str) -> Column:
 def line_fails(line: Column) -> Column:
     """True for a line that a punctuation, navigation or boilerplate rule removes; lines without a word never fail."""
 
-    def rules(words: Column) -> Column:
-        n = F.size(words)
-        symbols, marks, separators = _count(line, SYMBOLS), _count(line, "!?"), _count(line, SEPARATORS)
-        decorated = ((symbols >= 3) & (symbols * 10 >= n * 3)) | ((marks >= 3) & (marks * 10 >= n * 3))
-        shouted = (n >= 4) & (_count(line, UPPER) > 2 * _count(line, LOWER))
-        menu = (separators >= 3) & (separators * 3 >= n)
-        crumb = (n <= CRUMB_WORDS) & ~F.regexp_like(line, F.lit(r"[.!?:;,\"”»…)]\s*$"))
-        low = F.translate(line, UPPER[:26], LOWER[:26])
-        boiler = F.lit(False)
-        for phrase in BOILERPLATE:
-            boiler = boiler | low.contains(phrase)
-        return (n > 0) & (decorated | shouted | menu | crumb | ((n <= BOILERPLATE_WORDS) & boiler))
+    def rules(n: Column) -> Column:
+        has = lambda pattern: F.regexp_like(line, F.lit(pattern))
+        often = lambda chars, share: let(_count(line, chars), lambda c: (c >= 3) & (c * 10 >= n * share))
+        # characters are counted only in lines where a look at the line leaves the outcome open
+        decorated = has(f"[{SYMBOLS}!?]") & (often(SYMBOLS, 3) | often("!?", 3))
+        menu = has(f"[{SEPARATORS}]") & let(_count(line, SEPARATORS), lambda c: (c >= 3) & (c * 3 >= n))
+        # more than twice as many capitals: two of them stand without a small letter between them, or there is none
+        capitals = has(f"[{UPPER}][^{LOWER}]*[{UPPER}]") | ~has(f"[{LOWER}]")
+        shouted = (n >= 4) & capitals & (_count(line, UPPER) > 2 * _count(line, LOWER))
+        crumb = (n <= CRUMB_WORDS) & ~has(r"[.!?:;,\"”»…)]\s*$")
+
+        def boiler(low: Column) -> Column:
+            return reduce(Column.__or__, [low.contains(phrase) for phrase in BOILERPLATE])
+
+        return (n > 0) & (decorated | shouted | menu | crumb | ((n <= BOILERPLATE_WORDS) & let(F.translate(line, UPPER[:26], LOWER[:26]), boiler)))
 
-    return let(split_words(line), rules)
+    return let(F.size(split_words(line)), rules)
 
 
 def _window_hashes(words: Column, size: int) -> Column:
@@ -94,8 +99,8 @@ def judge_lines(docs: DataFrame, text: str = "text", into: str = "quality") -> D
         lost = F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["fails"], F.length(x["line"])).otherwise(0))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            _count(body, SYMBOLS).cast("long").alias("n_symbols"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.when(F.regexp_like(body, F.lit(f"[{SYMBOLS}]")), _count(body, SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
             (F.size(spoken) - F.size(F.array_distinct(F.transform(spoken, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
             repeated_window_words(words).cast("long").alias("n_repeat_words"),
             total.cast("long").alias("line_chars"),
