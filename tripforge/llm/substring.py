@@ -82,8 +82,9 @@ def repeat_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     probes = anchors(docs, window, False)
     hit = (probes["v"].bitwiseAND(mask) == index["h"]) & ((index["lo"] != probes["doc"]) | (index["hi"] != probes["doc"]))
     hits = materialize(probes.join(index.hint("shuffle_hash"), hit).select("doc", place(), "h"), "probe-hits")
-    matched = blocks.join(hits.select("h").distinct(), "h", "left_semi")
-    return hits.select("doc", "at").unionByName(matched.select("doc", "at")).groupBy("doc").agg(F.collect_set("at").alias("at"))  # bounded by the words of one text
+    met = materialize(hits.select("h").distinct(), "blocks-met")  # written, so that a very common block's rows can be split over tasks
+    matched = materialize(blocks.join(met, "h", "left_semi").select("doc", "at"), "blocks-hit")
+    return hits.select("doc", "at").unionByName(matched).groupBy("doc").agg(F.collect_set("at").alias("at"))  # bounded by the words of one text
 
 
 def _all_places(at: pa.Scalar, n: int, size: int) -> np.ndarray:
