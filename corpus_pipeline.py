@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tripforge.llm.bpe import encode, vocabulary_path
 from tripforge.llm.common import materialize, read_table, text_key
 from tripforge.llm.decontaminate import find_leaks
+from tripforge.llm.near_copies import near_copy_roots
 from tripforge.llm.quality import judge_lines
 from tripforge.llm.secrets import mask_secrets, scan_secrets
 from tripforge.llm.simhash import simhash_groups
@@ -32,9 +33,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id (null last) of each group of near copies; of repeated rows, one."""
+    """Keep the document with the smallest id (null last) of each group of near copies; of repeated rows, one.
+
+    Links are those of op7, and all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     keyed = docs.select(*COLUMNS, text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    groups = simhash_groups(keyed.select("doc_id", "text", "key"), carry=("key",))
+    groups = materialize(simhash_groups(keyed.select("doc_id", "text", "key"), carry=("key",)), "groups")
+    merged = near_copy_roots(keyed.select("key", "text").dropDuplicates(["key"]), groups.select("key", "root").dropDuplicates(["key"]))
+    groups = groups.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
     first = groups.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
     first = materialize(first.select("key"), "first-of-groups")
     return keyed.join(first.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).drop("key")

@@ -77,6 +77,33 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert got == sorted([(1, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4])], key=str)
 
 
+def test_near_dedup_links_five_word_similarity_from_four_fifths(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    texts = []
+    for size, changes in [(200, 1), (200, 2), (200, 4), (200, 8), (500, 8), (500, 20), (1000, 16)] * 3:
+        words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for _ in range(4):
+            copy = list(words)
+            for p in rng.sample(range(size), changes):
+                copy[p] = f"new{rng.randrange(5000)}"
+            texts += [" ".join(copy)]
+        texts.append(" ".join(words))
+    prints, roots = brute_simhash(texts)
+    group = list(roots)
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = grams(texts[i]), grams(texts[j])
+            if len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group[:]] if group[j] < group[i] else [group[i] if g == group[j] else g for g in group[:]]
+    want = sorted({min(k for k, g in enumerate(group) if g == h) for h in group})
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert len(want) < len(set(roots))
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == want
+
+
 def brute_pipeline(docs, items):
     """The pipeline's rows (doc_id, ids) by plain loops over all lines, pairs and windows."""
     import re
