@@ -362,6 +362,24 @@ def test_decontamination_recall_and_precision(spark):
     assert exact <= set(got)
 
 
+@pytest.mark.parametrize("size", [61, 120, 250, 500])
+def test_long_items_are_found_at_all_edits_allowed(size):
+    from tripforge.llm.common import hash_words
+    from tripforge.llm.decontaminate import ItemIndex, edits_allowed
+
+    rng = random.Random(size)
+    item = [f"v{rng.randrange(3000)}" for _ in range(size)]
+    texts = []
+    for _ in range(20):
+        copy = list(item)
+        for p in rng.sample(range(size), edits_allowed(size)):
+            copy[p] = f"new{rng.randrange(3000)}"
+        pad = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join([*pad, *copy, *pad]).encode())
+    found = {t: d for t, _, _, _, d in ItemIndex([(1, " ".join(item).encode())]).matches(*hash_words(texts))}
+    assert sorted(found) == list(range(20)) and max(found.values()) <= edits_allowed(size)
+
+
 def test_leaks_in_capitals_are_found(spark):
     from tripforge.llm.decontaminate import find_leaks
 

@@ -10,6 +10,8 @@ A document leaks an item if one of its windows of as many words as the item has
 * LSH: of each walk, tables sample positions; equal samples make a window and an item candidates. ``WALKS`` x ``TABLES``
   samplings of ``SAMPLE`` positions reach the recall measured in the tests.
 * Candidates are verified by their exact edit distance.
+* The agreement of a match falls with its length, so items of over ``LONG`` words don't go through walks and tables: every
+  window that such a piece allows is verified by a bit-parallel edit distance (Myers), and none is lost.
 
 Items are the stated query set: they are read in blocks of ``BLOCK`` items, each broadcast (a bounded size) and run
 against all documents. Documents are not shuffled; each row is judged on its own, so hot keys and copies do no harm.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks_of, hash_words, map_texts, mix64, read_table, window_hashes
 
-MAX_EDITS, WALKS, TABLES, SAMPLE, BLOCK = 0.2, 12, 10, 4, 20_000
+MAX_EDITS, WALKS, TABLES, SAMPLE, BLOCK, LONG = 0.2, 12, 10, 4, 20_000, 60
 _END = np.uint64(0)
 
 
@@ -54,6 +56,24 @@ def edit_distance(a, b, most: int) -> int:
     return min(row.get(len(b), far), far)
 
 
+def edit_distances(item: dict, n: int, words, anywhere: bool = False):
+    """Edit distance of an item of n words to words[:j] for j = 1, 2, ...; with ``anywhere``, to the best stretch that ends there.
+
+    ``item`` maps each of its words to the bits of the places where it stands.
+    """
+    every, top, first = (1 << n) - 1, 1 << (n - 1), 0 if anywhere else 1
+    plus, minus, score = every, 0, n
+    for word in words:
+        same = item.get(word, 0)
+        down = same | minus
+        across = (((same & plus) + plus) ^ plus) | same
+        up, low = minus | (every & ~(across | plus)), plus & across
+        score += 1 if up & top else -1 if low & top else 0
+        up, low = (up << 1 | first) & every, low << 1 & every
+        plus, minus = low | (every & ~(down | up)), up & down
+        yield score
+
+
 def cgk_walks(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """CGK embeddings of the windows words[start:end], one for each walk: (walk, window, step), with 3 steps a word of the longest."""
     steps = 3 * int((ends - starts).max())
@@ -103,6 +123,7 @@ class ItemIndex:
         self.items = [(i, hashes[offsets[k] : offsets[k + 1]]) for k, (i, _) in enumerate(items)]
         self.share = share
         pieces: dict[int, list] = {}
+        long: dict[int, list] = {}
         self.tables: dict[int, list] = {}
         by_size: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
@@ -111,15 +132,13 @@ class ItemIndex:
             allowed = edits_allowed(len(w), share)
             q = len(w) // (allowed + 1)
             h = window_hashes(w, q)
+            if len(w) > LONG:
+                long.setdefault(q, []).extend((int(h[p * q]), p * q, k) for p in range(allowed + 1))
+                continue
             pieces.setdefault(q, []).extend((int(h[p * q]), p * q, len(w)) for p in range(allowed + 1))
             by_size.setdefault(len(w), []).append(k)
-        self.pieces = {}
-        for q, rows in pieces.items():
-            rows = sorted(set(rows))
-            keys = np.array([r[0] for r in rows], np.uint64)
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[keys & np.uint64((1 << 20) - 1)] = True
-            self.pieces[q] = (bitmap, keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        self.long, self.pieces = self._by_hash(long), self._by_hash(pieces)
+        self.masks: dict[int, dict[int, int]] = {}
         for size, members in by_size.items():
             words = np.concatenate([self.items[k][1] for k in members])
             starts = np.arange(len(members)) * size
@@ -127,6 +146,67 @@ class ItemIndex:
             order = np.argsort(keys, 0, kind="stable")
             self.tables[size] = (np.take_along_axis(keys, order, 0), np.array(members)[order])
 
+    @staticmethod
+    def _by_hash(pieces: dict[int, list]) -> dict[int, tuple]:
+        out = {}
+        for q, rows in pieces.items():
+            rows = sorted(set(rows))
+            keys = np.array([r[0] for r in rows], np.uint64)
+            bitmap = np.zeros(1 << 20, bool)
+            bitmap[keys & np.uint64((1 << 20) - 1)] = True
+            out[q] = (bitmap, keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        return out
+
+    @staticmethod
+    def _hits(pieces: dict[int, tuple], words: np.ndarray):
+        """(starts, owners): where the owner of a piece that stands in the words would begin."""
+        for q, (bitmap, keys, at, owners) in pieces.items():
+            h = window_hashes(words, q)
+            hit = np.flatnonzero(bitmap[h & np.uint64((1 << 20) - 1)])
+            lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+            n = hi - lo
+            rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(hit, n) - at[rows], owners[rows], at[rows]
+
+    def _mask(self, k: int) -> dict[int, int]:
+        if k not in self.masks:
+            mask: dict[int, int] = {}
+            for place, word in enumerate(self.items[k][1].tolist()):
+                mask[word] = mask.get(word, 0) | 1 << place
+            self.masks[k] = mask
+        return self.masks[k]
+
+    def verified(self, words: np.ndarray, offsets: np.ndarray):
+        """(text, item position, edits, start, size) of the best windows of long items."""
+        found: dict[tuple[int, int], set] = {}
+        for begins, owners, at in self._hits(self.long, words):
+            texts = np.searchsorted(offsets, begins + at, "right") - 1
+            for text, k, begin in zip(texts.tolist(), owners.tolist(), begins.tolist(), strict=True):
+                found.setdefault((text, k), set()).add(begin)
+        lengths = np.diff(offsets)
+        for (text, k), begins in sorted(found.items()):
+            first, m, n = int(offsets[text]), int(lengths[text]), len(self.items[k][1])
+            most = edits_allowed(n, self.share)
+            stretches: list[list[int]] = []
+            for begin in sorted(begins):
+                lo, hi = max(first, begin - most), min(first + m - n, begin + most)
+                if lo > hi:
+                    continue
+                if stretches and lo <= stretches[-1][1] + 1:
+                    stretches[-1][1] = max(hi, stretches[-1][1])
+                else:
+                    stretches.append([lo, hi])
+            best = (most + 1, 0)
+            for lo, hi in stretches:
+                near = words[lo : hi + n].tolist()
+                for end, least in enumerate(edit_distances(self._mask(k), n, near, anywhere=True), 1):
+                    if end >= n and least < best[0]:
+                        *_, d = edit_distances(self._mask(k), n, near[end - n : end])
+                        if d < best[0]:
+                            best = (d, lo + end - n)
+            if best[0] <= most:
+                yield text, k, best[0], best[1], n
+
     def windows(self, words: np.ndarray, offsets: np.ndarray):
         """(size, starts) of the windows that hold a piece where an item would have it."""
         found: dict[int, list] = {}
@@ -187,6 +267,8 @@ class ItemIndex:
                 d = 0 if np.array_equal(window, item) else edit_distance(window.tolist(), item.tolist(), min(allowed, known[0] - 1) if known else allowed)
                 if d <= allowed and (known is None or d < known[0]):
                     best[text, m] = (d, start, size)
+        for text, m, d, start, size in self.verified(words, offsets):
+            best[text, m] = (d, start, size)
         for (text, m), (d, start, size) in sorted(best.items()):
             yield text, m, start - int(offsets[text]), size, d
 
