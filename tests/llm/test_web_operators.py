@@ -18,6 +18,21 @@ def test_extract(page, text):
     assert extract(page, None) == text
 
 
+STORY = "<h1>A title here</h1><p>The first paragraph of the story, of some length.</p><p>The second paragraph of the story, longer still.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><div id=wrap>{STORY}</div></form></body>", f"<body><div class='content has-sidebar'>{STORY}</div></body>", f"<body><div class='no-footer'>{STORY}</div></body>",
+    f"<body><div class='layout-with-header'>{STORY}</div></body>", f"<body><div class='widget-content'>{STORY}<div class=sidebar><p>More for you to read here.</p></div></div></body>",
+    f"<body><article><div class='article-header'>{STORY[:21]}</div>{STORY[21:]}</article></body>", f"<body><div class=comments>{STORY}</div></body>",
+    f"<body><div id=wrap>{STORY}</div><div class=comments>{'<p>A reader writes at great length.</p>' * 20}</div></body>",
+])
+def test_wrappers_with_marked_names_keep_the_story(page):
+    from tripforge.llm.html_extract import extract
+
+    assert extract(page, None) == "A title here\n\nThe first paragraph of the story, of some length.\n\nThe second paragraph of the story, longer still."
+
+
 def test_host_consensus_overrides_a_page(spark):
     from tripforge.llm.html_extract import extract_pages, host_paths
 

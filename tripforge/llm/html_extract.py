@@ -8,7 +8,9 @@
 
 Blocks are cut at block-level tags; character references are decoded, white space in a block becomes one space, and
 blocks are joined by two line feeds. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by tag, role or class.
+reader comments are left out by tag, role or class. A form, or a block marked only by a word of its class or id, stays
+if it holds ``MOST`` of the page's prose (reader comments apart), or the article or main element that holds over half of
+it; where nothing else is left, such blocks are all taken. Words after has-, with-, no- and the like mark nothing.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own (``''``); rows are independent
 but for the vote, so repeated rows get equal texts. Only winners (one row a host) are joined to the pages; Spark broadcasts
@@ -46,6 +48,13 @@ DROPPED_WORDS = {
     "sidebar", "aside", "footer", "header", "masthead", "comment", "comments", "disqus", "reply", "replies", "share", "sharing", "social", "related",
     "recommended", "widget", "pagination", "pager", "toolbar", "search", "login", "form", "copyright", "skip",
 }
+SOFT_TAGS = {"form", "fieldset"}
+TALK_WORDS = {"comment", "comments", "disqus", "reply", "replies"}
+#: The rest of a name after these says what a page has or lacks, not what the element is.
+MODIFIERS = {"has", "have", "with", "without", "no", "not", "hide", "hides"}
+#: Before "header" these make it a story's own.
+STORY_WORDS = {"article", "entry", "post", "story"}
+MOST = 0.75
 CONTAINERS = {"body", "article", "main", "section", "div", "td", "center"}
 #: Tags that an opening tag of the key closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,12 +66,28 @@ def _name_words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
 
 
+def _marks(value: str, in_story: bool) -> list[str]:
+    """The words of a class or id attribute that mark what is no main text."""
+    found = []
+    for name in value.split():
+        words = _name_words(name)
+        for k, word in enumerate(words):
+            if word in MODIFIERS:
+                break
+            if word in DROPPED_WORDS and not (word == "header" and (in_story or k and words[k - 1] in STORY_WORDS)):
+                found.append(word)
+    return found
+
+
 class Node:
-    """An open element: its generalised path, whether it is left out, and what its blocks add up to."""
+    """An open element: its generalised path, whether it is left out (``soft``: perhaps), and what its blocks add up to."""
 
-    __slots__ = ("bad", "dropped", "good", "parent", "path", "tag")
+    __slots__ = ("bad", "dropped", "good", "in_story", "marked", "parent", "path", "prose", "soft", "stories", "tag", "talk")
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None):
+    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None, soft: bool = False, talk: bool = False):
+        self.soft, self.marked, self.talk = soft, soft or parent is not None and parent.marked, talk or parent is not None and parent.talk
+        self.in_story = tag in ("article", "main") or parent is not None and parent.in_story
+        self.prose, self.stories = 0, 0
         self.tag, self.path, self.dropped, self.parent, self.good, self.bad = tag, path, dropped, parent, 0.0, 0.0
 
 
@@ -72,15 +97,19 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                marks += _name_words(value)
+                marks += _marks(value, parent.in_story)
                 if name == "class":
                     classes = sorted({re.sub(r"\d+", "#", c) for c in value.split()})
             elif name == "role":
                 role = value.lower()
     inside = parent.tag not in ("#", "html", "body")
-    dropped = parent.dropped or (tag in DROPPED_TAGS and not (tag == "header" and inside)) or role in DROPPED_ROLES or (tag not in ("body", "html", "article", "main") and not DROPPED_WORDS.isdisjoint(marks))
+    dropped = parent.dropped or (tag in DROPPED_TAGS - SOFT_TAGS and not (tag == "header" and inside)) or (role in DROPPED_ROLES and role != "form")
+    named = bool(marks) and tag not in ("body", "html", "article", "main")
+    # inline elements hold no blocks that could be judged later
+    soft = not dropped and tag not in INLINE and (named or tag in SOFT_TAGS or role == "form")
+    dropped = dropped or (tag in INLINE and (named or role == "form"))
     path = ".".join([tag, *classes])
-    return Node(tag, path if tag in ("html", "body") or parent.tag in ("html", "#") else f"{parent.path}>{path}", dropped, parent)
+    return Node(tag, path if tag in ("html", "body") or parent.tag in ("html", "#") else f"{parent.path}>{path}", dropped, parent, soft, named and not TALK_WORDS.isdisjoint(marks))
 
 
 def walk(page: str):
@@ -163,6 +192,36 @@ def _is_prose(text: str, tag: str, share: float) -> bool:
     return share < 0.5 and (tag in HEADINGS or len(text) >= 25 or text[-1:] in ".!?:;…")
 
 
+def settled(page: str, keep_all: bool = False) -> list:
+    """The events of ``walk`` without the blocks of soft elements that are furniture."""
+    events = list(walk(page))
+    if keep_all or not any(event == "block" and node.marked for event, node, _ in events):
+        return events
+    stories, total = {}, 0
+    for event, node, value in events:
+        if event != "block" or node.dropped or node.talk or not _is_prose(value[0], node.tag, value[1]):
+            continue
+        total += len(value[0])
+        while node is not None:
+            node.prose += len(value[0])
+            if node.tag in ("article", "main"):
+                stories[id(node)] = node
+            node = node.parent
+    for story in stories.values():
+        node = story.parent
+        while node is not None:
+            node.stories, node = max(node.stories, story.prose), node.parent
+
+    def furniture(node):
+        while node is not None and node.marked:
+            if node.soft and (node.talk or not total or node.prose < MOST * total and node.stories * 2 <= total):
+                return True
+            node = node.parent
+        return False
+
+    return [e for e in events if e[0] != "block" or not e[1].marked or not furniture(e[1])]
+
+
 def best_container(events) -> tuple[str, float]:
     """(generalised path, score) of the container that holds a page's prose most closely; the inner one of equals."""
     path, most = ROOT, 0.0
@@ -188,7 +247,10 @@ def extract(page: str | None, path: str | None) -> str:
     """Blocks of the elements on ``path``, or of the page's own best container."""
     if not page:
         return ""
-    events = list(walk(page))
+    return _extracted(settled(page), path) or _extracted(settled(page, keep_all=True), None)
+
+
+def _extracted(events: list, path: str | None) -> str:
     held = [(node.path, value[0]) for event, node, value in events if event == "block" and not node.dropped]
     below = lambda wanted: [text for p, text in held if wanted == ROOT or p == wanted or p.startswith(wanted + ">")]
     return "\n\n".join((below(path) if path else []) or below(best_container(events)[0]) or below(ROOT))
@@ -203,7 +265,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """Winning path of each host: rows (host, path)."""
 
     def run(table: pa.Table):
-        found = [best_container(walk(h)) if h else (ROOT, 0.0) for h in table.column("html").to_pylist()]
+        found = [best_container(settled(h)) if h else (ROOT, 0.0) for h in table.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([table.column("host").combine_chunks(), pa.array([p for p, _ in found]), pa.array([s for _, s in found], pa.float64())], ["host", "path", "score"])
 
     votes = map_texts(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, score double", 100)
