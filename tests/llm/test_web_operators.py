@@ -102,6 +102,21 @@ def test_warc_files(spark, tmp_path):
     assert rows == [(200, "x", b"body WARC/1.0\r\n")] * 2 + [(304, "x", b"")]
 
 
+def test_digest_revisits_are_no_responses(spark, tmp_path):
+    from tripforge.llm.warc import read_warc, resolve_revisits
+
+    def record(k, kind, second, digest, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {k}\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2024-01-01T00:00:{second}Z\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    ok = b"HTTP/1.1 200 OK\r\nETag: %s\r\n\r\n%s"
+    (tmp_path / "a.warc").write_bytes(
+        record("r1", "response", 10, "sha1:A", ok % (b"x", b"old")) + record("r2", "response", 11, "sha1:B", ok % (b"y", b"new")) + record("v1", "revisit", 12, "sha1:B", ok % (b"y", b""))
+        + record("v2", "revisit", 13, "sha1:A", ok % (b"x", b"")) + record("v3", "revisit", 14, "sha1:B", b"HTTP/1.1 304 Not Modified\r\nETag: y\r\n\r\n") + record("v4", "revisit", 15, "sha1:C", ok % (b"z", b""))
+    )
+    got = {r.record_id: (r.outcome, r.response_id, r.payload and bytes(r.payload)) for r in resolve_revisits(read_warc(spark, str(tmp_path))).collect()}
+    assert got == {"v1": ("resolved", "r2", b"new"), "v2": ("resolved", "r1", b"old"), "v3": ("resolved", "r2", b"new"), "v4": ("no_response", None, None)}
+
+
 def test_revisit_query_equals_sql(spark, tmp_path):
     from tripforge.llm import warc
 

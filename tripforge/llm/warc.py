@@ -4,6 +4,10 @@ A record is a row (record_id, uri, at, status, headers, payload): a capture of `
 status and a map of lower-case header names. A revisit (status 304) has no payload; it stands for the latest full
 response (status 200) captured earlier at the same canonical URL, if their validators agree.
 
+Records from files also have a WARC type and a payload digest. With them only 'response' records of status 200 are full
+responses, and a 'revisit' of another status (an identical payload digest, mostly with status 200 and no body) stands for
+the latest earlier full response at its canonical URL with its digest; without a digest, validators decide as for a 304.
+
 The as-of join needs no task that holds all captures of a URL: time is cut into ``BLOCKS`` stretches, the latest response
 is found within (URL, stretch), and what earlier stretches hold is carried over as one row for each (URL, stretch).
 
@@ -51,29 +55,44 @@ def _agree(mine: Column, stored: Column) -> Column:
     return F.coalesce(by_tag, mine["last-modified"] == stored["last-modified"], F.lit(False))
 
 
+def _is_full(records: DataFrame) -> Column:
+    full = F.col("status").eqNullSafe(200)
+    return full & F.coalesce(F.col("type") == "response", F.lit(True)) if "type" in records.columns else full
+
+
+def _is_revisit(records: DataFrame) -> Column:
+    again = F.col("status").eqNullSafe(304)
+    return again | F.col("type").eqNullSafe("revisit") if "type" in records.columns else again
+
+
 def latest_earlier(records: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """Revisits (record_id, at, headers) with ``found``, the latest earlier response (at, id, headers), or null."""
-    rows = records.where(F.col("status").isin(200, 304)).select("record_id", "at", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), canonical_url(F.col("uri")).alias("url"))
-    rows = materialize(rows, "captures")
+    headers = F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
+    digest = F.col("digest") if "digest" in records.columns else F.lit(None).cast("string")
+    same = F.when(~_is_full(records) & ~F.col("status").eqNullSafe(304), digest)
+    rows = records.where(_is_full(records) | _is_revisit(records)).select("record_id", "at", F.when(_is_full(records), 200).otherwise(304).alias("status"), headers, canonical_url(F.col("uri")).alias("url"), digest.alias("digest"), same.alias("same"))
+    if "digest" in records.columns:  # responses are looked up by URL, and by URL and digest
+        rows = rows.unionByName(rows.where("status = 200 and digest is not null").withColumn("same", F.col("digest")))
+    rows = materialize(rows.drop("digest").withColumn("place", F.concat("url", F.coalesce(F.concat(F.lit("#"), "same"), F.lit("")))), "captures")
     low, high = rows.agg(F.min("at"), F.max("at")).first()
     low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
     usable = rows.where("url is not null and at is not null").withColumn("block", F.floor((F.col("at") - low) / width))
     full = F.when(F.col("status") == 200, F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"), F.col("headers").alias("headers")))
-    here = W.partitionBy("url", "block").orderBy("at", F.col("status").desc(), "record_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = W.partitionBy("place", "block").orderBy("at", F.col("status").desc(), "record_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = usable.withColumn("found", F.last(full, ignorenulls=True).over(here)).where("status = 304")
-    ends = usable.where("status = 200").groupBy("url", "block").agg(F.max_by(full, F.struct("at", "record_id")).alias("end"))
-    marks = ends.unionByName(near.select("url", "block", F.lit(None).cast(ends.schema["end"].dataType).alias("end")))
-    marks = marks.groupBy("url", "block").agg(F.first("end", ignorenulls=True).alias("end"))
-    before = W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = marks.select("url", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    joined = near.join(carried, ["url", "block"], "left").select("record_id", "at", "url", "headers", F.coalesce("found", "carried").alias("found"))
-    rest = rows.where("status = 304 and (url is null or at is null)").select("record_id", "at", "url", "headers", F.lit(None).cast(joined.schema["found"].dataType).alias("found"))
+    ends = usable.where("status = 200").groupBy("place", "block").agg(F.max_by(full, F.struct("at", "record_id")).alias("end"))
+    marks = ends.unionByName(near.select("place", "block", F.lit(None).cast(ends.schema["end"].dataType).alias("end")))
+    marks = marks.groupBy("place", "block").agg(F.first("end", ignorenulls=True).alias("end"))
+    before = W.partitionBy("place").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = marks.select("place", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    joined = near.join(carried, ["place", "block"], "left").select("record_id", "at", "url", "same", "headers", F.coalesce("found", "carried").alias("found"))
+    rest = rows.where("status = 304 and (url is null or at is null)").select("record_id", "at", "url", "same", "headers", F.lit(None).cast(joined.schema["found"].dataType).alias("found"))
     return joined.unionByName(rest)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, at, url, outcome (resolved, validators_differ, no_response), response_id, headers, payload."""
-    found = latest_earlier(records).withColumn("agree", F.col("found").isNotNull() & _agree(F.col("headers"), F.col("found.headers")))
+    found = latest_earlier(records).withColumn("agree", F.col("found").isNotNull() & (F.col("same").isNotNull() | _agree(F.col("headers"), F.col("found.headers"))))
     update = F.map_filter("headers", lambda k, v: ~k.isin(KEPT))
     stored = F.map_filter("found.headers", lambda k, v: ~F.array_contains(F.map_keys(update), k))
     merged = found.select(
@@ -82,7 +101,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.when(F.col("agree"), F.col("found.id")).alias("response_id"),
         F.when(F.col("agree"), F.map_concat(stored, update)).otherwise(F.col("headers")).alias("headers"),
     )
-    payloads = records.where("status = 200").select(F.col("record_id").alias("response_id"), "payload").dropDuplicates(["response_id"])
+    payloads = records.where(_is_full(records)).select(F.col("record_id").alias("response_id"), "payload").dropDuplicates(["response_id"])
     columns = ["record_id", "at", "url", "outcome", "response_id", "headers", "payload"]
     with_payload = merged.where("response_id is not null").join(payloads, "response_id", "left").select(*columns)
     # the rest would all meet in the null key's task
@@ -104,7 +123,7 @@ def parse_warc(data: bytes):
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (record_id as text, uri, at, status, headers, payload) of WARC files; a task holds one file at a time."""
+    """Records (record_id as text, uri, at, status, headers, payload, type, digest) of WARC files; a task holds one file at a time."""
 
     def run(batches):
         import pandas as pd
@@ -120,12 +139,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     status = int(lines[0].split(" ")[1]) if len(lines[0].split(" ")) > 1 and lines[0].split(" ")[1].isdigit() else None
                     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
                     at = int(pd.Timestamp(head["warc-date"]).timestamp()) if "warc-date" in head else None
-                    out.append((head.get("warc-record-id"), head.get("warc-target-uri"), at, status, fields, body))
-                yield pd.DataFrame(out, columns=["record_id", "uri", "at", "status", "headers", "payload"])
+                    out.append((head.get("warc-record-id"), head.get("warc-target-uri"), at, status, fields, body, head["warc-type"], head.get("warc-payload-digest")))
+                yield pd.DataFrame(out, columns=["record_id", "uri", "at", "status", "headers", "payload", "type", "digest"])
 
     files = spark.read.format("binaryFile").load(path).select("content").repartition("content")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.mapInPandas(run, "record_id string, uri string, at long, status int, headers map<string,string>, payload binary")
+    return files.mapInPandas(run, "record_id string, uri string, at long, status int, headers map<string,string>, payload binary, type string, digest string")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
