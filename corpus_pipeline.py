@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripforge.llm.bpe import encode, vocabulary_path
-from tripforge.llm.common import materialize, read_table, text_key
+from tripforge.llm.common import Scratch, read_table, text_key
 from tripforge.llm.decontaminate import find_leaks
 from tripforge.llm.near_copies import near_copy_roots
 from tripforge.llm.quality import judge_lines
-from tripforge.llm.secrets import mask_secrets, scan_secrets
+from tripforge.llm.secrets import mask_secrets, scan_secrets, text_digest
 from tripforge.llm.simhash import simhash_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,30 +35,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id (null last) of each group of near copies; of repeated rows, one.
 
-    Links are those of op7, and all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    Links are those of op7, and all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows are
+    numbered in a written table, so that whole texts enter no aggregate and rows that repeat are told apart.
     """
-    keyed = docs.select(*COLUMNS, text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    groups = materialize(simhash_groups(keyed.select("doc_id", "text", "key"), carry=("key",)), "groups")
-    merged = near_copy_roots(keyed.select("key", "text").dropDuplicates(["key"]), groups.select("key", "root").dropDuplicates(["key"]))
-    groups = groups.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
-    first = groups.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    first = materialize(first.select("key"), "first-of-groups")
-    return keyed.join(first.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).drop("key")
+    with Scratch(spark) as own:
+        rows = own.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered-rows")
+        groups = own.write(simhash_groups(rows, carry=("row",), scratch=own), "groups")
+        merged = near_copy_roots(rows.select(F.col("row").alias("key"), "text"), groups.select(F.col("row").alias("key"), "root"), own)
+        groups = groups.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
+        first = groups.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+        first = own.keep(first.select("row"), "first-of-groups")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that leak a benchmark item."""
     keyed = docs.select(*COLUMNS, text_key(F.col("doc_id"), F.col("text")).alias("key"))
     leaks = find_leaks(keyed.select(F.col("key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    leaks = materialize(leaks.select(F.col("doc_id").alias("key")).distinct(), "leaking")
+    with Scratch(spark) as own:
+        leaks = own.keep(leaks.select(F.col("doc_id").alias("key")).distinct(), "leaking")
     return keyed.join(leaks, "key", "left_anti").select(*COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask the secrets found in each text."""
     spans = scan_secrets(docs.select("doc_id", "text")).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
-    body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*COLUMNS, F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), body), 256).alias("key"))
+    keyed = docs.select(*COLUMNS, text_digest(F.col("doc_id"), F.col("text")).alias("key"))
     masked = keyed.join(spans, "key", "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask_secrets(F.col("text"), F.col("spans"))))
     return _documents(masked, "masked")
 
@@ -81,6 +83,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    with Scratch(spark) as own:
+        for k, (name, stage) in enumerate(STAGES, 1):
+            write = own.keep if k == len(STAGES) else own.write
+            docs = write(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

@@ -19,7 +19,7 @@ NASTY = [
 @pytest.fixture(scope="module")
 def nasty(spark):
     df = spark.createDataFrame(NASTY, SCHEMA)
-    for name in ("doc", "fp", "root", "key", "v", "at", "shard_", "stretch", "ids_", "n_words", "quality_", "start"):
+    for name in ("doc", "fp", "root", "key", "v", "at", "shard", "slot", "row", "block", "stretch", "ids", "decoded", "n_words", "quality", "start", "lang_pred", "score", "__row", "__text", "spans", "record_id"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -81,7 +81,6 @@ def test_near_dedup_links_five_word_similarity_from_four_fifths(spark):
     import corpus_pipeline as P
 
     rng = random.Random(11)
-    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
     texts = []
     for size, changes in [(200, 1), (200, 2), (200, 4), (200, 8), (500, 8), (500, 20), (1000, 16)] * 3:
         words = [f"w{rng.randrange(5000)}" for _ in range(size)]
@@ -91,22 +90,44 @@ def test_near_dedup_links_five_word_similarity_from_four_fifths(spark):
                 copy[p] = f"new{rng.randrange(5000)}"
             texts += [" ".join(copy)]
         texts.append(" ".join(words))
-    prints, roots = brute_simhash(texts)
-    group = list(roots)
-    for i in range(len(texts)):
-        for j in range(i):
-            a, b = grams(texts[i]), grams(texts[j])
-            if len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
-                group = [group[j] if g == group[i] else g for g in group[:]] if group[j] < group[i] else [group[i] if g == group[j] else g for g in group[:]]
-    want = sorted({min(k for k, g in enumerate(group) if g == h) for h in group})
+    want = firsts_of_near_copies(texts)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
-    assert len(want) < len(set(roots))
+    assert len(want) < len(set(brute_simhash(texts)[1]))
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == want
 
 
+def firsts_of_near_copies(texts):
+    """The first of each group linked by fingerprints within three bits, or by a five-word Jaccard similarity of 0.8 or more."""
+
+    def grams(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text).encode().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    group, sets = brute_simhash(texts)[1], [grams(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and group[i] != group[j] and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return sorted({group.index(g) for g in group})
+
+
+def plain_edits(a, b):
+    """Edit distance by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def brute_pipeline(docs, items):
     """The pipeline's rows (doc_id, ids) by plain loops over all lines, pairs and windows."""
     import re
+    import unicodedata
     from collections import Counter
 
     from tokenizers import Tokenizer
@@ -118,9 +139,11 @@ def brute_pipeline(docs, items):
     def line_is_bad(line):
         n = len(words_of(line))
         count = lambda chars: sum(line.count(c) for c in chars)
+        kind = lambda name: sum(unicodedata.category(c) == name for c in line)
         tests = [
-            count(quality.SYMBOLS) >= max(3, 0.3 * n), count("!?") >= max(3, 0.3 * n), n >= 4 and count(quality.UPPER) > 2 * count(quality.LOWER), count(quality.SEPARATORS) >= max(3, n / 3),
-            n <= quality.CRUMB_WORDS and not re.search(r"[.!?:;,\"”»…)]\s*$", line), n <= quality.BOILERPLATE_WORDS and any(p in line.translate({c: c + 32 for c in range(65, 91)}) for p in quality.BOILERPLATE),
+            count(quality.SYMBOLS) >= max(3, 0.3 * n), count("!?") >= max(3, 0.3 * n), n >= 4 and kind("Lu") > 2 * kind("Ll"), count(quality.SEPARATORS) >= max(3, n / 3),
+            n <= quality.CRUMB_WORDS and not re.search(r"[.!?:;,\"”»…)。！？]\s*$", line), n <= quality.BOILERPLATE_WORDS and any(p in line.lower() for p in quality.BOILERPLATE),
+            n >= quality.UNPUNCTUATED_WORDS and not any(unicodedata.category(c)[0] == "P" for c in line),
         ]
         return n > 0 and any(tests)
 
@@ -134,15 +157,14 @@ def brute_pipeline(docs, items):
         if len(words) >= 10 and 100 * len(repeated) <= 20 * len(words) and 100 * lost <= quality.MAX_LOST_PERCENT * whole:
             kept.append((i, "\n".join(x for x in lines if not line_is_bad(x))))
     kept.sort()
-    roots = brute_simhash([t for _, t in kept])[1]
-    kept = [x for k, x in enumerate(kept) if roots[k] == k]
+    kept = [kept[k] for k in firsts_of_near_copies([t for _, t in kept])]
 
     def leaks(text):
         words = text.casefold().split()
         have = Counter(words)
         for item in items:
             n, most = len(item), decontaminate.edits_allowed(len(item))
-            if sum((Counter(item) & have).values()) >= n - most and any(decontaminate.edit_distance(words[s : s + n], item, most) <= most for s in range(len(words) - n + 1)):
+            if sum((Counter(item) & have).values()) >= n - most and any(plain_edits(words[s : s + n], item) <= most for s in range(len(words) - n + 1)):
                 return True
         return False
 
@@ -274,6 +296,7 @@ def test_simhash_groups_equal_brute_force(spark):
 
 
 def test_crowded_buckets_lose_no_link(spark):
+    from tripforge.llm.common import Scratch
     from tripforge.llm.simhash import hamming_links
 
     rng = random.Random(6)
@@ -283,7 +306,8 @@ def test_crowded_buckets_lose_no_link(spark):
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) % (1 << 64)).count("1") <= 3}
     for bucket in (3, 10_000):
-        assert {(r.a, r.b) for r in hamming_links(df, bucket=bucket).collect()} == want
+        with Scratch(spark) as own:
+            assert {(r.a, r.b) for r in hamming_links(df, own, bucket=bucket).collect()} == want
 
 
 def test_components_of_chains_and_stars(spark):
@@ -334,7 +358,7 @@ def edited(rng, words, edits, vocabulary):
 
 
 def test_decontamination_recall_and_precision(spark):
-    from tripforge.llm.decontaminate import edit_distance, edits_allowed, find_leaks
+    from tripforge.llm.decontaminate import edits_allowed, find_leaks
 
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(500)]
@@ -351,7 +375,7 @@ def test_decontamination_recall_and_precision(spark):
         words = text.casefold().split()
         for k, item in enumerate(items):
             n = len(item)
-            d = min((edit_distance(words[s : s + n], item, edits_allowed(n)) for s in range(len(words) - n + 1)), default=n)
+            d = min((plain_edits(words[s : s + n], item) for s in range(len(words) - n + 1) if len(set(words[s : s + n]) & set(item)) > 1), default=n)
             if d <= edits_allowed(n):
                 want[i, k] = d
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
@@ -364,7 +388,6 @@ def test_decontamination_recall_and_precision(spark):
 
 @pytest.mark.parametrize("size", [61, 120, 250, 500])
 def test_long_items_are_found_at_all_edits_allowed(size):
-    from tripforge.llm.common import hash_words
     from tripforge.llm.decontaminate import ItemIndex, edits_allowed
 
     rng = random.Random(size)
@@ -376,7 +399,7 @@ def test_long_items_are_found_at_all_edits_allowed(size):
             copy[p] = f"new{rng.randrange(3000)}"
         pad = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(0, 60))]
         texts.append(" ".join([*pad, *copy, *pad]).encode())
-    found = {t: d for t, _, _, _, d in ItemIndex([(1, " ".join(item).encode())]).matches(*hash_words(texts))}
+    found = {t: d for t, _, _, _, d in ItemIndex([(1, " ".join(item).encode())]).matches(texts)}
     assert sorted(found) == list(range(20)) and max(found.values()) <= edits_allowed(size)
 
 
@@ -394,6 +417,7 @@ def test_item_blocks_cover_all_items(spark):
 
     bench = spark.createDataFrame([(k, f"text {k}") for k in range(25)], "item_id long, text string")
     assert [len(b) for b in item_blocks(bench, 10)] == [10, 10, 5]
+    assert [len(b) for b in item_blocks(bench, 10, 14)] == [2] * 12 + [1] and [len(b) for b in item_blocks(bench, 10, 1)] == [1] * 25
 
 
 def test_bpe_equals_the_library(spark):
@@ -408,33 +432,92 @@ def test_bpe_equals_the_library(spark):
     texts += ["".join(rng.choice("abcdeéüß ñ'’.,!?0123\n你😀Σthin") for _ in range(rng.randint(0, 300))) for _ in range(60)]
     texts += ["".join(rng.choice("theinganr") for _ in range(rng.randint(100, 6000))) for _ in range(5)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = bpe.encode(rows, path, decoded="back", pieces=True)
+    out = bpe.encode(rows, path, decoded="plain", pieces="back")
     for r in out.collect():
         want = reference.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == want
         assert r.back == reference.decode(want, skip_special_tokens=False)
+        assert squeezed(r.plain) == squeezed(reference.normalizer.normalize_str(texts[r.doc_id] or ""))
     for r in bpe.decode(out.drop("back"), path, pieces=True).collect():
         assert r.decoded == reference.decode(reference.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-def test_bounded_stream_and_decoder():
+def squeezed(text):
+    return "".join(text.split())
+
+
+def transducer():
     from tripforge.llm import bpe
 
     v = bpe.Vocabulary(open(bpe.vocabulary_path(), encoding="utf-8").read())
-    bound = bpe.sufficient_lookahead(v)
-    t = bpe.Transducer(v, bound)
-    rng = random.Random(10)
-    for _ in range(5):
-        word = "".join(rng.choice("theinganr") for _ in range(8000)).encode()
-        whole = bpe.merge_all([*(v.inner[b] for b in word[:-1]), v.last[word[-1]]], v.merges)
-        assert list(t.stream(iter(word))) == whole
-    ids = np.frombuffer(t.encode("wörld 😀 tail"), "<i4").tolist()
+    return v, bpe.Transducer(v, bpe.sufficient_lookahead(v))
+
+
+def ids_of(t, text):
+    return np.frombuffer(t.encode(text), "<i4").tolist()
+
+
+def test_all_code_points_are_classed_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    from tripforge.llm import bpe
+
+    reference, t = Tokenizer.from_file(bpe.vocabulary_path()), transducer()[1]
+    points = [c for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    odd = [hex(c) for c in points if ids_of(t, f"x{chr(c)}y") != reference.encode(f"x{chr(c)}y", add_special_tokens=False).ids]
+    assert odd == []
+
+
+def test_slices_may_end_inside_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tripforge.llm import bpe
+
+    reference, t = Tokenizer.from_file(bpe.vocabulary_path()), transducer()[1]
+    rng = random.Random(12)
+    parts = ["hello", "'s", "'re", "don't", "--", "!?", "123", " ", "\n", "日本語", "あいう", "é", "Σ", "aaaaaaa", "<|endoftext|>", "x", "'"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+        monkeypatch.setattr(bpe, "SLICE", rng.choice([1, 3, 7, 20, 65536]))
+        assert ids_of(t, text) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    from tripforge.llm import bpe
+
+    v, t = transducer()
+    fed, ended = [], []
+    feed, finish = t.feed, t.finish
+    monkeypatch.setattr(t, "feed", lambda data: fed.append(data) or feed(data))
+    monkeypatch.setattr(t, "finish", lambda: ended.append(1) or finish())
+    text = "one two three one two " + "long" * 30 + " é"
+    ids = ids_of(t, text)
+    assert [x.decode() for x in fed] == ["one", "two", "three", "long" * 30, "é"] and len(ended) == 5
     d = bpe.Decoder(v)
-    assert "".join([*(d.feed([i]) for i in ids), d.feed([], True)]).strip() == "wörld 😀 tail"
+    assert "".join([*(d.feed([i]) for i in ids), d.feed([], True)]) == text
     d = bpe.Decoder(v, pieces=True)
     assert "".join([d.feed([]), *(d.feed([i]) for i in ids), d.feed([], True)]) == " ".join(v.pieces[i] for i in ids)
 
 
+def test_a_long_word_keeps_memory_flat():
+    import tracemalloc
+
+    from tripforge.llm import bpe
+
+    v, t = transducer()
+    peaks = []
+    for n in (100_000, 1_000_000):
+        text = "theinganr" * n
+        tracemalloc.start()
+        count = sum(len(part) // 4 for part in t.plain(text))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count == 4 * n
+    assert peaks[1] < 1.2 * peaks[0] < 10_000_000
+    word = "".join(random.Random(10).choice("theinganr") for _ in range(8000)).encode()
+    assert t.feed(word) + t.finish() == bpe.merge_all([*(v.inner[b] for b in word[:-1]), v.last[word[-1]]], v.merges)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     from tripforge.llm.langid import op5_language_id
 
@@ -453,17 +536,206 @@ def test_language_without_letters_or_labels(spark, folder):
     assert rows == {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)}
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    from tripforge.llm.langid import op5_language_id, training_sample
+
+    words = {"a": ["alpha", "beta", "gamma"], "b": ["чай", "дом", "лес"], "c": ["新しい", "本", "月"]}
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(12))
+    for ids in ([None] * 900, [11] * 900, [7, 8, 12, 13] * 225):
+        rows = [(i, text("abc"[k % 3]) + f" {k // 30}", "abc"[k % 3]) for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        sample = training_sample(df, 40)
+        assert sorted({lang for lang, _ in sample}) == ["a", "b", "c"] and len(sample) == 120
+    one = spark.createDataFrame([(5, "same text", "a")] * 500 + [(6, "другой", "b")], "doc_id long, text string, lang string")
+    assert sorted(lang for lang, _ in training_sample(one, 40)) == ["a", "b"]
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/langs"
+    df.withColumns({"lang_pred": F.lit(1), "score": F.lit(2)}).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = op5_language_id(spark, folder)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.groupBy("lang_pred").count().where("count = 300").count() == 3
+
+
+def test_weights_equal_exact_kernel_ridge():
+    from tripforge.llm import langid
+
+    rng = random.Random(5)
+    sample = [(k, langid.gram_ids("".join(rng.choice("abcdef" if k == "x" else "defghi") for _ in range(30)))) for k in "xy" * 15]
+    languages, vocabulary, weights = langid.fit(sample, ridge=0.5, landmarks=30)  # all texts are landmarks, so the map is exact
+    kernel = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for _, b in sample] for _, a in sample])
+    targets = np.array([[1.0 if k == lang else -1.0 for lang in languages] for k, _ in sample])
+    exact = kernel @ np.linalg.solve(kernel + 0.5 * len(sample) / 100 * np.eye(len(sample)), targets)
+    ours = langid._kernel_rows([g for _, g in sample], vocabulary) @ weights
+    assert np.abs(exact - ours).max() < 1e-3
+
+
+def test_colliding_words_are_different_words(spark):
+    from tripforge.llm.substring import brute_force, remove_repeats
+
+    series = "a"
+    while len(series) < 4096:
+        series += series.translate({97: 98, 98: 97})
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        for j, word in enumerate((series[:n], series[:n].translate({97: 98, 98: 97}))):
+            rows.append((10 * k + j, " ".join([f"w{k}x{i}" for i in range(30)] + [word] + [f"v{k}x{i}" for i in range(29)])))
+    # the same series of two words, as windows
+    rows += [(100 + j, " ".join(("one", "two")[(c == "a") != j] for c in series[:2048])) for j in (0, 1)]
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_force(rows)) and all(r[2] == 0 for r in got if r[0] < 100)
+
+
+def test_hashes_of_spans_and_windows_agree():
+    from tripforge.llm.common import hash_words, spans_hash, window_hashes
+
+    words, offsets = hash_words([b"a b c d e f g h i j k " * 3, b"", b"x"])
+    assert offsets.tolist() == [0, 33, 33, 34]
+    for size in (1, 2, 3, 5, 7, 8, 20):
+        starts = np.arange(len(words) - size + 1)
+        assert (spans_hash(words, starts, starts + size) == window_hashes(words, size)).all()
+        assert len(set(window_hashes(words[:33], size).tolist())) == 11
+
+
+def test_accented_capitals_are_boilerplate(spark):
+    from tripforge.llm.quality import line_fails
+
+    lines = ["Tous droits réservés.", "TOUS DROITS RÉSERVÉS.", "ВСЕ ПРАВА ЗАЩИЩЕНЫ.", "ЭТО ОЧЕНЬ ГРОМКАЯ СТРОКА.", "Это обычная строка, не более.", " ".join(["shoes"] * 20), " ".join(["shoes"] * 20) + "."]
+    got = [r.f for r in spark.createDataFrame([(x,) for x in lines], "line string").select(line_fails(F.col("line")).alias("f")).collect()]
+    assert got == [True, True, True, True, False, True, False]
+
+
+def test_many_secrets_in_one_text(spark, tmp_path):
+    import time
+
+    from tripforge.llm.secrets import mask_secrets, scan_secrets
+
+    n = 100_000
+    spark.createDataFrame([(1, "é " + " ".join(f"token=abcdef{i:06d} é" for i in range(n)))], "doc_id long, text string").write.parquet(f"{tmp_path}/one")
+    rows, began = spark.read.parquet(f"{tmp_path}/one"), time.time()
+    spans = scan_secrets(rows).select("doc_id", "spans")
+    got = rows.join(spans, "doc_id").select(F.col("spans")[n - 1]["start"].alias("last"), mask_secrets(F.col("text"), F.col("spans")).alias("masked")).first()
+    assert got["last"] == 2 + (n - 1) * 21 and got.masked == "é " + " ".join(["[SECRET] é"] * n)
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("run", [2, 512])
+def test_masking_equals_plain_python(spark, monkeypatch, run):
+    from tripforge.llm import secrets
+
+    monkeypatch.setattr(secrets, "RUN", run)
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.randint(1, 60)))
+        spans = sorted((a := rng.randrange(len(text)), 0, rng.randint(a + 1, len(text))) for _ in range(rng.randint(0, 6)))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, "k long, text string, spans array<struct<start:int,rank:int,end:int>>")
+    got = {r.k: r.m for r in df.select("k", secrets.mask_secrets(F.col("text"), F.col("spans"), "#").alias("m")).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[k] == out + text[at:]
+
+
+def test_columns_with_clashing_names(spark, nasty):
+    from tripforge.llm import bpe, langid, quality, sharding, simhash
+
+    def check(got, added, replaced):
+        assert sorted(got.columns) == sorted({*nasty.columns, *added} - {*replaced})
+        assert got.count() == len(NASTY)
+        return got
+
+    check(bpe.encode(nasty, bpe.vocabulary_path(), decoded="decoded"), ["ids", "decoded"], [])
+    check(langid.predict(nasty, None), ["lang_pred", "score"], ["text"])
+    check(quality.judge_lines(nasty), ["quality"], [])
+    got = check(sharding.uniform_shards(nasty, 3), ["shard", "slot"], [])
+    assert sorted(r.slot for r in got.collect()) == [0, 0, 0, 1, 1, 1, 2, 2] and got.where("row = 'clash' and __row = 'clash'").count() == len(NASTY)
+    assert simhash.simhash_groups(nasty, carry=("key",)).columns[:2] == ["fp", "doc_id"]
+
+
+def test_tables_are_deleted_when_they_are_read(spark, tmp_path):
+    from tripforge.llm.common import Scratch
+
+    with Scratch(spark) as outer:
+        with Scratch(spark, outer) as own:
+            gone, kept = own.write(spark.range(3), "gone"), own.keep(spark.range(4), "kept")
+        assert kept.count() == 4 and outer.paths == own.kept
+        assert not os.path.exists(own.paths[0].removeprefix("file:")) and gone is not None
+    assert not os.path.exists(own.kept[0].removeprefix("file:"))
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as own:
+        own.keep(spark.range(3), "kept")
+        raise ZeroDivisionError
+    assert not os.path.exists(own.kept[0].removeprefix("file:"))
+
+
+def test_a_session_without_a_shared_folder(tmp_path):
+    import subprocess
+    import sys
+
+    script = """
+from tripforge.session import build_session
+from tripforge.llm.substring import remove_repeats
+from tripforge.llm import common
+s = build_session("plain", "local[2]", spark_sql_shuffle_partitions="2", spark_ui_enabled="false")
+assert s.conf.get("spark.checkpoint.dir", None) is None
+before = dict(s.conf.getAll)
+assert remove_repeats(s.createDataFrame([(1, "w " * 60), (2, "w " * 60)], "doc_id long, text string")).count() == 2
+assert dict(s.conf.getAll) == before
+class Cluster:
+    conf = s.conf
+    class sparkContext:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+try:
+    common.shared_dir(Cluster)
+except RuntimeError as e:
+    print("ok" if "spark.checkpoint.dir" in str(e) else e)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=200, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert done.stdout.strip() == "ok", done.stderr[-2000:]
+
+
 def test_sharding_is_exact_and_stable(spark):
-    from tripforge.llm.sharding import communication_matrix, hypergeometric, uniform_shards
-
-    df = spark.range(0, 1003, 1, 7).withColumn("slot_", F.lit(1))
-    placed = [tuple(r) for r in uniform_shards(df, 10, 3).select("id", "shard", "slot").collect()]
-    assert sorted(p[0] for p in placed) == list(range(1003))
-    sizes = [sorted(p[2] for p in placed if p[1] == s) for s in range(10)]
-    assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
-    assert sorted(placed) == sorted(tuple(r) for r in uniform_shards(df, 10, 3).select("id", "shard", "slot").collect())
+    from tripforge.llm.sharding import communication_matrix, uniform_shards
+
+    df = spark.range(0, 1003, 1, 7)
+    for limits in ({}, {"block_rows": 20, "stretch": 15}):
+        shuffle = lambda: [tuple(r) for r in uniform_shards(df, 10, 3, **limits).select("id", "shard", "slot").collect()]  # noqa: B023, E731
+        placed = shuffle()
+        assert sorted(p[0] for p in placed) == list(range(1003))
+        sizes = [sorted(p[2] for p in placed if p[1] == s) for s in range(10)]
+        assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
+        assert sorted(placed) == sorted(shuffle())
     m = communication_matrix([10, 0, 25, 7], 5, 1)
     assert m.sum(1).tolist() == [10, 0, 25, 7] and m.sum(0).max() - m.sum(0).min() <= 1
-    rng = np.random.default_rng(0)
-    draws = [hypergeometric(rng, 3 * 10**9, 10**9, 10_000) for _ in range(300)]
-    assert abs(np.mean(draws) - 7500) < 15 and 30 < np.std(draws) < 60
+
+
+def test_matrix_is_hypergeometric():
+    from math import comb
+    from collections import Counter
+
+    from tripforge.llm.sharding import communication_matrix
+
+    draws, seen = 20_000, Counter()
+    for seed in range(draws):
+        seen[int(communication_matrix([3, 4, 5], 3, seed)[1, 2])] += 1
+    want = [draws * comb(4, k) * comb(8, 4 - k) / comb(12, 4) for k in range(5)]
+    assert sum((seen[k] - want[k]) ** 2 / want[k] for k in range(5)) < 18.5  # chi-square with 4 degrees, 0.1 %
+    large = communication_matrix([10**6] * 5000, 40, 1)
+    assert (large.sum(0) == 125 * 10**6).all() and (large.sum(1) == 10**6).all() and 140 < large.std() < 175
+
+
+def test_order_and_shards_are_uniform(spark):
+    from tripforge.llm.sharding import uniform_shards
+
+    df, n = spark.range(0, 4000, 1, 4), 4000
+    place = np.zeros(n, int)
+    for r in uniform_shards(df, 8, 5, block_rows=300, stretch=100).collect():
+        place[r.id] = r.shard * (n // 8) + r.slot
+    assert sorted(place) == list(range(n))
+    table = np.zeros((10, 10))
+    np.add.at(table, (np.arange(n) * 10 // n, place * 10 // n), 1)
+    assert ((table - 40) ** 2 / 40).sum() < 135  # chi-square with 81 degrees, 0.01 %
+    assert abs(np.corrcoef(np.arange(n), place)[0, 1]) < 0.06

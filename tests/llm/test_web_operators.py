@@ -1,5 +1,8 @@
 """Pages and WARC records."""
 
+import random
+import time
+
 import duckdb
 import pytest
 
@@ -33,6 +36,57 @@ def test_wrappers_with_marked_names_keep_the_story(page):
     assert extract(page, None) == "A title here\n\nThe first paragraph of the story, of some length.\n\nThe second paragraph of the story, longer still."
 
 
+INSIDE = "<h1>A title here</h1><p>The first paragraph of the story, of some length.</p>"
+
+
+@pytest.mark.parametrize(("block", "stays"), [
+    ("<div class='search-results-study'><p>What the study of search results has found is told here.</p></div>", True), ("<div class='ad'><p>Buy these things now, they are cheap.</p></div>", False),
+    ("<div class='banner-of-the-king'><p>The banner that the king carried was a red one.</p></div>", True), ("<div class='related-posts'><p>Another story that you could read now.</p></div>", False),
+    ("<div class='social-studies'><a href=1>One link to another place</a> <a href=2>and one more</a></div>", False), ("<p>A <span class='search-term'>word</span> looked for.</p>", True),
+    ("<div class='entry-header'><h2>A heading of the story</h2></div>", True), ("<div class='newsletter-signup'><p>Get our letters by mail every day.</p></div>", False),
+])
+def test_names_drop_only_furniture_inside_a_story(block, stays):
+    from tripforge.llm.html_extract import extract
+
+    for page, path in ((f"<body><article>{INSIDE}{block}</article></body>", None), (f"<body><div class=story>{INSIDE}{block}</div></body>", "body>div.story")):
+        found = extract(page, path).split("\n\n")
+        assert found[:2] == ["A title here", "The first paragraph of the story, of some length."] and len(found) == (3 if stays else 2)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<a href='x" * 200_000, "<p class=\"" * 200_000, "<div>" * 100_000 + "</x>" * 100_000, "<i>" * 100_000, "<!--" * 100_000, "<" * 500_000, "</" * 200_000])
+def test_broken_pages_take_linear_time(page):
+    from tripforge.llm.html_extract import extract
+
+    began = time.time()
+    extract(page + "<p>The end of it all.</p>", "body>div")
+    assert time.time() - began < 20
+
+
+def test_unclosed_quotes_keep_the_text():
+    from tripforge.llm.html_extract import extract
+
+    assert extract("<p class=\"a>First words of it.</p><p>Second words of it.</p>", None) == "First words of it.\n\nSecond words of it."
+    assert extract("<p title='x > y' class = z>Some text.</p><a href=\"u>v\">w</a>", None) == "Some text.\n\nw"
+
+
+def test_vote_equals_plain_counting(spark):
+    import math
+
+    from tripforge.llm.html_extract import host_paths, vote
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        boxes = "".join(f"<div class=b{rng.choice('xyz')}{rng.randint(0, 9)}><p>{'Some words here. ' * rng.randint(1, 9)}</p></div>" for _ in range(rng.randint(1, 3)))
+        rows.append((k, f"http://h{k % 7}/", f"<body>{boxes}</body>"))
+    sums = {}
+    for _, url, page in rows:
+        path, score = vote(page)
+        sums.setdefault(url[7:-1], {}).setdefault(path, []).append(math.log1p(score))
+    want = {h: max((round(sum(v), 6), p) for p, v in by.items())[1] for h, by in sums.items()}
+    assert {r.host: r.path for r in host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
 def test_host_consensus_overrides_a_page(spark):
     from tripforge.llm.html_extract import extract_pages, host_paths
 
@@ -82,8 +136,50 @@ def test_carry_over_many_blocks(spark):
 
     rows = [(i, "http://a.example/", i * 7, 200 if i % 5 == 0 else 304, {"n": str(i)}) for i in range(400)]
     df = spark.createDataFrame(rows, "record_id long, uri string, at long, status int, headers map<string,string>")
-    for blocks in (1, 16, 300):
-        assert all(r.found.id == r.record_id // 5 * 5 for r in latest_earlier(df, blocks).collect())
+    for stretch in (1, 10, 200, 10**6):
+        assert all(r.found.id == r.record_id // 5 * 5 for r in latest_earlier(df, stretch).collect())
+
+
+def test_as_of_join_equals_brute_force(spark):
+    from tripforge.llm.warc import resolve_revisits
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        full, at = rng.random() < 0.4, rng.choice([None, 10**12, -5, *range(30)])
+        rows.append((rng.choice([None, rng.randint(0, 50)]), f"http://h/{rng.choice('aaab')}", at, 200 if full else 304, {"etag": "x"}, f"body {k}" if full else None))
+    df = spark.createDataFrame(rows, "record_id long, uri string, at long, status int, headers map<string,string>, payload string")
+    want = []
+    for i, uri, at, status, _, _ in rows:
+        if status == 304:
+            earlier = [r for r in rows if r[3] == 200 and r[1] == uri and r[2] is not None and at is not None and r[2] < at]
+            best = max(((r[2], r[0] is not None, r[0] or 0) for r in earlier), default=None)
+            bodies = {r[5] for r in earlier if (r[2], r[0] is not None, r[0] or 0) == best}
+            want.append((i, at, uri[7:], "resolved" if best else "no_response", bodies))
+    got = [(r.record_id, r.at, r.url, r.outcome, r.payload, r.response_id) for r in resolve_revisits(df).collect()]
+    key = lambda r: tuple(map(str, r[:4]))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert key(g) == key(w)
+    assert all((p is None) == (o == "no_response") for *_, o, p, _ in got)
+    bodies = {}
+    for w in want:
+        bodies.setdefault(w[:4], set()).update(w[4])
+    assert all(p is None or p in bodies[i, a, u, o] for i, a, u, o, p, _ in got)
+
+
+def test_broken_warc_files(spark, tmp_path):
+    import gzip
+
+    from tripforge.llm.warc import read_warc
+
+    good = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Date: never\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(good + good.replace(b"19", b"x9") + good)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good)[:-20])
+    (tmp_path / "c.warc").write_bytes(good + good[:-8])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.record_id, r["at"], bytes(r.payload)) for r in read_warc(spark, str(tmp_path)).collect()] == [("<a>", None, b"abc")] * 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_warc_files(spark, tmp_path):

@@ -1,11 +1,13 @@
-"""Shared pieces of the training-data operators: shared-folder tables, row keys and vectorised word hashing."""
+"""Shared pieces of the training-data operators: tables in the shared folder, row keys and hashes of words and word windows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,31 +21,68 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder is made if all runs in this process; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tripforge-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripforge-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts lineage and survives lost executors.
+class Scratch:
+    """Parquet tables in the shared folder, for the length of a ``with`` block.
 
-    The written table is removed when the application ends.
+    Writing a table and reading it back cuts lineage, so a lost executor costs its tasks only. Tables are deleted when the
+    block is left, also by an error; those made by ``keep`` go to the block around it, or stay until the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # this job's shuffle files are of no use once its table is written
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, outer: Scratch | None = None):
+        self.spark, self.outer, self.paths, self.kept = spark, outer, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        for path in self.paths + (self.kept if kind else []):
+            self._fs(path).delete(self._path(path), True)
+        if self.outer is not None and not kind:
+            self.outer.paths += self.kept
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _table(self, df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        paths.append(path)
+        self._fs(path).deleteOnExit(self._path(path))
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, None)
+        self.spark.conf.set(cleanup, "true")  # this job's shuffle files are of no use once its table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(cleanup)
+            else:
+                self.spark.conf.set(cleanup, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of this block."""
+        return self._table(df, name, self.paths)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that outlives this block."""
+        return self._table(df, name, self.kept)
 
 
 def let(value: Column, body) -> Column:
@@ -56,72 +95,89 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
-# --- vectorised hashing of words and word windows -------------------------------------------------
-
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_SPACES = np.zeros(256, bool)
-_SPACES[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+# --- hashes of words and of word windows ----------------------------------------------------------
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64 and of its inverse."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[base] = (out[0], out[1])
-    up, down = _POWERS[base]
-    return up[:n], down[:n]
+#: Bytes of a text that are split into words at a time.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_FACTOR = np.uint64(0xD1342543DE82EF95)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer, element by element."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_lists(text: bytes):
+    """The words of a text, some at a time."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            space = _SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def _hashed(texts: list[bytes], digest, longs: int) -> tuple[np.ndarray, np.ndarray]:
+    found, offsets, n = [], [0], 0
+    for text in texts:
+        for words in word_lists(text):
+            found.append(b"".join(map(digest, words)))
+            n += len(words)
+        offsets.append(n)
+    return np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, longs), np.array(offsets)
 
 
-def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end] from one prefix sum."""
-    up, down = _powers(base, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of several texts, and the offsets at which each text's words begin (one more at the end)."""
+    hashes, offsets = _hashed(texts, xxhash.xxh64_digest, 1)
+    return hashes[:, 0], offsets
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of several texts, and the offsets at which each text's words begin (one more at the end).
+def hash_words_twice(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with two 64-bit hashes of each word, the halves of one hash of 128 bits."""
+    hashes, offsets = _hashed(texts, xxhash.xxh3_128_digest, 2)
+    return np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]), offsets
 
-    Callers pass a few megabytes of text at a time; the cost is a few array operations per byte.
-    """
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACES[data]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    offsets = np.searchsorted(starts, bounds)
-    return _spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASE), offsets
 
+def _doubled(level: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of stretches of 2 x size words from those of size words."""
+    return mix64(level[:-size] * _FACTOR + level[size:])
 
-def spans_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hashes of the stretches words[start:end] of word hashes."""
-    return _spans_hash(mix64(words + np.uint64(salt)), starts, ends, _WORD_BASE)
 
+def spans_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches words[start:end], none empty, of word hashes.
 
-def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    A stretch of 2**k words is hashed from its halves, any other from the two such stretches that cover it; each step
+    mixes all bits, so no structure of the words makes stretches meet.
+    """
+    n = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    level, size = mix64(words), 1
+    while True:
+        some = np.flatnonzero((n >= size) & (n < 2 * size))
+        out[some] = mix64(level[starts[some]] * _FACTOR + level[ends[some] - size] + n[some].astype(np.uint64))
+        if not (n >= 2 * size).any():
+            return out
+        level, size = _doubled(level, size), 2 * size
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` consecutive word hashes (windows may cross texts; callers mask those)."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    return _spans_hash(mix64(words + np.uint64(salt)), starts, starts + size, _WORD_BASE)
+    level, half = mix64(words), 1
+    while 2 * half <= size:
+        level, half = _doubled(level, half), 2 * half
+    return mix64(level[:n] * _FACTOR + level[size - half : size - half + n] + np.uint64(size))
 
 
 def chunks_of(texts, budget: int = 2_000_000):
@@ -138,7 +194,7 @@ def chunks_of(texts, budget: int = 2_000_000):
 
 
 def map_texts(df: DataFrame, function, schema: str, rows_per_batch: int = 500) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows_per_batch`` rows, so that long texts don't pile up in one batch."""
+    """``mapInArrow`` over tables of at most ``rows_per_batch`` rows; Spark bounds the bytes of a batch."""
     import pyarrow as pa
 
     def run(batches):
@@ -146,7 +202,6 @@ def map_texts(df: DataFrame, function, schema: str, rows_per_batch: int = 500) -
             for start in range(0, batch.num_rows, rows_per_batch):
                 yield from function(pa.Table.from_batches([batch.slice(start, rows_per_batch)]))
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     return df.mapInArrow(run, schema)
 
 

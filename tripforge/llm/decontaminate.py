@@ -13,11 +13,14 @@ A document leaks an item if one of its windows of as many words as the item has
 * The agreement of a match falls with its length, so items of over ``LONG`` words don't go through walks and tables: every
   window that such a piece allows is verified by a bit-parallel edit distance (Myers), and none is lost.
 
-Items are the stated query set: they are read in blocks of ``BLOCK`` items, each broadcast (a bounded size) and run
-against all documents. Documents are not shuffled; each row is judged on its own, so hot keys and copies do no harm.
+Items are the stated query set: they are read in blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` bytes (or one longer
+item), each broadcast (a bounded size) and run against all documents, one scan of them a block. Documents are not shuffled;
+each row is judged on its own, so hot keys and copies do no harm.
 
 Defined results: null texts leak nothing; null ids are carried through; repeated rows give repeated results; items with
-null text are ignored. Ties between windows go to the fewest edits, then to the first.
+null text are ignored; empty tables give an empty result; other columns don't enter. Ties between windows go to the fewest
+edits, then to the first. A long text is searched whole; its windows are embedded ``AT_ONCE`` at a time. Pieces and
+windows are found by hashes of words, edits are counted on the words themselves.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, hash_words, map_texts, mix64, read_table, window_hashes
+from .common import chunks_of, hash_words, map_texts, mix64, read_table, window_hashes, word_lists
 
-MAX_EDITS, WALKS, TABLES, SAMPLE, BLOCK, LONG = 0.2, 12, 10, 4, 20_000, 60
+MAX_EDITS, WALKS, TABLES, SAMPLE, LONG = 0.2, 12, 10, 4, 60
+BLOCK, BLOCK_BYTES, AT_ONCE = 20_000, 8_000_000, 2000
 _END = np.uint64(0)
 
 
@@ -40,22 +44,6 @@ def edits_allowed(n: int, share: float = MAX_EDITS) -> int:
     return int(n * share + 1e-9)
 
 
-def edit_distance(a, b, most: int) -> int:
-    """Word edit distance, or most + 1 if it is larger; only a band of the table is filled."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    far = most + 1
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
-        row = new
-        if min(row.values()) > most:
-            return far
-    return min(row.get(len(b), far), far)
-
-
 def edit_distances(item: dict, n: int, words, anywhere: bool = False):
     """Edit distance of an item of n words to words[:j] for j = 1, 2, ...; with ``anywhere``, to the best stretch that ends there.
 
@@ -74,6 +62,22 @@ def edit_distances(item: dict, n: int, words, anywhere: bool = False):
         yield score
 
 
+def places_of(words: list) -> dict:
+    """For each word, the bits of the places where it stands."""
+    out: dict = {}
+    for place, word in enumerate(words):
+        out[word] = out.get(word, 0) | 1 << place
+    return out
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Word edit distance of two lists."""
+    last = len(a)
+    for last in edit_distances(places_of(a), len(a), b) if a else ():
+        pass
+    return last if a else len(b)
+
+
 def cgk_walks(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """CGK embeddings of the windows words[start:end], one for each walk: (walk, window, step), with 3 steps a word of the longest."""
     steps = 3 * int((ends - starts).max())
@@ -120,13 +124,14 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = MAX_EDITS):
         hashes, offsets = hash_words([t for _, t in items])
-        self.items = [(i, hashes[offsets[k] : offsets[k + 1]]) for k, (i, _) in enumerate(items)]
+        self.ids, self.words = [i for i, _ in items], [t.split() for _, t in items]
         self.share = share
         pieces: dict[int, list] = {}
         long: dict[int, list] = {}
-        self.tables: dict[int, list] = {}
+        self.tables: dict[int, tuple] = {}
         by_size: dict[int, list[int]] = {}
-        for k, (_, w) in enumerate(self.items):
+        for k in range(len(items)):
+            w = hashes[offsets[k] : offsets[k + 1]]
             if not len(w):
                 continue
             allowed = edits_allowed(len(w), share)
@@ -138,11 +143,11 @@ class ItemIndex:
             pieces.setdefault(q, []).extend((int(h[p * q]), p * q, len(w)) for p in range(allowed + 1))
             by_size.setdefault(len(w), []).append(k)
         self.long, self.pieces = self._by_hash(long), self._by_hash(pieces)
-        self.masks: dict[int, dict[int, int]] = {}
+        self.masks: dict[int, dict] = {}
         for size, members in by_size.items():
-            words = np.concatenate([self.items[k][1] for k in members])
-            starts = np.arange(len(members)) * size
-            keys = lsh_keys(_steps_of(cgk_walks(words, starts, starts + size), size), size)
+            starts = np.array([offsets[k] for k in members])
+            parts = [starts[k : k + AT_ONCE] for k in range(0, len(starts), AT_ONCE)]
+            keys = np.concatenate([lsh_keys(cgk_walks(hashes, x, x + size), size) for x in parts])
             order = np.argsort(keys, 0, kind="stable")
             self.tables[size] = (np.take_along_axis(keys, order, 0), np.array(members)[order])
 
@@ -168,28 +173,32 @@ class ItemIndex:
             rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield np.repeat(hit, n) - at[rows], owners[rows], at[rows]
 
-    def _mask(self, k: int) -> dict[int, int]:
+    def _mask(self, k: int) -> dict:
         if k not in self.masks:
-            mask: dict[int, int] = {}
-            for place, word in enumerate(self.items[k][1].tolist()):
-                mask[word] = mask.get(word, 0) | 1 << place
-            self.masks[k] = mask
+            self.masks[k] = places_of(self.words[k])
         return self.masks[k]
 
-    def verified(self, words: np.ndarray, offsets: np.ndarray):
-        """(text, item position, edits, start, size) of the best windows of long items."""
+    def _edits(self, k: int, words: list) -> int:
+        """Edits between an item and as many words of a text."""
+        if words == self.words[k]:
+            return 0
+        *_, d = edit_distances(self._mask(k), len(self.words[k]), words)
+        return d
+
+    def verified(self, hashes: np.ndarray, offsets: np.ndarray, words_of):
+        """(text, item position, edits, start, size) of the best windows of long items; starts count from the text's first word."""
         found: dict[tuple[int, int], set] = {}
-        for begins, owners, at in self._hits(self.long, words):
+        for begins, owners, at in self._hits(self.long, hashes):
             texts = np.searchsorted(offsets, begins + at, "right") - 1
             for text, k, begin in zip(texts.tolist(), owners.tolist(), begins.tolist(), strict=True):
-                found.setdefault((text, k), set()).add(begin)
-        lengths = np.diff(offsets)
+                found.setdefault((text, k), set()).add(begin - int(offsets[text]))
         for (text, k), begins in sorted(found.items()):
-            first, m, n = int(offsets[text]), int(lengths[text]), len(self.items[k][1])
+            words = words_of(text)
+            n = len(self.words[k])
             most = edits_allowed(n, self.share)
             stretches: list[list[int]] = []
             for begin in sorted(begins):
-                lo, hi = max(first, begin - most), min(first + m - n, begin + most)
+                lo, hi = max(0, begin - most), min(len(words) - n, begin + most)
                 if lo > hi:
                     continue
                 if stretches and lo <= stretches[-1][1] + 1:
@@ -198,12 +207,10 @@ class ItemIndex:
                     stretches.append([lo, hi])
             best = (most + 1, 0)
             for lo, hi in stretches:
-                near = words[lo : hi + n].tolist()
+                near = words[lo : hi + n]
                 for end, least in enumerate(edit_distances(self._mask(k), n, near, anywhere=True), 1):
-                    if end >= n and least < best[0]:
-                        *_, d = edit_distances(self._mask(k), n, near[end - n : end])
-                        if d < best[0]:
-                            best = (d, lo + end - n)
+                    if end >= n and least < best[0] and (d := self._edits(k, near[end - n : end])) < best[0]:
+                        best = (d, lo + end - n)
             if best[0] <= most:
                 yield text, k, best[0], best[1], n
 
@@ -230,24 +237,32 @@ class ItemIndex:
             if len(s):
                 yield size, s
 
-    def embedded(self, words: np.ndarray, offsets: np.ndarray, at_once: int = 2000):
+    def embedded(self, words: np.ndarray, offsets: np.ndarray):
         """(size, starts, walks) of all windows; those of several sizes walk together."""
-        found = list(self.windows(words, offsets))
+        found = sorted(self.windows(words, offsets), key=lambda x: x[0])
         if not found:
             return
         starts = np.concatenate([s for _, s in found])
         sizes = np.concatenate([np.full(len(s), n) for n, s in found])
-        for k in range(0, len(starts), at_once):
-            some, lengths = starts[k : k + at_once], sizes[k : k + at_once]
+        for k in range(0, len(starts), AT_ONCE):
+            some, lengths = starts[k : k + AT_ONCE], sizes[k : k + AT_ONCE]
             walks = cgk_walks(words, some, some + lengths)
             for size in np.unique(lengths):
                 mine = lengths == size
                 yield int(size), some[mine], _steps_of(walks[:, mine], int(size))
 
-    def matches(self, words: np.ndarray, offsets: np.ndarray):
+    def matches(self, texts: list[bytes]):
         """(text, item position, start, size, edits) of the verified candidates, the best for each text and item."""
+        hashes, offsets = hash_words(texts)
+        split: dict[int, list] = {}
+
+        def words_of(text: int) -> list:
+            if text not in split:
+                split[text] = [w for part in word_lists(texts[text]) for w in part]
+            return split[text]
+
         best: dict[tuple[int, int], tuple] = {}
-        for size, starts, walks in self.embedded(words, offsets):
+        for size, starts, walks in self.embedded(hashes, offsets):
             pairs = []
             keys = lsh_keys(walks, size)
             have, members = self.tables[size]
@@ -257,20 +272,15 @@ class ItemIndex:
                     pairs += [(int(w), int(m)) for m in members[lo[w] : hi[w], t]]
             allowed = edits_allowed(size, self.share)
             for w, m in sorted(set(pairs)):
-                start = int(starts[w])
-                text = int(np.searchsorted(offsets, start, "right")) - 1
-                item = self.items[m][1]
-                window = words[start : start + size]
-                known = best.get((text, m))
-                if known and known[0] == 0:
-                    continue
-                d = 0 if np.array_equal(window, item) else edit_distance(window.tolist(), item.tolist(), min(allowed, known[0] - 1) if known else allowed)
-                if d <= allowed and (known is None or d < known[0]):
+                text = int(np.searchsorted(offsets, starts[w], "right")) - 1
+                start = int(starts[w]) - int(offsets[text])
+                known = best.get((text, m), (allowed + 1, 0, 0))
+                if known[0] and (d := self._edits(m, words_of(text)[start : start + size])) < known[0]:
                     best[text, m] = (d, start, size)
-        for text, m, d, start, size in self.verified(words, offsets):
+        for text, m, d, start, size in self.verified(hashes, offsets, words_of):
             best[text, m] = (d, start, size)
         for (text, m), (d, start, size) in sorted(best.items()):
-            yield text, m, start - int(offsets[text]), size, d
+            yield text, m, start, size, d
 
 
 _INDEXES: dict[str, ItemIndex] = {}
@@ -284,14 +294,16 @@ def _index(name: str, shared) -> ItemIndex:
     return _INDEXES[name]
 
 
-def item_blocks(benchmark: DataFrame, block: int = BLOCK):
-    """The items, at most ``block`` of them on the driver at a time."""
-    part = []
+def item_blocks(benchmark: DataFrame, block: int = BLOCK, most_bytes: int = BLOCK_BYTES):
+    """The items in blocks of at most ``block`` items and ``most_bytes`` bytes; a longer item is a block of its own."""
+    part, size = [], 0
     for row in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        part.append((row.item_id, folded(row.text)))
-        if len(part) == block:
+        text = folded(row.text)
+        if part and (len(part) == block or size + len(text) > most_bytes):
             yield part
-            part = []
+            part, size = [], 0
+        part.append((row.item_id, text))
+        size += len(text)
     if part:
         yield part
 
@@ -311,8 +323,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
             texts = [(i, folded(t)) for i, t in enumerate(table.column("text").to_pylist())]
             out = []
             for part in chunks_of(texts):
-                words, offsets = hash_words([t for _, t in part])
-                out += [(ids[part[text][0]], index.items[m][0], start, size, d) for text, m, start, size, d in index.matches(words, offsets)]
+                out += [(ids[part[text][0]], index.ids[m], start, size, d) for text, m, start, size, d in index.matches([t for _, t in part])]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "n_words", "edits"])
 

@@ -1,110 +1,114 @@
 """Language identification with a string kernel.
 
 Texts are compared by the blended spectrum of their 1- to 3-grams, as presence: k(x, y) = |grams in both| / sqrt(|x| |y|).
-Grams are taken over lower-case letters of an alphabet learned from the sample (other letters share one symbol, runs of
-other characters are one space). ``LANDMARKS`` texts a language give a Nyström map, on which one-versus-rest kernel
-ridge regression is fitted. A batch of texts is scored by a matrix product of its gram presences with the map's weights.
+Grams are taken over the lower-case letters of any script, as code points; runs of other characters are one space.
+``LANDMARKS`` texts a language give a Nyström map, on which one-versus-rest kernel ridge regression is fitted. A batch of
+texts is scored by a matrix product of its gram presences with the map's weights.
 
-The classifier is fitted on a bounded sample: ``PER_LANGUAGE`` labelled texts a language are expected, drawn by a hash of
-the id against each language's count over all rows; every text is then predicted, whole.
+The classifier is fitted on a bounded sample: of each language, the ``PER_LANGUAGE`` distinct labelled (id, text) pairs that
+come first by a hash of both. The driver gets the distinct grams of their whole texts, ``PER_LANGUAGE`` rows a language, and
+the broadcast model has one row of weights for each gram of the landmarks. Every text is then predicted, whole.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0, and so does every text where there is
-nothing to learn from. Rows are judged one by one; lang, source and doc_id don't enter a prediction. A null id counts as
-the empty text for the split.
+nothing to learn from. Rows are judged one by one, so repeated rows get equal results; lang, source and doc_id don't enter
+a prediction. A null id counts as the empty text for the split, and is no hindrance to being drawn. Rows with one id and
+different texts are different rows; repeats of a row are drawn once. Columns named lang_pred or score are replaced. An
+empty table gives an empty result. A long text is worked on whole; it costs some 100 bytes of memory a character.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_texts, read_table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, SEED = 200, 40, 1e-2, 7
-SYMBOLS = 64
-_SIZE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-_LETTERS: list[np.ndarray] = []
+_SYMBOLS: list[np.ndarray] = []
+_BITS = np.uint64(21)
 
 
-def _letters() -> np.ndarray:
-    """For each code point: the symbol of other letters, or 0 for what is no letter."""
-    if not _LETTERS:
-        _LETTERS.append(np.frombuffer(bytes(SYMBOLS - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8))
-    return _LETTERS[0]
+def _symbols() -> np.ndarray:
+    """For each code point: itself plus one if it is a letter, else one."""
+    if not _SYMBOLS:
+        letters = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.uint8)
+        _SYMBOLS.append(np.where(letters, np.arange(1, 0x110001), 1).astype(np.uint64))
+    return _SYMBOLS[0]
 
 
-def symbol_table(alphabet: str) -> np.ndarray:
-    """Symbols of all code points, with 1, 2, ... for the letters of the alphabet."""
-    table = _letters().copy()
-    for k, c in enumerate(alphabet[: SYMBOLS - 2]):
-        table[ord(c)] = k + 1
-    return table
+def gram_ids(text: str | None) -> np.ndarray:
+    """The distinct 1- to 3-grams of a whole text, in order, one number each; none if it has no letter."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = _symbols()[codes]
+    if not (s > 1).any():
+        return np.zeros(0, np.uint64)
+    one = np.ones(1, np.uint64)
+    s = np.concatenate([one, s, one])
+    s = s[np.concatenate([[True], (s[1:] > 1) | (s[:-1] > 1)])]
+    two = s[:-1] << _BITS | s[1:]
+    return np.unique(np.concatenate([s, two, two[:-1] << _BITS | s[2:]]))
 
 
-def gram_ids(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Ids of the distinct 1- to 3-grams of a whole text; none if it has no letter."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = table[codes].astype(np.int32)
-    if not s.any():
-        return np.zeros(0, np.int32)
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    seen = np.zeros(_SIZE, bool)
-    seen[s] = True
-    two = s[:-1] * SYMBOLS + s[1:]
-    seen[SYMBOLS + two] = True
-    seen[SYMBOLS + SYMBOLS**2 + two[:-1] * SYMBOLS + s[2:]] = True
-    return np.flatnonzero(seen).astype(np.int32)
-
-
-def fit(sample: list[tuple[str, str]], ridge: float = RIDGE, landmarks: int = LANDMARKS):
-    """(languages, alphabet, grams, weights) from (language, text) pairs."""
+def presence(grams: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """0/1 rows of which grams of the vocabulary each text has."""
+    out = np.zeros((len(grams), len(vocabulary)), np.float32)
+    for i, own in enumerate(grams):
+        at = np.searchsorted(vocabulary, own)
+        at[at == len(vocabulary)] = 0
+        out[i, at[vocabulary[at] == own]] = 1
+    return out
+
+
+def _kernel_rows(grams: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    return presence(grams, vocabulary) / np.sqrt(np.maximum([len(g) for g in grams], 1), dtype=np.float32)[:, None]
+
+
+def fit(sample: list[tuple[str, np.ndarray]], ridge: float = RIDGE, landmarks: int = LANDMARKS):
+    """(languages, grams, weights) from the language and the grams of each text of a sample."""
     languages = sorted({lang for lang, _ in sample})
-    letters = Counter(c for _, t in sample for c in t.lower() if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])
-    table = symbol_table(alphabet)
-    grams = [gram_ids(t, table) for _, t in sample]
+    grams = [g for _, g in sample]
     chosen, seen = [], Counter()
     for k, (lang, _) in enumerate(sample):
         if seen[lang] < landmarks and len(grams[k]):
             seen[lang] += 1
             chosen.append(k)
     vocabulary = np.unique(np.concatenate([grams[k] for k in chosen]))
-
-    def presence(rows) -> np.ndarray:
-        out = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, k in enumerate(rows):
-            at = np.searchsorted(vocabulary, grams[k])
-            at[at == len(vocabulary)] = 0
-            out[i, at[vocabulary[at] == grams[k]]] = 1 / np.sqrt(len(grams[k]))
-        return out
-
-    marks = presence(chosen)
+    marks = _kernel_rows([grams[k] for k in chosen], vocabulary)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     rows = [k for k in range(len(sample)) if len(grams[k])]
-    features = np.concatenate([presence(rows[i : i + 200]) @ marks.T for i in range(0, len(rows), 200)]) @ root
+    features = np.concatenate([_kernel_rows([grams[k] for k in rows[i : i + 100]], vocabulary) @ marks.T for i in range(0, len(rows), 100)]) @ root
     targets = np.array([[1.0 if sample[k][0] == lang else -1.0 for lang in languages] for k in rows])
     solved = np.linalg.solve(features.T @ features + ridge * len(rows) / 100 * np.eye(len(chosen)), features.T @ targets)
-    return languages, alphabet, vocabulary, (marks.T @ (root @ solved)).astype(np.float32)
+    return languages, vocabulary, (marks.T @ (root @ solved)).astype(np.float32)
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> list[tuple[str, str]]:
-    """About ``per_language`` (language, text) pairs for each language of the rows given, in hash order."""
-    use = docs.where("lang is not null and text is not null").where(F.regexp_like("text", F.lit(r"\p{L}")))
-    counts = {r.lang: r["count"] for r in use.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(rate)
-    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
-    picked = use.where(F.pmod(draw, F.lit(1 << 40)) < rate * float(1 << 40)).select("lang", "text", draw.alias("draw"))
-    return [(r.lang, r.text) for r in sorted(picked.collect(), key=lambda r: (r.draw, r.lang, r.text))]
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> list[tuple[str, np.ndarray]]:
+    """Language and grams of at most ``per_language`` texts of each language of the rows given, in hash order.
+
+    A threshold on the hash, from each language's approximate number of distinct pairs, leaves some four times as many
+    rows; those are ranked.
+    """
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text", F.lit(seed))
+    use = docs.where("lang is not null and text is not null").where(F.regexp_like("text", F.lit(r"\p{L}"))).select("lang", "text", draw.alias("draw"))
+    rates = use.groupBy("lang").agg((F.lit(4.0 * per_language) / F.approx_count_distinct("draw", 0.02)).alias("rate"))  # one row a language
+    near = use.join(rates, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("rate") * float(1 << 40))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw"))
+    near = near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+
+    def run(table: pa.Table):
+        grams = [gram_ids(t).view(np.int64) for t in table.column("text").to_pylist()]
+        yield from table.drop_columns(["text"]).append_column("grams", pa.array(grams, pa.list_(pa.int64()))).to_batches()
+
+    rows = map_texts(picked, run, "lang string, rank int, grams array<long>", 100).collect()
+    return [(r.lang, np.array(r.grams, np.uint64)) for r in sorted(rows, key=lambda r: (r["rank"], r.lang))]
 
 
 def held_out():
@@ -112,37 +116,33 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+_MODELS: dict[str, tuple] = {}
+
+
 def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """Add lang_pred and score to every row, in place of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    tables: dict[str, np.ndarray] = {}
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    docs = docs.drop(*({"lang_pred", "score"} - {text}))
+    names = docs.columns
 
     def run(batch: pa.Table):
-        texts = batch.column(text).to_pylist()
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        texts = batch.column(names.index(text)).to_pylist()
+        found, scores = ["und"] * len(texts), [0.0] * len(texts)
         if shared.value is not None:
-            languages, alphabet, vocabulary, weights = shared.value
-            table = tables.get(alphabet)
-            if table is None:
-                table = tables[alphabet] = symbol_table(alphabet)
-                place = np.full(_SIZE, -1, np.int32)
-                place[vocabulary] = np.arange(len(vocabulary))
-                tables["place"] = place
-            place = tables["place"]
-            present, norms = np.zeros((len(texts), len(vocabulary)), np.float32), np.zeros(len(texts))
-            for i, t in enumerate(texts):
-                grams = gram_ids(t, table)
-                norms[i] = len(grams)
-                at = place[grams]
-                present[i, at[at >= 0]] = 1
-            margins = (present @ weights) / np.sqrt(np.maximum(norms, 1))[:, None]
+            if name not in _MODELS:  # a worker reads a model once
+                _MODELS.clear()
+                _MODELS[name] = shared.value
+            languages, vocabulary, weights = _MODELS[name]
+            grams = [gram_ids(t) for t in texts]
+            norms = np.array([len(g) for g in grams])
+            margins = (presence(grams, vocabulary) @ weights) / np.sqrt(np.maximum(norms, 1))[:, None]
             best = margins.argmax(1)
             for i in np.flatnonzero(norms):
-                names[i] = languages[best[i]]
+                found[i] = languages[best[i]]
                 scores[i] = float(np.clip((1 + margins[i, best[i]]) / 2, 0, 1))
-        yield from batch.drop_columns([text]).append_column("lang_pred", pa.array(names)).append_column("score", pa.array(scores)).to_batches()
+        yield from batch.remove_column(names.index(text)).append_column("lang_pred", pa.array(found)).append_column("score", pa.array(scores)).to_batches()
 
-    return map_texts(docs, run, docs.drop(text).schema.add("lang_pred", "string").add("score", "double"), 200)
+    return map_texts(docs, run, docs.drop(text).schema.add("lang_pred", "string").add("score", "double"), 100)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,3 +151,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = training_sample(docs.where(~held_out()))
     model = fit(sample) if sample else None
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+

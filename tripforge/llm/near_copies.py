@@ -9,6 +9,9 @@ one of ``BANDS`` = 24 bands of ``ROWS`` = 5 min-hashes, which a pair at exactly
 Texts with equal shingles in one group are one node. Buckets are settled by stars: in each of ``STARS`` rounds every
 member is compared with one member drawn anew, and what is linked is contracted. Only buckets that still hold
 several groups compare all pairs of different groups, so no candidate is dropped.
+
+Defined results: null texts and texts without a word are no near copies of anything; repeated rows are one node; an empty
+table gives an empty result; other columns don't enter. A long text is worked on whole, with some 40 bytes for each word.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of, hash_words, map_texts, materialize, mix64, spans_hash
+from .common import Scratch, chunks_of, hash_words, map_texts, mix64, spans_hash
 from .components import connected_components
 
 SHINGLE, SIMILAR, BANDS, ROWS, STARS = 5, 0.8, 24, 5, 3
@@ -93,45 +96,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_texts(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ra", "rb", "text_a", "text_b"), run, "ra long, rb long", 100)
 
 
-def near_copy_roots(docs: DataFrame, roots: DataFrame) -> DataFrame:
+def near_copy_roots(docs: DataFrame, roots: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows (root, merged): groups ``root`` of the rows (key, root) that near copies among (key, text) join; the rest are left out.
 
     ``key`` is unique in ``docs``, and in ``roots``.
     """
-    found = materialize(sketches(docs).join(roots, "key"), "sketches")
-    nodes = found.groupBy("root", "same").agg(F.min_by(F.struct("key", "n", "bands"), "key").alias("s"))
-    filed = nodes.select(F.explode("s.bands").alias("band"), F.col("s.key").alias("node"), F.col("s.n").alias("n"), "root")
-    filed = materialize(_open(filed), "open-buckets")
-    texts = materialize(docs.select("key", "text").join(filed.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "candidate-texts")
-    merged, tried = None, None
-    for star in range(STARS + 1):
-        if filed.isEmpty():
-            break
-        left = filed.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        if star < STARS:
-            left = left.groupBy("band").agg(F.min_by(F.struct("a", "na", "ra"), F.struct(F.xxhash64("a", F.lit(star)), "a")).alias("s")).select("band", "s.*")
-        right = filed.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        unlike = F.col("ra") != F.col("rb") if star < STARS else F.col("ra") < F.col("rb")
-        close = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb") - 1e-9
-        pairs = left.join(right, "band").where(unlike & close).select("a", "b", "ra", "rb").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "candidates")
-        tested = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = tested if tried is None else tried.unionByName(tested)
-        links = materialize(_verified(pairs, texts).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "near-copies")
-        if links.isEmpty():
-            continue
-        step = materialize(connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("next")), "merged")
-        filed = materialize(_open(filed.join(step, "root", "left").select("band", "node", "n", F.coalesce("next", "root").alias("root"))), "open-buckets")
+    with Scratch(docs.sparkSession, scratch) as own:
+        found = own.write(sketches(docs).join(roots, "key"), "sketches")
+        nodes = found.groupBy("root", "same").agg(F.min_by(F.struct("key", "n", "bands"), "key").alias("s"))
+        filed = nodes.select(F.explode("s.bands").alias("band"), F.col("s.key").alias("node"), F.col("s.n").alias("n"), "root")
+        filed = own.write(_open(filed), "open-buckets")
+        texts = own.write(docs.select("key", "text").join(filed.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "candidate-texts")
+        merged, tried = None, None
+        for star in range(STARS + 1):
+            if filed.isEmpty():
+                break
+            left = filed.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            if star < STARS:
+                left = left.groupBy("band").agg(F.min_by(F.struct("a", "na", "ra"), F.struct(F.xxhash64("a", F.lit(star)), "a")).alias("s")).select("band", "s.*")
+            right = filed.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            unlike = F.col("ra") != F.col("rb") if star < STARS else F.col("ra") < F.col("rb")
+            close = F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb") - 1e-9
+            pairs = left.join(right, "band").where(unlike & close).select("a", "b", "ra", "rb").distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = own.write(pairs, "candidates")
+            tested = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            tried = tested if tried is None else tried.unionByName(tested)
+            links = own.write(_verified(pairs, texts).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "near-copies")
+            if links.isEmpty():
+                continue
+            step = connected_components(links, own).select(F.col("node").alias("root"), F.col("root").alias("next"))
+            filed = own.write(_open(filed.join(step, "root", "left").select("band", "node", "n", F.coalesce("next", "root").alias("root"))), "open-buckets")
+            if merged is None:
+                merged = step.select("root", F.col("next").alias("merged"))
+            else:
+                # what earlier rounds merged moves on; a root met only now joins as itself
+                moved = merged.join(step.select(F.col("root").alias("merged"), "next"), "merged", "left").select("root", F.coalesce("next", "merged").alias("merged"))
+                fresh = step.select("root", F.col("next").alias("merged")).join(merged, "root", "left_anti")
+                merged = own.write(moved.unionByName(fresh), "merged")
         if merged is None:
-            merged = step.select("root", F.col("next").alias("merged"))
-        else:
-            # what earlier rounds merged moves on; a root met only now joins as itself
-            moved = merged.join(step.select(F.col("root").alias("merged"), "next"), "merged", "left").select("root", F.coalesce("next", "merged").alias("merged"))
-            fresh = step.select("root", F.col("next").alias("merged")).join(merged, "root", "left_anti")
-            merged = materialize(moved.unionByName(fresh), "merged")
-    return merged if merged is not None else docs.sparkSession.createDataFrame([], "root long, merged long")
+            merged = docs.sparkSession.createDataFrame([], "root long, merged long")
+        return own.keep(merged, "merged-groups")
 
 
 def _open(filed: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ Every line of a text is judged by punctuation, navigation and boilerplate rules;
 document that loses more than ``max_lost_percent`` of its characters (counted over lines with a word) is rejected.
 Base rules (too few words, too many repeated 5-word windows) reject as well.
 
-Defined results: a null text has no words, no lines and fails the base rules; an empty text likewise. Each row is judged
-on its own, so repeated rows, null ids and extra columns don't matter; ``judge_lines`` adds its columns in one struct.
-Equality of 5-word windows is by 64-bit hash within one text.
+Capitals and small letters are those of any script (Unicode's Lu and Ll). Boilerplate phrases are looked for in lines whose
+Latin, Greek and Cyrillic capitals, accented ones included, are made small one by one.
+
+Defined results: a null text has no words, no lines and fails the base rules; an empty text likewise; an empty table gives
+an empty result. Each row is judged on its own, so repeated rows and null ids need no care. ``judge_lines`` adds one struct;
+a column that has its name is replaced, all others stay. A long text is judged whole in one row's expressions, which hold
+its words and lines as arrays. Equality of 5-word windows is by 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -20,15 +24,20 @@ from .common import let, read_table, split_words
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÉÈÊËÎÏÔÖÙÛÜÑÍÓÁÚ"
-LOWER = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôöùûüßñíóáú"
+#: Capitals with one small letter each, up to the end of Cyrillic, and those letters.
+UPPER = "".join(chr(c) for c in range(0x41, 0x530) if len(chr(c).lower()) == 1 and chr(c).lower() != chr(c))
+LOWER = UPPER.lower().replace("ς", "σ")
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = [
-    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies",
-    "enable javascript", "click here to", "sign up for our", "subscribe to our", "share this article", "read more",
-    "licensed under", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados", "lorem ipsum",
+    "all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "cookie settings", "accept cookies", "accept all cookies", "we use cookies", "uses cookies to",
+    "enable javascript", "javascript is disabled", "your browser does not support", "click here to", "sign up for our", "sign in to", "log in to", "subscribe to our", "follow us on", "share this", "read more", "back to top",
+    "skip to content", "page not found", "powered by", "licensed under", "copyright ©", "© copyright", "unsubscribe", "add to cart", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "diese website verwendet cookies", "wir verwenden cookies", "newsletter abonnieren", "weiterlesen", "mehr erfahren",
+    "tous droits réservés", "politique de confidentialité", "conditions générales", "mentions légales", "ce site utilise des cookies", "abonnez-vous à", "lire la suite", "en savoir plus",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos y condiciones", "aviso legal", "utilizamos cookies", "suscríbete a", "leer más", "sigue leyendo",
+    "tutti i diritti riservati", "informativa sulla privacy", "todos os direitos reservados", "política de privacidade", "alle rechten voorbehouden", "все права защищены", "политика конфиденциальности",
 ]
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, BOILERPLATE_WORDS, CRUMB_WORDS = 10, 20, 70, 25, 3
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, BOILERPLATE_WORDS, CRUMB_WORDS, UNPUNCTUATED_WORDS = 10, 20, 70, 25, 3, 20
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -45,14 +54,15 @@ def line_fails(line: Column) -> Column:
         decorated = has(f"[{SYMBOLS}!?]") & (often(SYMBOLS, 3) | often("!?", 3))
         menu = has(f"[{SEPARATORS}]") & let(_count(line, SEPARATORS), lambda c: (c >= 3) & (c * 3 >= n))
         # more than twice as many capitals: two of them stand without a small letter between them, or there is none
-        capitals = has(f"[{UPPER}][^{LOWER}]*[{UPPER}]") | ~has(f"[{LOWER}]")
-        shouted = (n >= 4) & capitals & (_count(line, UPPER) > 2 * _count(line, LOWER))
-        crumb = (n <= CRUMB_WORDS) & ~has(r"[.!?:;,\"”»…)]\s*$")
+        capitals = has(r"\p{Lu}\P{Ll}*\p{Lu}") | ~has(r"\p{Ll}")
+        shouted = (n >= 4) & capitals & (F.regexp_count(line, F.lit(r"\p{Lu}")) > 2 * F.regexp_count(line, F.lit(r"\p{Ll}")))
+        crumb = (n <= CRUMB_WORDS) & ~has(r"[.!?:;,\"”»…)。！？]\s*$")
+        keywords = (n >= UNPUNCTUATED_WORDS) & ~has(r"\p{P}")
 
         def boiler(low: Column) -> Column:
             return reduce(Column.__or__, [low.contains(phrase) for phrase in BOILERPLATE])
 
-        return (n > 0) & (decorated | shouted | menu | crumb | ((n <= BOILERPLATE_WORDS) & let(F.translate(line, UPPER[:26], LOWER[:26]), boiler)))
+        return (n > 0) & (decorated | shouted | menu | crumb | keywords | ((n <= BOILERPLATE_WORDS) & let(F.translate(line, UPPER, LOWER), boiler)))
 
     return let(F.size(split_words(line)), rules)
 
@@ -142,15 +152,16 @@ SQL = f"""
 with d as (select doc_id, coalesce(text, '') as body, row_number() over () as rid from documents),
 w as (select rid, doc_id, body, {_SQL_WORDS.format("body")} as ws from d),
 lines as (
-  select rid, line, idx, len({_SQL_WORDS.format("line")}) as n, translate(line, '{UPPER[:26]}', '{LOWER[:26]}') as low
+  select rid, line, idx, len({_SQL_WORDS.format("line")}) as n, translate(line, '{UPPER}', '{LOWER}') as low
   from (select rid, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as idx from d)),
 judged as (
   select *, n > 0 and (
     ({_sql_count("line", SYMBOLS)} >= 3 and {_sql_count("line", SYMBOLS)} * 10 >= n * 3)
     or ({_sql_count("line", "!?")} >= 3 and {_sql_count("line", "!?")} * 10 >= n * 3)
-    or (n >= 4 and {_sql_count("line", UPPER)} > 2 * {_sql_count("line", LOWER)})
+    or (n >= 4 and length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) > 2 * length(regexp_replace(line, '[^\\p{{Ll}}]', '', 'g')))
+    or (n >= {UNPUNCTUATED_WORDS} and not regexp_matches(line, '\\p{{P}}'))
     or ({_sql_count("line", SEPARATORS)} >= 3 and {_sql_count("line", SEPARATORS)} * 3 >= n)
-    or (n <= {CRUMB_WORDS} and not regexp_matches(line, '[.!?:;,"”»…)]\\s*$'))
+    or (n <= {CRUMB_WORDS} and not regexp_matches(line, '[.!?:;,"”»…)。！？]\\s*$'))
     or (n <= {BOILERPLATE_WORDS} and ({_SQL_BOILER}))) as fails
   from lines),
 by_line as (

@@ -5,8 +5,10 @@ values and endpoints - mean little by themselves: they are reported only when co
 ``SCOPE`` code points of them in the same text. An identifier needs a secret, a secret needs an identifier, an endpoint
 needs both. The parts are linked by an interval join over (text, stretch of ``SCOPE`` code points).
 
-Defined results: a null text is an empty one and has no spans. Rows with equal id and text get equal results, each row
-its own; null ids are allowed. Positions count code points, ends are exclusive.
+Defined results: a null text is an empty one and has no spans; an empty table gives an empty result. Rows with equal id and
+text get equal results, each row its own; null ids are allowed; other columns of the input don't enter. Positions count code
+points, ends are exclusive. A long text is scanned whole; starts are summed run by run and masked texts are put
+together from pieces, so the work hardly grows faster than the text and its spans.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, read_table
+from .common import Scratch, let, read_table
 
 SCOPE = 400
 #: Kinds in the order in which spans with the same start are listed: (kind, role, pattern, group with the value, its least length).
@@ -31,15 +33,41 @@ WEAK = [
 KINDS = [k for k, *_ in STRONG + WEAK]
 
 
+#: Entries that a running sum or maximum takes at a time.
+RUN = 512
+#: Characters of a text in each of the pieces that masking cuts it into.
+PIECE = 4096
+
+
+def running(values: Column, combine) -> Column:
+    """What ``combine`` (of two numbers, with 0 neutral) makes of all entries of an array up to each of them.
+
+    Runs of ``RUN`` entries are accumulated one by one, then the runs; so n entries cost about n x ``RUN`` / 2 + (n / ``RUN``)**2 / 2 steps.
+    """
+    none = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("all"))
+
+    def accumulated(entries: Column) -> Column:
+        def more(done: Column, x: Column) -> Column:
+            return F.struct(combine(done["last"], x).alias("last"), F.concat(done["all"], F.array(combine(done["last"], x))).alias("all"))
+
+        return F.aggregate(entries, none, more, lambda done: done["all"])
+
+    def joined(runs: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), accumulated(F.transform(runs, lambda r: F.element_at(r, -1))))
+        moved = F.zip_with(runs, before, lambda r, b: F.transform(r, lambda x: combine(b, x)))
+        return F.flatten(F.slice(moved, 1, F.size(runs)))
+
+    def cut(v: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(RUN))
+        return F.when(F.size(v) <= RUN, accumulated(v)).otherwise(let(F.transform(firsts, lambda k: accumulated(F.slice(v, k + 1, RUN))), joined))
+
+    return let(values, cut)
+
+
 def _starts(gaps: Column, found: Column) -> Column:
     """Start of each match, from the lengths of the gaps before them and of the matches."""
-    step = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
-    return F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["len"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
-        lambda a: a["starts"],
-    )
+    ends = running(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b)
+    return F.zip_with(ends, found, lambda e, m: e - F.length(m))
 
 
 def find_spans(text: Column, kind: str, role: str, pattern: str, group: int, least: int) -> Column:
@@ -75,16 +103,22 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
-    """One row per document row: doc_id, text key, the strong spans and all spans (strong and linked), sorted."""
+def text_digest(doc_id: Column, text: Column) -> Column:
+    """The key of (id, text) that ``scan_secrets`` returns; a null text counts as an empty one."""
+    return F.sha2(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))), 256)
+
+
+def scan_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """One row per document row: doc_id, key of id and text, the strong spans and all spans (strong and linked), sorted."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(
         "doc_id",
-        F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), body), 256).alias("key"),
+        text_digest(F.col("doc_id"), F.col(text)).alias("key"),
         F.sort_array(F.concat(*[find_spans(body, *k) for k in STRONG])).alias("strong"),
         F.concat(*[find_spans(body, *k) for k in WEAK]).alias("weak"),
     )
-    found = materialize(found, "secret-spans")  # small: no texts, read twice below
+    with Scratch(docs.sparkSession, scratch) as own:
+        found = own.keep(found, "secret-spans")  # small: no texts, read twice below
     parts = found.where(F.size("weak") > 0).select("key", F.explode(F.concat("strong", "weak")).alias("p")).select("key", "p.*").distinct()
     added = linked_parts(parts, scope).groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end", "kind", "role")).alias("added"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,role:string>>")
@@ -98,16 +132,22 @@ def _listed(spans: Column) -> Column:
 def mask_secrets(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span (sorted by start) replaced by a mask; overlapping spans become one."""
     body = F.coalesce(text, F.lit(""))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        state,
-        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+
+    def masked(pieces: Column, reach: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            near = F.array_join(F.slice(pieces, first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+            return F.substring(near, a - first * PIECE + 1, b - a)
+
+        # a span that begins where all before it have ended begins a new mask
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        gaps = F.filter(F.transform(spans, lambda x, i: F.struct(before(i).alias("a"), x["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        kept = F.transform(gaps, lambda g: between(g["a"], g["b"]))
+        return F.array_join(F.concat(kept, F.array(between(F.element_at(reach, -1), F.length(body)))), mask)
+
+    cut = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) == 0, text).otherwise(let(cut, lambda p: let(ends, lambda r: masked(p, r))))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,83 +1,88 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-How many rows each input block sends to each shard is drawn exactly: the rows of the matrix are multivariate
+How many rows each input block sends to each shard is drawn first: the rows of the matrix are multivariate
 hypergeometric, with shard sizes at most one apart. Every block then permutes its rows, deals them out by its row of the
 matrix, and each shard permutes what it gets. The result is a uniformly random assignment and order.
 
-The driver sees only the counts of the blocks (at most ``BLOCKS``) and draws ``BLOCKS`` x shards numbers. The second
-permutation orders a shard by random keys in stretches of about ``STRETCH`` rows, numbered from the stretches' counts, so
-a shard is no single task.
+The matrix is drawn the same way at every size: each block's counts are multinomial, and then the rows that a shard has
+above its size, a uniform choice among all its rows, move to the shards below theirs in random order. No row is treated
+unlike another, so all assignments with these sizes are equally likely, which is the hypergeometric law. About
+sqrt(rows x shards) rows move.
 
-Defined results: each input row gets one place, rows that repeat included; nulls and empty texts are rows like any other;
-an empty table gives an empty result. With the same input files and seed the result is the same.
+A block is a run of at most ``BLOCK_ROWS`` rows of one partition, so the driver sees the counts of (partitions + rows /
+``BLOCK_ROWS``) blocks, and draws as many rows of the matrix. The second permutation orders a shard by random keys in
+stretches of about ``STRETCH`` rows, numbered from the stretches' counts, so a shard is no single task. Permutations and
+places are worked out on row numbers alone; the rows themselves are written once, to fix their numbers, and moved
+once, to meet their places.
+
+Defined results: each input row gets one place, rows that repeat included; nulls and empty or very long texts are rows like
+any other; an empty table gives an empty result. Input columns named shard or slot are replaced; other names don't
+clash. With the same input files and seed the result is the same.
 """
 
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
-
-BLOCKS, STRETCH, SHARDS, SEED = 4096, 1_000_000, 40, 20
-_NUMPY_MOST = 10**9 - 1
-
+from .common import Scratch, read_table
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact draw of how many of ``draws`` items taken are good, for any population size."""
-    if good + bad <= _NUMPY_MOST:
-        return int(rng.hypergeometric(good, bad, draws)) if draws and good else 0
-    total, low, high = good + bad, max(0, draws - bad), min(good, draws)
-    spread = math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))) + 1
-    mode = (draws + 1) * (good + 1) // (total + 2)
-    ks = np.arange(max(low, int(mode - 14 * spread)), min(high, int(mode + 14 * spread)) + 1, dtype=np.float64)
-    steps = np.log(good - ks[:-1]) + np.log(draws - ks[:-1]) - np.log(ks[1:]) - np.log(bad - draws + ks[1:])
-    logs = np.concatenate([[0.0], np.cumsum(steps)])
-    mass = np.cumsum(np.exp(logs - logs.max()))
-    return int(ks[min(int(np.searchsorted(mass, rng.random() * mass[-1], "right")), len(ks) - 1)])
+BLOCK_ROWS, STRETCH, SHARDS, SEED = 1_000_000, 1_000_000, 40, 20
+_IN_PARTITION = 1 << 33  # the row numbers that Spark gives out in each partition
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Rows sent from each block (row) to each shard (column); column sums are at most one apart."""
-    rng, total = np.random.default_rng(seed), sum(counts)
-    left = [total // shards + (s < total % shards) for s in range(shards)]
-    out = np.zeros((len(counts), shards), np.int64)
-    for b, n in enumerate(counts):
-        rest = sum(left)
-        for s in range(shards):
-            rest -= left[s]
-            out[b, s] = hypergeometric(rng, left[s], rest, n)
-            n -= int(out[b, s])
-            left[s] -= int(out[b, s])
+    rng, choose, total = np.random.default_rng(seed), random.Random(seed), sum(counts)
+    want = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+    out = np.array([rng.multinomial(n, want / max(1, total)) for n in counts], np.int64).reshape(len(counts), shards)
+    moved: list[np.ndarray] = []
+    for s in range(shards):
+        have = np.cumsum(out[:, s])
+        above = int(have[-1] - want[s]) if len(have) else 0
+        if above > 0:  # which of its rows, counted block by block
+            blocks = np.searchsorted(have, np.array(choose.sample(range(int(have[-1])), above)), "right")
+            out[:, s] -= np.bincount(blocks, minlength=len(counts))
+            moved.append(blocks)
+    if moved:
+        places = np.repeat(np.arange(shards), np.maximum(want - out.sum(0), 0))
+        np.add.at(out, (np.concatenate(moved), rng.permutation(places)), 1)
     return out
 
 
-def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, scratch: Scratch | None = None, block_rows: int = BLOCK_ROWS, stretch: int = STRETCH) -> DataFrame:
     """All rows and columns with ``shard`` and ``slot`` (gapless from 0 within a shard) added."""
-    own = ("__block", "__row", "__key", "__rank", "__sent", "__stretch", "__in", "__before")
     spark = docs.sparkSession
-    rows = docs.select("*", F.pmod(F.spark_partition_id(), F.lit(BLOCKS)).alias("__block"), F.monotonically_increasing_id().alias("__row"))
-    rows = materialize(rows, "blocks-of-rows")  # fixes which row is in which block
-    counts = {r["__block"]: r["count"] for r in rows.groupBy("__block").count().collect()}
-    blocks, total = sorted(counts), sum(counts.values())
-    matrix = communication_matrix([counts[b] for b in blocks], shards, seed)
-    sent = spark.createDataFrame([(b, np.cumsum(r).tolist()) for b, r in zip(blocks, matrix, strict=True)], "__block int, __sent array<long>")
-    local = W.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), "__row"), "__row")
-    dealt = rows.withColumn("__rank", F.row_number().over(local)).join(F.broadcast(sent), "__block")  # at most BLOCKS rows
-    dealt = dealt.withColumn("shard", F.size(F.filter("__sent", lambda c: c < F.col("__rank"))))
-    stretches = max(1, math.ceil(total / shards / STRETCH))
-    key = F.xxhash64(F.lit(seed + 1), "__row")
-    dealt = dealt.withColumn("__key", key).withColumn("__stretch", F.floor(F.pmod(key, F.lit(1 << 40)) * stretches / (1 << 40)).cast("int"))
-    dealt = materialize(dealt.drop("__sent", "__rank"), "dealt-rows")
-    filled = dealt.groupBy("shard", "__stretch").agg(F.count("*").alias("__in"))  # shards x stretches rows
-    before = filled.select("shard", "__stretch", (F.sum("__in").over(W.partitionBy("shard").orderBy("__stretch")) - F.col("__in")).alias("__before"))
-    place = F.row_number().over(W.partitionBy("shard", "__stretch").orderBy("__key", "__row"))
-    placed = dealt.withColumn("__in", place).join(before, ["shard", "__stretch"])
-    return placed.withColumn("slot", (F.col("__before") + F.col("__in") - 1).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], "shard", "slot")
+    row = F.col("row")
+    with Scratch(spark, scratch) as own:
+        # fixes the rows' numbers
+        rows = own.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered-rows")
+        block = F.struct(F.shiftright(row, 33).alias("partition"), F.floor(row % _IN_PARTITION / block_rows).alias("part"))
+        numbers = rows.select("row", block.alias("block"))
+        counts = sorted((tuple(r["block"]), r["count"]) for r in numbers.groupBy("block").count().collect())
+        total = sum(n for _, n in counts)
+        matrix = communication_matrix([n for _, n in counts], shards, seed)
+        sent = [(b, np.cumsum(r).tolist()) for (b, _), r in zip(counts, matrix, strict=True)]
+        sent = spark.createDataFrame(sent, "block struct<partition:long,part:long>, sent array<long>")
+        local = W.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "row"), "row")
+        dealt = numbers.withColumn("rank", F.row_number().over(local)).join(sent, "block")
+        stretches = max(1, math.ceil(total / shards / stretch))
+        key = F.xxhash64(F.lit(seed + 1), "row")
+        dealt = dealt.select("row", F.size(F.filter("sent", lambda c: c < F.col("rank"))).alias("shard"), key.alias("key"))
+        dealt = dealt.withColumn("stretch", F.floor(F.pmod("key", F.lit(1 << 40)) * stretches / (1 << 40)).cast("int"))
+        dealt = own.write(dealt, "dealt-rows")
+        filled = dealt.groupBy("shard", "stretch").agg(F.count("*").alias("n"))  # shards x stretches rows
+        before = filled.select("shard", "stretch", (F.sum("n").over(W.partitionBy("shard").orderBy("stretch")) - F.col("n")).alias("before"))
+        place = F.row_number().over(W.partitionBy("shard", "stretch").orderBy("key", "row"))
+        placed = dealt.withColumn("place", place).join(before, ["shard", "stretch"])
+        places = own.keep(placed.select("row", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot")), "places")
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return rows.join(places, "row").select(*kept, "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -9,7 +9,9 @@ other segment, of which one must again agree but for one bit; no pair is dropped
 Equal fingerprints are one node, so copies never multiply. Groups are the connected components of the links.
 
 Defined results: null or empty texts have fingerprint zero, linked like any other; a null id never names a component
-unless all its ids are null; repeated rows each keep their row.
+unless all its ids are null; repeated rows each keep their row; an empty table gives an empty result. Other columns of the
+input don't enter: only ``doc_id``, the text and the columns named by ``carry`` are read. A long text is worked on whole,
+its shingles hashed one by one and counted 65,536 at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, read_table
+from .common import Scratch, map_texts, read_table
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 200
@@ -66,11 +68,11 @@ def _ball(key: Column, bits: int, whole: bool) -> Column:
     return F.concat(F.array(key), F.transform(flips if whole else F.filter(flips, lambda f: key.bitwiseAND(f) == 0), lambda f: key.bitwiseXOR(f)))
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def hamming_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that differ in at most ``radius`` (3 or fewer) bits."""
     filed = fps.select("fp", F.posexplode(F.array(*_segments(F.col("fp")))).alias("seg", "key"))
     counts = filed.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key")
-    crowded = materialize(counts, "crowded-buckets")
+    crowded = scratch.write(counts, "crowded-buckets")
     probes = filed.select(F.col("fp").alias("a"), "seg", F.explode(_ball(F.col("key"), 32, False)).alias("key"))
     entries = filed.select(F.col("fp").alias("b"), "seg", "key")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") != F.col("b"))
@@ -85,15 +87,17 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def simhash_groups(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """One row per document row: doc_id, the columns ``carry``, fp, root (one fingerprint names each group) and component_id,
     the smallest id reachable over links."""
-    rows = materialize(with_fingerprint(docs, text, ["doc_id", *carry]), "fingerprints")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = connected_components(hamming_links(first.select("fp")))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    with Scratch(docs.sparkSession, scratch) as own:
+        rows = own.keep(with_fingerprint(docs, text, ["doc_id", *carry]), "fingerprints")
+        first = own.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+        roots = connected_components(hamming_links(first.select("fp"), own), own)
+        named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+        least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        groups = own.keep(named.join(least, "root").select("fp", "root", "component_id"), "fingerprint-groups")
+    return rows.join(groups, "fp")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ documents share costs one row for each of its occurrences and never a pair of oc
 
 Defined results: null texts have no words; only a strictly smaller id removes anything, so rows that share an id, and
 rows whose id is null, remove nothing from each other (a null id counts as larger than any). Repeated rows get equal
-results.
+results. Words are known by XXH3 (64 bits for the anchors, two halves of 128 bits for contexts and windows), windows by
+hashes that mix all bits at each step. A text is worked on whole, with some 60 bytes of memory for each of its words;
+its windows are handed on ``AT_ONCE`` at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,24 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks_of, hash_words, map_texts, materialize, mix64, read_table, spans_hash, text_key, window_hashes
+from .common import Scratch, chunks_of, hash_words, hash_words_twice, map_texts, mix64, read_table, spans_hash, text_key, window_hashes
 
 WINDOW = 50
 #: Probes carry 48 bits of hash and the low 16 bits of the position in one long; false hits only cost work in (2).
 HASH_BITS = 48
+#: Windows of a batch that are handed on at a time.
+AT_ONCE = 1 << 19
 
 
-def _batches(table: pa.Table, column: str = "text"):
-    """(first row, word hashes, offsets) for parts of a batch of about 2 MB of text."""
-    texts = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in enumerate(table.column(column).to_pylist())]
+def _batches(table: pa.Table, hashes_of):
+    """(first row, what ``hashes_of`` makes of the texts) for parts of a batch of about 2 MB of text."""
+    texts = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in enumerate(table.column("text").to_pylist())]
     for part in chunks_of(texts):
-        hashes, offsets = hash_words([t for _, t in part])
-        yield part[0][0], hashes, offsets
+        yield part[0][0], *hashes_of([t for _, t in part])
 
 
-def _inside(offsets: np.ndarray, size: int) -> np.ndarray:
-    """Starts of the windows of ``size`` words that lie within one text."""
-    spans = [np.arange(a, b - size + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=False) if b - a >= size]
+def _inside(offsets: np.ndarray, size: int, step: int, least: int) -> np.ndarray:
+    """Every ``step``-th start of the windows of ``size`` words that lie within one text of ``least`` words or more."""
+    spans = [np.arange(a, b - size + 1, step) for a, b in zip(offsets[:-1], offsets[1:], strict=False) if b - a >= least]
     return np.concatenate(spans) if spans else np.zeros(0, np.int64)
 
 
@@ -51,40 +54,36 @@ def anchors(docs: DataFrame, window: int, blocks_only: bool) -> DataFrame:
 
     def run(table: pa.Table):
         keys = table.column("doc").to_numpy()
-        for first, hashes, offsets in _batches(table):
-            at = _inside(offsets, size)
-            if not len(at):
-                continue
-            row = np.searchsorted(offsets, at, "right") - 1
-            pos = at - offsets[row]
-            length = offsets[row + 1] - offsets[row]
-            use = length >= window
-            if blocks_only:
-                use &= pos % size == 0
-            at, row, pos = at[use], row[use], pos[use]
-            h = window_hashes(hashes, size)[at] >> np.uint64(64 - HASH_BITS)
-            v = (pos.astype(np.uint64) << np.uint64(HASH_BITS)) | h
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(keys[first + row])], ["v", "doc"])
+        for first, words, offsets in _batches(table, hash_words):
+            places = _inside(offsets, size, size if blocks_only else 1, window)
+            hashes = window_hashes(words, size) if len(places) else None
+            for k in range(0, len(places), AT_ONCE):
+                at = places[k : k + AT_ONCE]
+                row = np.searchsorted(offsets, at, "right") - 1
+                v = ((at - offsets[row]).astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes[at] >> np.uint64(64 - HASH_BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(keys[first + row])], ["v", "doc"])
 
     return map_texts(docs, run, "v long, doc long")
 
 
-def repeat_hits(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeat_hits(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Rows (doc, at): per document key, the positions (modulo 65536) of block-sized windows that match a block of another document.
 
     The matched reference blocks themselves are among them.
     """
     mask = F.lit((1 << HASH_BITS) - 1)
     place = lambda: F.shiftrightunsigned("v", HASH_BITS).cast("int").alias("at")
-    blocks = materialize(anchors(docs, window, True).select("doc", place(), F.col("v").bitwiseAND(mask).alias("h")), "blocks")
-    # written, so that the probes of a very common block can be split over tasks
-    index = materialize(blocks.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "block-index")
-    probes = anchors(docs, window, False)
-    hit = (probes["v"].bitwiseAND(mask) == index["h"]) & ((index["lo"] != probes["doc"]) | (index["hi"] != probes["doc"]))
-    hits = materialize(probes.join(index.hint("shuffle_hash"), hit).select("doc", place(), "h"), "probe-hits")
-    met = materialize(hits.select("h").distinct(), "blocks-met")  # written, so that a very common block's rows can be split over tasks
-    matched = materialize(blocks.join(met, "h", "left_semi").select("doc", "at"), "blocks-hit")
-    return hits.select("doc", "at").unionByName(matched).groupBy("doc").agg(F.collect_set("at").alias("at"))  # bounded by the words of one text
+    with Scratch(docs.sparkSession, scratch) as own:
+        blocks = own.write(anchors(docs, window, True).select("doc", place(), F.col("v").bitwiseAND(mask).alias("h")), "blocks")
+        # written, so that the probes of a very common block can be split over tasks
+        index = own.write(blocks.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "block-index")
+        probes = anchors(docs, window, False)
+        hit = (probes["v"].bitwiseAND(mask) == index["h"]) & ((index["lo"] != probes["doc"]) | (index["hi"] != probes["doc"]))
+        hits = own.write(probes.join(index.hint("shuffle_hash"), hit).select("doc", place(), "h"), "probe-hits")
+        met = own.write(hits.select("h").distinct(), "blocks-met")  # written, so that a very common block's rows can be split over tasks
+        matched = own.write(blocks.join(met, "h", "left_semi").select("doc", "at"), "blocks-hit")
+        both = hits.select("doc", "at").unionByName(matched)
+        return own.keep(both.groupBy("doc").agg(F.collect_set("at").alias("at")), "repeat-hits")  # bounded by the words of one text
 
 
 def _all_places(at: pa.Scalar, n: int, size: int) -> np.ndarray:
@@ -99,21 +98,22 @@ def _at_hits(docs: DataFrame, hits: DataFrame, places_of, hashes_of) -> DataFram
 
     def run(table: pa.Table):
         keys, ids, hit = table.column("doc").to_numpy(), table.column("doc_id"), table.column("at")
-        for first, hashes, offsets in _batches(table):
+        for first, one, two, offsets in _batches(table, hash_words_twice):
             places = [places_of(hit[first + k], int(offsets[k + 1] - offsets[k])) for k in range(len(offsets) - 1)]
-            row, start = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
-            w1, w2 = hashes_of(hashes, offsets, row, start) if len(start) else (np.zeros(0, np.uint64),) * 2
-            columns = [w1.view(np.int64), w2.view(np.int64), keys[first + row]]
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), ids.take(pa.array(first + row)).combine_chunks(), pa.array(start.astype(np.int32))],
-                ["w1", "w2", "doc", "doc_id", "start"],
-            )
+            rows, starts = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
+            for k in range(0, len(starts), AT_ONCE):
+                row, start = rows[k : k + AT_ONCE], starts[k : k + AT_ONCE]
+                columns = [x.view(np.int64) for x in hashes_of(one, two, offsets, row, start)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, [*columns, keys[first + row]]), ids.take(pa.array(first + row)).combine_chunks(), pa.array(start.astype(np.int32))],
+                    ["w1", "w2", "doc", "doc_id", "start"],
+                )
 
     near = docs.join(hits.hint("shuffle_hash"), "doc").select("doc", "doc_id", "text", "at")
     return map_texts(near, run, "w1 long, w2 long, doc long, doc_id long, start int")
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """Rows (doc, starts, hits): windows whose words also start in a document with a smaller id: their starts, and the
     blocks of which every window around them is one.
 
@@ -123,22 +123,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     size = window // 2
     reach = window - size
-    hits = materialize(repeat_hits(docs, window), "repeat-hits")
 
-    def contexts(hashes, offsets, row, start):
+    def contexts(one, two, offsets, row, start):
         begin = np.maximum(start - reach, 0)
         end = np.minimum(start + window, offsets[row + 1] - offsets[row])
-        block = window_hashes(hashes, size)[start + offsets[row]]
         left = (start - begin).astype(np.uint64)
-        return block, spans_hash(hashes, begin + offsets[row], end + offsets[row]) ^ mix64(left)
-
-    found = materialize(_at_hits(docs, hits, lambda at, n: _all_places(at, n, size), contexts), "repeat-contexts")
-    kinds = found.groupBy(F.col("w1").alias("w1")).agg(F.min("w2").alias("c1"), F.max("w2").alias("c2"), F.min("doc_id").alias("least"))
-    kinds = materialize(kinds, "block-kinds")
-    judged = found.join(kinds, "w1")
-    whole = judged.where("c1 = c2 and (doc_id > least or (doc_id is null and least is not null))")
-    whole = whole.groupBy("doc").agg(F.collect_set("start").alias("hits"))
-    mixed = materialize(judged.where("c1 != c2").groupBy("doc").agg(F.collect_set(F.col("start") % 65536).alias("at")), "mixed-hits")
+        return window_hashes(one, size)[start + offsets[row]], spans_hash(two, begin + offsets[row], end + offsets[row]) ^ mix64(left)
 
     def windows_at(at, n: int) -> np.ndarray:
         places = _all_places(at, n, size)
@@ -147,22 +137,31 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         np.add.at(mark, places + 1, -1)
         return np.flatnonzero(np.cumsum(mark[: n - window + 1]) > 0)
 
-    def windows(hashes, offsets, row, start):
+    def windows(one, two, offsets, row, start):
         at = start + offsets[row]
-        return window_hashes(hashes, window, 1)[at], window_hashes(hashes, window, 2)[at]
-
-    each = materialize(_at_hits(docs, mixed, windows_at, windows), "repeat-windows")
-    least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    least = materialize(least.where("least < most or nulls > 0").select("w1", "w2", "least"), "first-windows")
-    later = each.join(least, ["w1", "w2"]).where("doc_id > least or (doc_id is null and least is not null)")
-    alone = later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
-    return whole.join(alone, "doc", "full")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+        return window_hashes(one, window)[at], window_hashes(two, window)[at]
+
+    with Scratch(docs.sparkSession, scratch) as own:
+        hits = repeat_hits(docs, window, own)
+        found = own.write(_at_hits(docs, hits, lambda at, n: _all_places(at, n, size), contexts), "repeat-contexts")
+        kinds = found.groupBy("w1").agg(F.min("w2").alias("c1"), F.max("w2").alias("c2"), F.min("doc_id").alias("least"))
+        kinds = own.write(kinds, "block-kinds")
+        judged = found.join(kinds, "w1")
+        whole = judged.where("c1 = c2 and (doc_id > least or (doc_id is null and least is not null))")
+        whole = whole.groupBy("doc").agg(F.collect_set("start").alias("hits"))
+        mixed = own.write(judged.where("c1 != c2").groupBy("doc").agg(F.collect_set(F.col("start") % 65536).alias("at")), "mixed-hits")
+        each = own.write(_at_hits(docs, mixed, windows_at, windows), "repeat-windows")
+        least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+        least = own.write(least.where("least < most or nulls > 0").select("w1", "w2", "least"), "first-windows")
+        later = each.join(least, ["w1", "w2"]).where("doc_id > least or (doc_id is null and least is not null)")
+        alone = later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+        return own.keep(whole.join(alone, "doc", "full"), "repeat-starts")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """One row per document row: doc_id, n_words, n_removed and kept, the words left joined by one space."""
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("doc"))
-    starts = materialize(repeated_starts(keyed, window), "repeat-starts")
+    starts = repeated_starts(keyed, window, scratch)
 
     def run(table: pa.Table):
         counts, gone, kept = [], [], []
