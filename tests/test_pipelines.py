@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -90,3 +91,42 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_failed_rename_loses_nothing(spark, tmp_path, monkeypatch):
+    from tripforge.sources import io
+
+    path = f"{tmp_path}/t.parquet"
+    io.write_parquet(spark.range(3), path)
+    move, calls = io._move, []
+
+    def failing(fs, source, target):
+        calls.append(source.toString())
+        if source.toString().endswith(".writing"):
+            raise OSError("no")
+        move(fs, source, target)
+
+    monkeypatch.setattr(io, "_move", failing)
+    with pytest.raises(OSError, match="no"):
+        io.write_parquet(spark.range(9), path, "overwrite")
+    assert len(calls) == 3 and spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(io, "_move", move)
+    assert io.write_parquet(spark.range(9), path, "overwrite") and spark.read.parquet(path).count() == 9
+    assert io.write_parquet(spark.range(2), path, "append") and spark.read.parquet(path).count() == 11
+    assert not io.write_parquet(spark.range(2), path, "skip")
+    with pytest.raises(FileExistsError):
+        io.write_parquet(spark.range(2), path)
+    assert [p for p in os.listdir(tmp_path) if p != "t.parquet"] == []
+    io.write_parquet(spark.range(5), f"{tmp_path}/root/a/b")
+    assert io.copy_tree(spark, f"{tmp_path}/root", f"{tmp_path}/copy") >= 1
+    assert spark.read.parquet(f"{tmp_path}/copy/a/b").count() == 5
+
+
+@pytest.mark.parametrize(("kinds", "wide"), [
+    ({"int"}, "int"), ({"int", "bigint"}, "bigint"), ({"tinyint", "smallint"}, "smallint"), ({"int", "double"}, "double"), ({"bigint", "float"}, "double"), ({"smallint", "float"}, "float"), ({"int", "string"}, "string"),
+    ({"decimal(10,2)", "int"}, "decimal(12,2)"), ({"decimal(38,10)", "bigint"}, "decimal(38,10)"), ({"decimal(5,1)", "double"}, "double"), ({"date", "timestamp_ntz"}, "timestamp_ntz"), ({"boolean", "int"}, "string"),
+])
+def test_types_widen(kinds, wide):
+    from tripforge.sources.io import common_type
+
+    assert common_type(kinds) == wide

@@ -14,6 +14,7 @@ FILTERED = [
     "rideable_type", "started_at", "member_casual", "city", "trip_duration", "same_station", "day_of_week", "month", "is_weekend", "part_of_day",
     "hour_sin", "hour_cos", "haversine_distance_km", "bearing_sin", "bearing_cos", "hour",
 ]
+# Weather columns, category values and the column groups of the published model tables.
 WEATHER_VALUES = ["temperature_c", "precipitation_mm", "wind_speed_kph", "snow_mm", "rain_flag", "snow_flag"]
 WEATHER = ["city", "weather_hour", *WEATHER_VALUES]
 CATEGORIES = {"rideable_type": ["classic_bike", "electric_bike"], "part_of_day": ["morning_peak", "midday", "evening_peak", "night"]}

@@ -32,6 +32,19 @@ def weekday0(t: Column) -> Column:
     return F.weekday(t)
 
 
+def date_text(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd")
+
+
+def month_text(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM")
+
+
+def day_name(t: Column) -> Column:
+    """English name of the day."""
+    return F.date_format(t, "EEEE")
+
+
 def is_weekend(day: Column) -> Column:
     return F.when(day.isin(5, 6), 1).otherwise(0)
 

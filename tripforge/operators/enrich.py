@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import WEATHER, WEATHER_VALUES, ContractError, require_columns
@@ -55,10 +57,10 @@ def with_weather(trips: DataFrame, weather: DataFrame, hour: Column | None = Non
 
 
 def hour_coverage(weather: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Per city: hours between two bounds, how many of them have weather, and that share."""
+    """Per city: hours between two bounds, how many of them have a known temperature, and that share."""
     hours = weather.sparkSession.range(1).select(F.explode(F.sequence(X.floor_hour(start), X.floor_hour(end), F.expr("interval 1 hour"))).alias("weather_hour"))
     wanted = hours.agg(F.count("*").alias("hours_expected"))
-    have = weather.join(hours, "weather_hour", "left_semi").groupBy("city").agg(F.count_distinct("weather_hour").alias("hours_covered"))
+    have = weather.where("temperature_c is not null").join(hours, "weather_hour", "left_semi").groupBy("city").agg(F.count_distinct("weather_hour").alias("hours_covered"))
     return have.crossJoin(F.broadcast(wanted)).withColumn("coverage", F.col("hours_covered") / F.col("hours_expected"))  # one row
 
 
@@ -67,9 +69,24 @@ def choose_source(candidates: DataFrame) -> DataFrame:
     return candidates.where("coverage_hours > 0").orderBy(F.col("coverage_hours").desc(), F.col("distance_km").asc_nulls_last(), "source").limit(1)
 
 
+def nearby_stations(places: DataFrame, stations: DataFrame, max_km: float = 100.0, most: int = 25) -> DataFrame:
+    """For each place (city, lat, lng): the stations (source, lat, lng) within ``max_km``, nearest first, at most ``most``, with ``distance_km``.
+
+    Stations are matched by cells of latitude as high as the limit, so only those of the place's band and its neighbours meet it.
+    """
+    height = max_km / (math.radians(1) * X.EARTH_KM)
+    band = lambda lat: F.floor(F.col(lat) / F.lit(height))
+    near = stations.select("source", F.col("lat").alias("st_lat"), F.col("lng").alias("st_lng"), band("lat").alias("band"))
+    asked = places.select("*", F.explode(F.array(*[band("lat") + d for d in (-1, 0, 1)])).alias("band"))
+    km = X.haversine_km(F.col("lat"), F.col("lng"), F.col("st_lat"), F.col("st_lng"))
+    rank = F.row_number().over(Window.partitionBy("city").orderBy("distance_km", "source"))
+    return asked.join(near, "band").withColumn("distance_km", km).where(F.col("distance_km") <= max_km).withColumn("rank", rank).where(F.col("rank") <= most).drop("band")
+
+
 def with_stations(trips: DataFrame, stations: DataFrame) -> DataFrame:
-    """Inner join of the stations (station_id, station_name, lat, lng) at both ends."""
+    """Inner join of the stations (station_id, station_name, lat, lng) at both ends; a station that repeats is an error."""
     out = trips
+    require_unique(stations, ["station_id"])
     for end in ("start", "end"):
         side = stations.select(F.col("station_id").alias(f"{end}_station_id"), F.col("station_name").alias(f"{end}_name"), F.col("lat").alias(f"{end}_st_lat"), F.col("lng").alias(f"{end}_st_lng"))
         out = out.join(side, f"{end}_station_id")

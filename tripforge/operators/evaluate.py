@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
+from .mlprep import free_domains, one_hot
 
 SLICES = 512
 
@@ -67,8 +68,11 @@ def regression_scores(rows: DataFrame, label: str, prediction: str) -> DataFrame
     return s.select(rounded(F.lit(1.0) - F.try_divide("sse", "sst"), 4).alias("r2"), rounded(F.col("mae"), 4).alias("mae"))
 
 
-def forest_utility(train: DataFrame, test: DataFrame, features: list[str], label: str = "trip_duration", trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:
-    """R2 and error on ``test`` of a random forest fitted on ``train``; rows with an unknown feature are left out."""
+def forest_utility(train: DataFrame, test: DataFrame, features: list[str], label: str = "trip_duration", trees: int = 100, depth: int = 30, seed: int = 42) -> DataFrame:
+    """R2 and error on ``test`` of a random forest fitted on ``train``; rows with an unknown feature are left out.
+
+    The published forest has 100 trees of any depth; 30 is the greatest depth that Spark's trees take.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -79,6 +83,19 @@ def forest_utility(train: DataFrame, test: DataFrame, features: list[str], label
     return regression_scores(model.transform(assembler.transform(number(test))), label, "prediction")
 
 
+def coded_features(frames: list[DataFrame], categorical: list[str], label: str = "trip_duration") -> tuple[list[DataFrame], list[str]]:
+    """The frames with 0/1 columns in place of their text columns, the same ones in each, and the names of the features.
+
+    Missing numbers count as 0; a value that a frame lacks is a column of zeros there.
+    """
+    texts = [c for c in categorical if dict(frames[0].dtypes)[c] == "string"]
+    domains = free_domains(frames, texts) if texts else {}
+    numbers = [c for c in frames[0].columns if c not in (*texts, label)]
+    filled = [one_hot(f, domains).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers}) if domains else f for f in frames]
+    named = {f"{c}_{v}": f"f{i}" for i, (c, v) in enumerate((c, v) for c, values in domains.items() for v in values)}
+    return [f.withColumnsRenamed(named) for f in filled], [*numbers, *named.values()]
+
+
 def gap_label(gap: Column) -> Column:
     """Words for the difference between real and synthetic training."""
     return F.when(gap < 0.05, "Excellent").when(gap < 0.10, "Good").when(gap < 0.20, "Moderate").otherwise("Poor")
@@ -91,9 +108,10 @@ def bootstrap_generator(real: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return uniform_sample(real, n, seed)
 
 
-def evaluate_synthetic(real: DataFrame, test: DataFrame, synthetic: DataFrame, continuous: list[str], categorical: list[str], features: list[str], **forest) -> dict:
+def evaluate_synthetic(real: DataFrame, test: DataFrame, synthetic: DataFrame, continuous: list[str], categorical: list[str], label: str = "trip_duration", **forest) -> dict:
     """Fidelity and utility of synthetic rows as a report; the frames should be written tables, since each is read several times."""
     rows = [r.asDict() for r in fidelity_report(real, synthetic, continuous, categorical).collect()]
     mean = lambda m: round(sum(v) / len(v), 4) if (v := [r["value"] for r in rows if r["metric"] == m and r["value"] is not None]) else None
-    own, other = (forest_utility(t, test, features, **forest).first().asDict() for t in (real, synthetic))
-    return {"fidelity": rows, "mean_ks": mean("ks_statistic"), "mean_tvd": mean("tvd"), "trtr": own, "tstr": other, "transfer_gap": round(own["r2"] - other["r2"], 4)}
+    (train, other, held), features = coded_features([real, synthetic, test], categorical, label)
+    own, transferred = (forest_utility(t, held, features, label, **forest).first().asDict() for t in (train, other))
+    return {"fidelity": rows, "mean_ks": mean("ks_statistic"), "mean_tvd": mean("tvd"), "trtr": own, "tstr": transferred, "transfer_gap": round(own["r2"] - transferred["r2"], 4)}

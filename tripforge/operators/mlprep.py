@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import BINARY, CATEGORIES, CONTINUOUS, CYCLICAL, DISCRETE, GENERATIVE_CATEGORICAL, GENERATIVE_CONTINUOUS, MODEL_INPUT, SKEWED, require_columns
+from ..contracts import BINARY, CATEGORIES, CONTINUOUS, CYCLICAL, DISCRETE, GENERATIVE_CATEGORICAL, GENERATIVE_CONTINUOUS, MODEL_INPUT, SKEWED, ContractError, require_columns
+from ..sources.scratch import Scratch
 from .quantiles import quantiles_wide
 
+#: Values of a column that are made columns of their own.
+MAX_DOMAIN = 1000
+
 
 def fit_medians(df: DataFrame, columns: list[str] = CONTINUOUS) -> dict[str, float]:
     """Exact medians; 0.0 where all values are null."""
@@ -41,20 +45,34 @@ def one_hot(df: DataFrame, domains: dict[str, list[str]] = CATEGORIES) -> DataFr
 
 
 def free_domains(frames: list[DataFrame], columns: list[str]) -> dict[str, list[str]]:
-    """All values, as text, that the columns take in any of the frames, in order."""
+    """All values, as text, that the columns take in any of the frames, in order; over ``MAX_DOMAIN`` of them are an error."""
     both = frames[0].select(*columns)
     for f in frames[1:]:
         both = both.unionByName(f.select(*columns))
-    return {c: sorted(str(r[0]) for r in both.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in columns}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("e")
+    values = both.select(cells).select("e.*").where("v is not null").distinct()
+    wide = values.groupBy("c").count().where(F.col("count") > MAX_DOMAIN).first()
+    if wide:
+        raise ContractError(f"{wide.c} has {wide['count']} values, more than {MAX_DOMAIN} columns can stand for")
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in values.orderBy("c", "v").collect():  # at most MAX_DOMAIN a column
+        found[r.c].append(r.v)
+    return found
+
+
+def fit_scaling(trips: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Medians, and mean and deviation after imputation and logarithms, from one written copy of the continuous columns."""
+    with Scratch(trips.sparkSession) as own:
+        slim = own.write(trips.select(*CONTINUOUS), "continuous-columns")
+        medians = fit_medians(slim)
+        return medians, fit_scaler(log_skewed(impute(slim, medians)))
 
 
 def model_input(trips: DataFrame) -> tuple[DataFrame, dict]:
     """The 22 model columns and the parameters they were made with."""
     require_columns(trips, [*CATEGORIES, *DISCRETE, *BINARY, *CYCLICAL, *CONTINUOUS], "model input")
-    medians = fit_medians(trips)
-    logged = log_skewed(impute(trips, medians))
-    scaler = fit_scaler(logged)
-    coded = one_hot(scale(logged, scaler))
+    medians, scaler = fit_scaling(trips)
+    coded = one_hot(scale(log_skewed(impute(trips, medians)), scaler))
     small, real = [*DISCRETE, *BINARY], [*CYCLICAL, *CONTINUOUS]
     coded = coded.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("byte") for c in small} | {c: F.col(c).cast("float") for c in real})
     return coded.select(*MODEL_INPUT), {"medians": medians, "scaler": scaler, "features": MODEL_INPUT}

@@ -23,15 +23,15 @@ def pct(part: Column, whole: Column, digits: int = 4) -> Column:
 def basic_summary(f: DataFrame, by: list[str] = ["city"]) -> DataFrame:  # noqa: B006
     """Rows, mean, exact median, least and greatest duration and distance for each group."""
     d, k = "trip_duration", "haversine_distance_km"
-    base = f.groupBy(*by).agg(F.count("*").alias("total_rows"), *[g(c).alias(f"{n}_{c}") for c in (d, k) for n, g in (("avg", F.avg), ("min", F.min), ("max", F.max))])
-    out = base.join(quantiles_wide(f, by, [d, k], {0.5: "median"}), by, "left")
+    more = {"total_rows": F.count("*")} | {f"{n}_{c}": g(c) for c in (d, k) for n, g in (("avg", F.avg), ("min", F.min), ("max", F.max))}
+    out = quantiles_wide(f, by, [d, k], {0.5: "median"}, more=more)
     return out.select(*by, "total_rows", *[rounded(F.col(f"{n}_{c}")).alias(f"{n}_{c}") for c in (d, k) for n in ("avg", "median", "min", "max")])
 
 
 def group_counts(f: DataFrame, by: list[str]) -> DataFrame:
     """Rows of each group and their share of all in per cent."""
-    total = F.sum("n").over(W.partitionBy())
-    return f.groupBy(*by).agg(F.count("*").alias("n")).withColumn("pct", pct(F.col("n"), total))
+    counts = f.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__all")))).withColumn("pct", pct(F.col("n"), F.col("__all"))).drop("__all")  # one row
 
 
 def group_means(f: DataFrame, by: list[str]) -> DataFrame:
@@ -94,11 +94,30 @@ def corr_by(f: DataFrame, by: list[str]) -> DataFrame:
 
 
 def correlation_matrix(f: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form (x, y, corr) of all pairs, from one pass."""
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    row = f.agg(*[rounded(pair_corr(x, y), 7).alias(f"c{i}") for i, (x, y) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("corr")) for i, (x, y) in enumerate(pairs) for a, b in dict.fromkeys([(x, y), (y, x)])]
-    return row.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+    """Long form (x, y, corr) of all pairs, each over the rows where both are known; null if one of them is constant there.
+
+    Sums and sums of products of the columns, less their means, are made for each pattern of known columns, so that no
+    product needs a guard. The formula is finished on one row a pattern and pair.
+    """
+    k = range(len(columns))
+    numbers = f.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"m{i}") for i in k])
+    known = F.expr(" + ".join(f"if(c{i} is null, 0L, {1 << i}L)" for i in k)).alias("known")
+    centred = numbers.crossJoin(F.broadcast(means)).select(known, *[F.expr(f"coalesce(c{i} - m{i}, 0d)").alias(f"v{i}") for i in k])  # one row
+    at = {(i, j): n for n, (i, j) in enumerate((i, j) for i in k for j in k if i <= j)}
+    lists = {"s": [f"sum(v{i})" for i in k], "lo": [f"min(v{i})" for i in k], "hi": [f"max(v{i})" for i in k], "p": [f"sum(v{i} * v{j})" for i, j in at]}
+    sums = centred.groupBy("known").agg(F.count("*").alias("n"), *[F.expr(f"array({', '.join(v)})").alias(n) for n, v in lists.items()])
+    pairs = ", ".join(f"named_struct('x', '{columns[i]}', 'y', '{columns[j]}', 'i', {i}, 'j', {j}, 'ii', {at[i, i]}, 'jj', {at[j, j]}, 'ij', {n})" for (i, j), n in at.items())
+    long = sums.select("*", F.expr(f"explode(array({pairs}))").alias("e")).select("*", "e.*")
+    both = F.expr("(known & shiftleft(1L, i)) != 0 and (known & shiftleft(1L, j)) != 0")
+    total = {"n": "n", "x1": "s[i]", "y1": "s[j]", "xx": "p[ii]", "yy": "p[jj]", "xy": "p[ij]"}
+    ends = {"xlo": "min(lo[i])", "xhi": "max(hi[i])", "ylo": "min(lo[j])", "yhi": "max(hi[j])"}
+    known_rows = long.withColumn("both", both)
+    done = known_rows.groupBy("x", "y").agg(*[F.expr(f"sum(if(both, {v}, 0))").alias(n) for n, v in total.items()], *[F.expr(v[:4] + f"if(both, {v[4:-1]}, null))").alias(n) for n, v in ends.items()])
+    corr = F.expr("case when xlo < xhi and ylo < yhi then try_divide(n * xy - x1 * y1, sqrt(n * xx - x1 * x1) * sqrt(n * yy - y1 * y1)) end")
+    cells = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    cells = F.when(F.col("x") == F.col("y"), F.slice(cells, 1, 1)).otherwise(cells)
+    return done.select(F.explode(cells).alias("e"), rounded(corr, 7).alias("corr")).select("e.x", "e.y", "corr")
 
 
 def top_hours(f: DataFrame, n: int = 3) -> DataFrame:
@@ -176,6 +195,6 @@ def boxplot(f: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Quartiles, and the outermost values within 1.5 times their distance beyond them."""
     q = quantiles_wide(f, by, [column], {0.25: "q1", 0.5: "q2", 0.75: "q3"})
     spread = F.col("q3") - F.col("q1")
-    inside = f.join(F.broadcast(q), by).where(F.col(column).between(F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread))  # q: one row a group
+    inside = f.select(*by, column).join(q, by).where(F.col(column).between(F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread))
     ends = inside.groupBy(*by).agg(F.min(column).alias("low"), F.max(column).alias("high"))
     return q.join(ends, by).select(*by, *[rounded(F.col(c)).alias(c) for c in ("low", "q1", "q2", "q3", "high")])

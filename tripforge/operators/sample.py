@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..contracts import STRATA, ContractError
+from ..sources.scratch import Scratch
 
 BUCKETS = 4096
 
@@ -37,29 +36,31 @@ def row_draw(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
 
 
-def take_exactly(df: DataFrame, keys: list[str], need: DataFrame, seed: int = 42) -> DataFrame:
-    """All rows whose stratum is in ``need`` (keys, target_in_stratum), with ``taken``: exactly so many in each stratum.
+def drawn_rows(df: DataFrame, seed: int) -> DataFrame:
+    """The rows with their draw and its range; a filter on ranges needs no look at other columns."""
+    drawn = df.withColumn("__draw", row_draw(df, seed))
+    return drawn.withColumn("__range", (F.pmod("__draw", F.lit(1 << 32)) / F.lit((1 << 32) // BUCKETS)).cast("int"))
+
+
+def take_exactly(drawn: DataFrame, keys: list[str], need: DataFrame, scratch: Scratch) -> DataFrame:
+    """All ``drawn_rows`` whose stratum is in ``need`` (keys, target_in_stratum), with ``taken``: exactly so many in each stratum.
 
     Rows are ordered by their draw. Counts of 4,096 ranges of draws tell in which range a stratum's last row lies; lower
     ranges are taken whole, and only that range's rows are ranked. So a stratum with a third of all rows is no one sort.
-    Null keys match nothing.
+    Null keys match nothing. ``drawn`` is read three times and should be a written table.
     """
-    columns = df.columns
-    drawn = df.withColumn("__draw", row_draw(df, seed))
-    drawn = drawn.withColumn("__range", (F.pmod("__draw", F.lit(1 << 32)) / F.lit((1 << 32) // BUCKETS)).cast("int"))
+    columns = [c for c in drawn.columns if c not in ("__draw", "__range")]
     counts = drawn.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__upto", F.sum("__n").over(W.partitionBy(*keys).orderBy("__range")))
-    edge = counts.join(need.select(*keys, "target_in_stratum"), keys) if keys else counts.crossJoin(F.broadcast(need.select("target_in_stratum")))
+    edge = counts.join(need.select(*keys, "target_in_stratum"), keys) if keys else counts.crossJoin(F.broadcast(need.select("target_in_stratum")))  # one row
+    below = F.col("__upto") < F.col("target_in_stratum")
     edge = edge.where("target_in_stratum > 0").groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(F.col("__upto") >= F.col("target_in_stratum"), F.col("__range"))), F.lit(BUCKETS)).alias("__edge"),
-        F.max(F.col("target_in_stratum")).alias("__need"),
-        F.collect_list(F.struct("__range", F.col("__upto").alias("u"))).alias("__ends"),
-    ).where("__need is not null")  # at most 4,096 ranges a stratum
-    before = F.coalesce(F.array_max(F.transform(F.filter("__ends", lambda e: e["__range"] < F.col("__edge")), lambda e: e["u"])), F.lit(0))
-    edge = edge.select(*keys, "__edge", (F.col("__need") - before).alias("__need"))
+        F.coalesce(F.min(F.when(~below, F.col("__range"))), F.lit(BUCKETS)).alias("__edge"),
+        (F.first("target_in_stratum") - F.coalesce(F.max(F.when(below, F.col("__upto"))), F.lit(0))).alias("__need"),
+    ).where("__need is not null")
     zero = need.where("target_in_stratum <= 0").select(*keys, F.lit(-1).alias("__edge"), F.lit(0).cast("long").alias("__need"))
-    edge = edge.unionByName(zero)
-    marked = drawn.join(edge, keys) if keys else drawn.crossJoin(F.broadcast(edge))
+    edge = scratch.keep(edge.unionByName(zero), "sample-edges")
+    marked = drawn.join(edge, keys) if keys else drawn.crossJoin(F.broadcast(edge))  # one row
     clear = marked.where("__range != __edge").select(*columns, (F.col("__range") < F.col("__edge")).alias("taken"))
     rank = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(F.pmod("__draw", F.lit(1 << 32)), "__draw"))
     close = marked.where("__range = __edge").withColumn("__rank", rank).select(*columns, (F.col("__rank") <= F.col("__need")).alias("taken"))
@@ -67,23 +68,33 @@ def take_exactly(df: DataFrame, keys: list[str], need: DataFrame, seed: int = 42
 
 
 def stratified_sample(df: DataFrame, target: int, keys: list[str] = STRATA, seed: int = 42) -> DataFrame:
-    """An exact proportional sample of min(target, rows) rows, less what null strata were allotted."""
-    need = allocate(strata_sizes(df, keys), keys, target)
-    return take_exactly(df, keys, need, seed).where("taken").drop("taken")
+    """An exact proportional sample of min(target, rows) rows, less what null strata were allotted. The rows are computed and written once."""
+    with Scratch(df.sparkSession) as own:
+        drawn = own.keep(drawn_rows(df, seed), "drawn-rows")
+        need = allocate(strata_sizes(drawn, keys), keys, target)
+        return take_exactly(drawn, keys, need, own).where("taken").drop("taken")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows without replacement."""
-    need = df.agg(F.least(F.count("*"), F.lit(n)).alias("target_in_stratum"))
-    return take_exactly(df, [], need, seed).where("taken").drop("taken")
+    with Scratch(df.sparkSession) as own:
+        drawn = own.keep(drawn_rows(df, seed), "drawn-rows")
+        need = drawn.agg(F.least(F.count("*"), F.lit(n)).alias("target_in_stratum"))
+        return take_exactly(drawn, [], need, own).where("taken").drop("taken")
 
 
 def stratified_split(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """All rows with ``split`` = test or train; ceil(share x rows) are test, by largest remainder. A stratum of one row is an error."""
-    sizes = strata_sizes(df, keys)
-    if not sizes.where("strata_size < 2").isEmpty():
-        raise ContractError("a stratum has fewer than two rows")
-    return take_exactly(df, keys, allocate(sizes, keys, share=test_share), seed).withColumn("split", F.when(F.col("taken"), "test").otherwise("train")).drop("taken")
+    """All rows with ``split`` = test or train; ceil(share x rows) are test, by largest remainder. A stratum of one row is an error.
+
+    The rows are computed and written once.
+    """
+    with Scratch(df.sparkSession) as own:
+        drawn = own.keep(drawn_rows(df, seed), "drawn-rows")
+        sizes = own.write(strata_sizes(drawn, keys), "strata-sizes")
+        if not sizes.where("strata_size < 2").isEmpty():
+            raise ContractError("a stratum has fewer than two rows")
+        taken = take_exactly(drawn, keys, allocate(sizes, keys, share=test_share), own)
+    return taken.withColumn("split", F.when(F.col("taken"), "test").otherwise("train")).drop("taken")
 
 
 def strata_report(df: DataFrame, target: int, keys: list[str] = STRATA) -> DataFrame:
@@ -98,7 +109,3 @@ def strata_report(df: DataFrame, target: int, keys: list[str] = STRATA) -> DataF
 
 def smallest_strata(df: DataFrame, keys: list[str] = STRATA, n: int = 10) -> DataFrame:
     return strata_sizes(df, keys).orderBy("strata_size", *[F.col(k).asc_nulls_last() for k in keys]).limit(n)
-
-
-def expected_test_rows(rows: int, share: float = 0.2) -> int:
-    return math.ceil(rows * share)

@@ -38,29 +38,30 @@ class TripRule:
 RULE = TripRule()
 
 
-def type_trips(raw: DataFrame) -> DataFrame:
-    """Raw columns with their types; what can't be read becomes null."""
+def type_trips(raw: DataFrame, keep: bool = False) -> DataFrame:
+    """Raw columns with their types; what can't be read becomes null. ``keep`` leaves further columns as they are."""
     require_columns(raw, RAW, "raw trips")
     kinds = {"started_at": "timestamp_ntz", "ended_at": "timestamp_ntz"} | dict.fromkeys(["start_lat", "start_lng", "end_lat", "end_lng"], "double")
-    return raw.select(*[F.col(c).try_cast(kinds.get(c, "string")).alias(c) for c in RAW])
+    more = [F.col(f"`{c}`") for c in raw.columns if keep and c not in RAW]
+    return raw.select(*[F.col(c).try_cast(kinds.get(c, "string")).alias(c) for c in RAW], *more)
 
 
-def clean_trips(raw: DataFrame, distinct: bool = False) -> DataFrame:
-    """Typed trips with times and valid coordinates; ``distinct`` drops full-row repeats over all files."""
+def clean_trips(raw: DataFrame, distinct: bool = False, keep: bool = False) -> DataFrame:
+    """Typed trips with times and valid coordinates; ``distinct`` drops full-row repeats over all files, ``keep`` keeps columns beyond ``RAW``."""
     needed = ["started_at", "ended_at", "start_lat", "start_lng", "end_lat", "end_lng"]
-    out = type_trips(raw).na.drop(subset=needed)
+    out = type_trips(raw, keep).na.drop(subset=needed)
     for c, limit in (("start_lat", 90.0), ("end_lat", 90.0), ("start_lng", 180.0), ("end_lng", 180.0)):
         out = out.where(F.col(c).between(-limit, limit))
     return out.distinct() if distinct else out
 
 
-def trip_features(clean: DataFrame) -> DataFrame:
-    """The featured stage."""
+def trip_features(clean: DataFrame, fractional: bool = False) -> DataFrame:
+    """The featured stage; ``fractional`` counts fractions of seconds in durations."""
     place = [F.col(c) for c in ("start_lat", "start_lng", "end_lat", "end_lng")]
     hour, day = F.hour("started_at"), X.weekday0(F.col("started_at"))
     hour_sin, hour_cos = X.cyclic(hour, 24)
     out = clean.withColumns({
-        "trip_duration": X.duration_minutes(F.col("started_at"), F.col("ended_at")),
+        "trip_duration": X.duration_minutes(F.col("started_at"), F.col("ended_at"), fractional),
         "same_station": X.same_station(F.col("start_station_id"), F.col("end_station_id")),
         "hour": hour, "day_of_week": day, "month": F.month("started_at"), "is_weekend": X.is_weekend(day), "part_of_day": X.part_of_day(hour),
         "hour_sin": hour_sin, "hour_cos": hour_cos,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +10,16 @@ from ..functions import exprs as X
 from ..operators import enrich, evaluate, mlprep, sample, spatial, trips
 from ..operators import profile as P
 from ..sources import io
+from ..sources.scratch import Scratch
+from . import pipelines
 from . import proxies as Q
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-TABLES = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+STAR = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+#: Depth of the registered forest: the published one has no limit, and Spark's deepest (30) takes hours on a large table.
+UTILITY_DEPTH = 12
+TABLES = [*STAR, "benchmark", "conversations", "documents", "embeddings", "labels", "pages"]
 
 
 def query(sql: str | None = None, weather: bool = False):
@@ -70,6 +73,24 @@ def clean_trips_distinct(spark, d):
     return _rounded(trips.clean_trips(twice, distinct=True), _PLACE)
 
 
+@query(_CLEAN_SQL.replace(", city from", ", city, l_linenumber, l_shipmode from").replace(", l_shipmode", "") + " c")
+def clean_trips_all_columns(spark, d):
+    """Cleaned trips with the columns that cleaning doesn't know."""
+    return _rounded(trips.clean_trips(Q.raw_trips(spark, d, ("l_linenumber",)), keep=True), _PLACE)
+
+
+@query("select city, strftime(started_at, '%Y-%m-%d') as day, strftime(started_at, '%Y-%m') as month_text, dayname(started_at) as day_name, count(*) as n from c group by all")
+def daily_counts(spark, d):
+    c = trips.clean_trips(Q.raw_trips(spark, d))
+    return c.groupBy("city", X.date_text(F.col("started_at")).alias("day"), X.month_text(F.col("started_at")).alias("month_text"), X.day_name(F.col("started_at")).alias("day_name")).agg(F.count("*").alias("n"))
+
+
+@query(f"select city, {_r('sum((epoch_us(ended_at) - epoch_us(started_at)) / 60e6)')} as minutes from c group by city")
+def fractional_durations(spark, d):
+    rows = trips.trip_features(trips.clean_trips(Q.raw_trips(spark, d)), fractional=True)
+    return rows.groupBy("city").agg(X.rounded(F.sum("trip_duration")).alias("minutes"))
+
+
 _REAL = ["start_lat", "start_lng", "end_lat", "end_lng", "trip_duration", "hour_sin", "hour_cos", "delta_lat", "delta_lng", "haversine_distance_km", "bearing", "bearing_sin", "bearing_cos"]
 
 
@@ -246,7 +267,7 @@ def peak_hours_top3(spark, d):
 
 @query()
 def data_quality_report(spark, d):
-    return P.quality_report({t: Q.table(spark, d, t) for t in TABLES}).drop("dtype")
+    return P.quality_report({t: Q.table(spark, d, t) for t in TABLES})
 
 
 # The columns of the driver tables.
@@ -255,9 +276,11 @@ _COLUMNS = {
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
     "nation": "n_nationkey n_name n_regionkey", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "region": "r_regionkey r_name", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "benchmark": "item_id text", "conversations": "conv_id turn role text", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "labels": "doc_id quality toxic", "pages": "page_id url html",
 }
+_TYPE = "case typeof(any_value({c})) when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'TIMESTAMP' then 'timestamp_ntz' when 'FLOAT[]' then 'array<float>' when 'DOUBLE[]' then 'array<double>' else lower(typeof(any_value({c}))) end"
 _SQL["data_quality_report"] = " union all ".join(
-    f"select '{t}' as file, '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as null_count, {_r(f'100e0 * (count(*) - count({c})) / count(*)', 2)} as null_percent, count({c}) as non_null_count from {t}"
+    f"select '{t}' as file, '{c}' as \"column\", {_TYPE.format(c=c)} as dtype, count(*) as rows, count(*) - count({c}) as null_count, {_r(f'100e0 * (count(*) - count({c})) / count(*)', 2)} as null_percent, count({c}) as non_null_count from {t}"
     for t, columns in _COLUMNS.items() for c in columns.split()
 )
 
@@ -315,8 +338,9 @@ def boxplot_stats(spark, d):
 
 # --- samples --------------------------------------------------------------------------------------
 
-_KEYS = ", ".join(STRATA)
-_ALLOCATE = f"""with s as (select {_KEYS}, count(*) as strata_size from k where city = 'nyc' group by all), n as (select sum(strata_size) as total from s),
+_STRATA = ["city", *STRATA]
+_KEYS = ", ".join(_STRATA)
+_ALLOCATE = f"""with s as (select {_KEYS}, count(*) as strata_size from k group by all), n as (select sum(strata_size) as total from s),
 a as (select s.*, strata_size * GOAL::double / total as raw, GOAL as goal from s, n), b as (select *, floor(raw)::bigint as base, raw - floor(raw) as frac from a),
 r as (select *, row_number() over (order by frac desc, {_KEYS}) as rank, goal - sum(base) over () as extra from b),
 alloc as (select {_KEYS}, strata_size, (base + case when rank <= extra then 1 else 0 end)::bigint as target_in_stratum from r)"""
@@ -324,35 +348,31 @@ _GOAL = _ALLOCATE.replace("GOAL", "least(5000, total)")
 _TEST = _ALLOCATE.replace("GOAL", "ceil(total * 0.2e0)")
 
 
-def _nyc(spark, d):
-    return Q.filtered(spark, d).where("city = 'nyc'")
-
-
-@query(f"""with s as (select {_KEYS}, count(*) as strata_size from k where city = 'nyc' group by all)
+@query(f"""with s as (select {_KEYS}, count(*) as strata_size from k group by all)
 select sum(strata_size)::bigint as total_rows, count(*) as n_strata, min(strata_size) as min_size, max(strata_size) as max_size, {_r('avg(strata_size)')} as avg_size, count_if(strata_size < 10)::bigint as below_10,
   count_if(strata_size < 50)::bigint as below_50, count_if(strata_size < 100)::bigint as below_100, least(1000000, sum(strata_size))::bigint as sample_rows from s""")
 def strata_report(spark, d):
-    return _rounded(sample.strata_report(_nyc(spark, d), 1_000_000), ["avg_size"])
+    return _rounded(sample.strata_report(Q.filtered(spark, d), 1_000_000, _STRATA), ["avg_size"])
 
 
-@query(f"select {_KEYS}, count(*) as strata_size from k where city = 'nyc' group by all order by strata_size, {_KEYS} limit 10")
+@query(f"select {_KEYS}, count(*) as strata_size from k group by all order by strata_size, {_KEYS} limit 10")
 def smallest_strata(spark, d):
-    return sample.smallest_strata(_nyc(spark, d))
+    return sample.smallest_strata(Q.filtered(spark, d), _STRATA)
 
 
 @query(f"{_GOAL} select * from alloc")
 def allocation_largest_remainder(spark, d):
-    return sample.allocate(sample.strata_sizes(_nyc(spark, d)), STRATA, 5000)
+    return sample.allocate(sample.strata_sizes(Q.filtered(spark, d), _STRATA), _STRATA, 5000)
 
 
 @query(f"{_GOAL} select {_KEYS}, target_in_stratum as n from alloc where target_in_stratum > 0")
 def stratified_sample_counts(spark, d):
-    return sample.stratified_sample(_nyc(spark, d), 5000).groupBy(*STRATA).agg(F.count("*").alias("n"))
+    return sample.stratified_sample(Q.filtered(spark, d), 5000, _STRATA).groupBy(*_STRATA).agg(F.count("*").alias("n"))
 
 
 @query()
 def stratified_sample_rows(spark, d):
-    return sample.stratified_sample(_nyc(spark, d), 5000)
+    return sample.stratified_sample(Q.filtered(spark, d), 5000, _STRATA)
 
 
 @query()
@@ -360,28 +380,44 @@ def uniform_sample_n(spark, d):
     return sample.uniform_sample(Q.filtered(spark, d), 2000)
 
 
-def _split_rows(spark, d):
-    """Strata of at least two rows."""
-    rows = _nyc(spark, d)
-    sizes = sample.strata_sizes(rows).where("strata_size >= 2").drop("strata_size")
-    return rows.join(sizes, STRATA, "left_semi")
+def _split_rows(rows):
+    """Rows of strata with at least two rows."""
+    sizes = sample.strata_sizes(rows, _STRATA).where("strata_size >= 2").drop("strata_size")
+    return rows.join(sizes, _STRATA, "left_semi")
 
 
-_SPLIT = _TEST.replace("count(*) as strata_size from k where city = 'nyc' group by all", "count(*) as strata_size from k where city = 'nyc' group by all having count(*) >= 2")
+_SPLIT = _TEST.replace("count(*) as strata_size from k group by all", "count(*) as strata_size from k group by all having count(*) >= 2")
 
 
 @query(f"{_SPLIT} select {_KEYS}, target_in_stratum as test_rows, strata_size - target_in_stratum as train_rows from alloc")
 def split_counts(spark, d):
-    split = sample.stratified_split(_split_rows(spark, d), STRATA)
-    return split.groupBy(*STRATA).agg(F.count_if(F.col("split") == "test").alias("test_rows"), F.count_if(F.col("split") == "train").alias("train_rows"))
+    split = sample.stratified_split(_split_rows(Q.filtered(spark, d)), _STRATA)
+    return split.groupBy(*_STRATA).agg(F.count_if(F.col("split") == "test").alias("test_rows"), F.count_if(F.col("split") == "train").alias("train_rows"))
 
 
-@query("with m as (select month, rideable_type, part_of_day, is_weekend from k where city = 'nyc' group by all having count(*) >= 2) select count(*) as total_rows, 0::bigint as in_both from k where city = 'nyc' and (month, rideable_type, part_of_day, is_weekend) in (select (month, rideable_type, part_of_day, is_weekend) from m)".replace("(month, rideable_type, part_of_day, is_weekend) in (select (month, rideable_type, part_of_day, is_weekend) from m)", "exists (select 1 from m where m.month = k.month and m.rideable_type = k.rideable_type and m.part_of_day = k.part_of_day and m.is_weekend = k.is_weekend)"))
+_KEPT = "(select sum(strata_size) as n, ceil(sum(strata_size) * 0.2e0) as test from (select count(*) as strata_size from k group by KEYS having count(*) >= 2))".replace("KEYS", _KEYS)
+
+
+@query(f"select n::bigint as total_rows, n::bigint as ids, 0::bigint as in_both from {_KEPT}")
 def split_overlap(spark, d):
-    rows = _split_rows(spark, d)
-    rows = rows.withColumn("row_id", F.sha2(F.concat_ws("|", *rows.columns), 256))
-    sides = sample.stratified_split(rows, STRATA).groupBy("row_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("sides"))
-    return sides.agg(F.sum("n").alias("total_rows"), F.count_if((F.col("sides") > 1) & (F.col("n") < 2)).alias("in_both"))
+    with Scratch(spark) as own:
+        rows = own.keep(Q.filtered(spark, d).withColumn("row_id", F.monotonically_increasing_id()), "numbered-trips")
+    split = sample.stratified_split(_split_rows(rows), _STRATA)
+    sides = split.groupBy("row_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("sides"))
+    return sides.agg(F.sum("n").alias("total_rows"), F.count("*").alias("ids"), F.count_if(F.col("sides") > 1).alias("in_both"))
+
+
+@query(f"select 'test' as side, test::bigint as n from {_KEPT} union all select 'train', (n - test)::bigint from {_KEPT}")
+def locked_split_counts(spark, d):
+    """Train and test files, written once: the second call finds them and leaves them."""
+    with Scratch(spark) as own:
+        layout = pipelines.Layout(own.place("splits"))
+        source = layout.path("all", "filtered")
+        io.write_parquet(_split_rows(Q.filtered(spark, d)), source)
+        for _ in range(2):
+            train, test = pipelines.locked_split(spark, "all", source, layout, _STRATA)
+    side = lambda path, name: spark.read.parquet(path).agg(F.lit(name).alias("side"), F.count("*").alias("n"))
+    return side(test, "test").unionByName(side(train, "train"))
 
 
 # --- weather --------------------------------------------------------------------------------------
@@ -457,10 +493,25 @@ def monthly_weather(spark, d):
     )
 
 
-@query("select 'b' as source, 700::bigint as coverage_hours, 5e0 as distance_km")
+@query("""select event_type as source, count(distinct date_trunc('hour', ts)) as coverage_hours, length(event_type)::double as distance_km from events
+where value is not null and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31' group by event_type order by coverage_hours desc, distance_km, source limit 1""")
 def weather_source_choice(spark, d):
-    rows = [("a", 700, 12.0), ("b", 700, 5.0), ("c", 650, 1.0), ("d", 0, 0.1)]
-    return enrich.choose_source(spark.createDataFrame(rows, "source string, coverage_hours long, distance_km double"))
+    """The kind of event, taken as a source, that covers most hours; its distance is the length of its name."""
+    ev = Q.table(spark, d, "events").select(F.col("event_type").alias("city"), X.floor_hour(F.col("ts")).alias("weather_hour"), F.col("value").alias("temperature_c"))
+    bound = lambda s: F.to_timestamp_ntz(F.lit(s))
+    got = enrich.hour_coverage(ev, bound("2024-01-01 00:00:00"), bound("2024-01-30 23:00:00"))
+    return enrich.choose_source(got.select(F.col("city").alias("source"), F.col("hours_covered").alias("coverage_hours"), F.length("city").cast("double").alias("distance_km")))
+
+
+@query("""with p as (select s_suppkey as k, (s_suppkey % 50)::double as lat, (s_suppkey % 7)::double as lng from supplier),
+x as (select a.k as city_key, b.k as source_key, 2 * 6371.0e0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lng - a.lng) / 2), 2))) as km
+  from p a join p b on abs(a.lat - b.lat) <= 1 and a.k % 10 = 0)
+select city_key::varchar as city, source_key::varchar as source, round(km, 6) + 0e0 as distance_km, (row_number() over (partition by city_key order by km, source_key::varchar))::int as rank from x where km <= 100 qualify rank <= 25""")
+def weather_stations_nearby(spark, d):
+    k = F.col("s_suppkey")
+    p = Q.table(spark, d, "supplier").select(k.cast("string").alias("source"), (k % 50).cast("double").alias("lat"), (k % 7).cast("double").alias("lng"), k)
+    got = enrich.nearby_stations(p.where(k % 10 == 0).withColumnRenamed("source", "city"), p)
+    return _rounded(got.select("city", "source", "distance_km", "rank"), ["distance_km"])
 
 
 # --- stations -------------------------------------------------------------------------------------
@@ -523,8 +574,8 @@ _SC = "sc as (select " + ", ".join(f"avg(l_{c}) as a_{c}, coalesce(nullif(stddev
 @query(f"{_LOGGED}, {_SC} select city, " + ", ".join(f"{_r(f'avg((l_{c} - a_{c}) / s_{c})')} as {c}" for c in CONTINUOUS) + " from lg, sc group by city", weather=True)
 def model_input_scaled(spark, d):
     rows = _joined(spark, d)
-    logged = mlprep.log_skewed(mlprep.impute(rows, mlprep.fit_medians(rows)))
-    done = mlprep.scale(logged, mlprep.fit_scaler(logged))
+    medians, scaler = mlprep.fit_scaling(rows)
+    done = mlprep.scale(mlprep.log_skewed(mlprep.impute(rows, medians)), scaler)
     return done.groupBy("city").agg(*[X.rounded(F.avg(c)).alias(c) for c in CONTINUOUS])
 
 
@@ -544,74 +595,129 @@ def generative_table(spark, d):
 
 # --- evaluation -----------------------------------------------------------------------------------
 
-_EV_REAL, _EV_CAT = ["trip_duration", "haversine_distance_km", "bearing_sin", "bearing_cos"], ["rideable_type", "hour", "day_of_week", "month", "is_weekend", "same_station"]
+_EV_REAL, _EV_CAT = GENERATIVE_CONTINUOUS, GENERATIVE_CATEGORICAL
 
 
 def _sides(spark, d):
-    f = Q.featured(spark, d)
-    digits = _rounded(f, _EV_REAL, 9)
-    return digits.where("city = 'chicago'"), digits.where("city = 'nyc'")
+    """The generative tables of two cities, written once."""
+    with Scratch(spark) as own:
+        rows = _joined(spark, d).where(F.col("city").isin("chicago", "nyc")).select("city", *_EV_REAL, *_EV_CAT)
+        digits = own.keep(_rounded(rows, _EV_REAL, 9), "two-cities")
+    return digits.where("city = 'chicago'").drop("city"), digits.where("city = 'nyc'").drop("city")
 
 
 def _ks_sql(c: str) -> str:
     return f"""select '{c}' as "column", 'continuous' as type, 'ks_statistic' as metric, {_r('max(abs(ca / na - cb / nb))')} as value from (
   select sum(a) over (order by v) as ca, sum(b) over (order by v) as cb, sum(a) over ()::double as na, sum(b) over ()::double as nb
-  from (select {_r(c, 9)} as v, count_if(city = 'chicago') as a, count_if(city = 'nyc') as b from f where city in ('chicago', 'nyc') group by 1))"""
+  from (select {_r(c, 9)} as v, count_if(city = 'chicago') as a, count_if(city = 'nyc') as b from jw where city in ('chicago', 'nyc') and {c} is not null group by 1))"""
 
 
 def _tvd_sql(c: str) -> str:
     return f"""select '{c}' as "column", 'categorical' as type, 'tvd' as metric, {_r('sum(abs(a / na - b / nb)) / 2')} as value from (
   select a, b, sum(a) over ()::double as na, sum(b) over ()::double as nb
-  from (select coalesce({c}::varchar, 'nan') as v, count_if(city = 'chicago') as a, count_if(city = 'nyc') as b from f where city in ('chicago', 'nyc') group by 1))"""
+  from (select coalesce({c}::varchar, 'nan') as v, count_if(city = 'chicago') as a, count_if(city = 'nyc') as b from jw where city in ('chicago', 'nyc') group by 1))"""
 
 
-@query(" union all ".join(_ks_sql(c) for c in _EV_REAL))
+@query(f"with {_JW} " + " union all ".join(_ks_sql(c) for c in _EV_REAL), weather=True)
 def ks_report(spark, d):
     return evaluate.fidelity_report(*_sides(spark, d), _EV_REAL, [])
 
 
-@query(" union all ".join(_tvd_sql(c) for c in _EV_CAT))
+@query(f"with {_JW} " + " union all ".join(_tvd_sql(c) for c in _EV_CAT), weather=True)
 def tvd_report(spark, d):
     return evaluate.fidelity_report(*_sides(spark, d), [], _EV_CAT)
 
 
-@query(f"with rep as ({' union all '.join([*map(_ks_sql, _EV_REAL), *map(_tvd_sql, _EV_CAT)])}) select metric, {_r('avg(value)', 4)} as mean_value from rep group by metric")
+@query(f"with {_JW}, rep as ({' union all '.join([*map(_ks_sql, _EV_REAL), *map(_tvd_sql, _EV_CAT)])}) select metric, {_r('avg(value)', 4)} as mean_value from rep group by metric", weather=True)
 def fidelity_means(spark, d):
     return evaluate.fidelity_means(evaluate.fidelity_report(*_sides(spark, d), _EV_REAL, _EV_CAT))
 
 
 @query()
 def utility_rf(spark, d):
+    """Forests fitted on one city and on the other, both tested on a fifth of the first."""
     real, other = _sides(spark, d)
-    features = ["haversine_distance_km", "hour", "day_of_week", "month", "same_station"]
-    split = sample.stratified_split(real.where("rideable_type is not null"), ["rideable_type", "is_weekend"])
+    (own_rows, other_rows), features = evaluate.coded_features([real, other], _EV_CAT)
+    split = sample.stratified_split(own_rows, ["month", "is_weekend"])
     test = split.where("split = 'test'")
-    own = evaluate.forest_utility(split.where("split = 'train'"), test, features, trees=20, depth=5)
-    tstr = evaluate.forest_utility(other, test, features, trees=20, depth=5)
+    own = evaluate.forest_utility(split.where("split = 'train'"), test, features, depth=UTILITY_DEPTH)
+    tstr = evaluate.forest_utility(other_rows, test, features, depth=UTILITY_DEPTH)
     both = own.withColumnsRenamed({"r2": "trtr_r2", "mae": "trtr_mae"}).crossJoin(F.broadcast(tstr.withColumnsRenamed({"r2": "tstr_r2", "mae": "tstr_mae"})))  # one row each
     gap = F.col("trtr_r2") - F.col("tstr_r2")
     return both.withColumn("transfer_gap", X.rounded(gap, 4)).withColumn("label", evaluate.gap_label(gap))
 
 
-@query("select * from (values (-0.1e0, 'Excellent'), (0.04e0, 'Excellent'), (0.05e0, 'Good'), (0.1e0, 'Moderate'), (0.2e0, 'Poor')) v(gap, label)")
+@query("select s_suppkey, case when gap < 0.05e0 then 'Excellent' when gap < 0.1e0 then 'Good' when gap < 0.2e0 then 'Moderate' else 'Poor' end as label from (select s_suppkey, (s_suppkey % 30 - 5) / 100e0 as gap from supplier)")
 def transfer_gap_label(spark, d):
-    return spark.createDataFrame([(-0.1,), (0.04,), (0.05,), (0.1,), (0.2,)], "gap double").withColumn("label", evaluate.gap_label(F.col("gap")))
+    gap = (F.col("s_suppkey") % 30 - 5) / F.lit(100.0)
+    return Q.table(spark, d, "supplier").select("s_suppkey", evaluate.gap_label(gap).alias("label"))
+
+
+_DUMMIES = [f"{c}_{v}" for c, values in (("member_casual", ("casual", "member")), ("rideable_type", ("classic_bike", "docked_bike", "electric_bike"))) for v in values]
+
+
+@query("select city, " + ", ".join(f"count_if({c[:13] if c.startswith('r') else 'member_casual'} = '{c[14:]}')::bigint as {c}" for c in _DUMMIES) + " from c group by city")
+def free_dummies(spark, d):
+    """0/1 columns of whatever values two text columns take, the same for every city."""
+    rows = trips.clean_trips(Q.raw_trips(spark, d)).select("city", "member_casual", "rideable_type")
+    domains = mlprep.free_domains([rows], ["member_casual", "rideable_type"])
+    coded = mlprep.one_hot(rows, domains)
+    return coded.groupBy("city").agg(*[F.sum(c).alias(c) for c in coded.columns if c != "city"])
 
 
 # --- sources, grid --------------------------------------------------------------------------------
 
 
-@query()
+@query(" union all ".join(f"select '{t}' as file, count(*) as source_rows, count(*) as converted_rows, true as matches from {t}" for t in STAR))
 def csv_roundtrip_verify(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tripforge-csv-")
     source, converted = {}, {}
-    for t in ("region", "nation"):
-        source[t] = Q.table(spark, d, t)
-        io.write_csv(source[t], f"{base}/csv-{t}")
-        converted[t] = io.read_csv_text(spark, [f"{base}/csv-{t}"])
+    with Scratch(spark) as own:
+        for t in STAR:
+            source[t] = Q.table(spark, d, t)
+            path = own.place(f"csv-{t}")
+            io.write_csv(source[t], path)
+            converted[t] = io.read_csv_text(spark, [path])
     return io.verify_counts(source, converted)
 
 
+@query("select s_suppkey::int as id, s_name as name, s_acctbal as amount, null::varchar as n_regionkey from supplier union all select n_nationkey::int, null, null, n_regionkey::varchar from nation")
+def csv_typed(spark, d):
+    """CSV files whose types are inferred, but for one column forced to be text; united by name."""
+    with Scratch(spark) as own:
+        paths = [own.place("csv-supplier"), own.place("csv-nation")]
+        io.write_csv(Q.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount")), paths[0])
+        io.write_csv(Q.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_regionkey"), paths[1])
+    return io.read_csv_typed(spark, paths, {"n_regionkey": "string"})
+
+
+@query("""select s_suppkey::bigint as id, s_acctbal::double as amount, s_nationkey::varchar as mixed from supplier union all select n_nationkey::bigint, n_regionkey::double, n_name from nation
+union all select r_regionkey::bigint, null, null from region""")
+def union_widened(spark, d):
+    """Files of one table whose number types differ: they widen; number and text meet as text; missing columns are null."""
+    parts = [
+        Q.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_acctbal").cast("double").alias("amount"), F.col("s_nationkey").alias("mixed")),
+        Q.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_regionkey").cast("int").alias("amount"), F.col("n_name").alias("mixed")),
+        Q.table(spark, d, "region").select(F.col("r_regionkey").cast("short").alias("id")),
+    ]
+    with Scratch(spark) as own:
+        root = own.place("mixed-types")
+        for k, part in enumerate(parts):
+            io.write_parquet(part, f"{root}/part-{k}")
+    return io.read_union_by_name(spark, [f"{root}/part-{k}" for k in range(len(parts))])
+
+
+@query("select n_nationkey, n_name from nation union all select n_nationkey, n_name from nation where n_regionkey = 1")
+def appended_files(spark, d):
+    """A table to which a second write adds its files, copied to another root, found there at any depth, and read."""
+    nation = Q.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    with Scratch(spark) as own:
+        root, copy = own.place("appended"), own.place("copied")
+        io.write_parquet(nation.drop("n_regionkey"), f"{root}/a/b", "append")
+        io.write_parquet(nation.where("n_regionkey = 1").drop("n_regionkey"), f"{root}/a/b", "append", files=1)
+        io.copy_tree(spark, root, copy)
+    return io.read_same_schema(spark, io.files_in(spark, copy, "*.parquet", recursive=True))
+
+
 @query("select r_regionkey::varchar as id, r_name as name, null::varchar as n_regionkey from region union all select n_name, null, n_regionkey::varchar from nation")
 def union_by_name(spark, d):
     region = Q.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
@@ -619,10 +725,15 @@ def union_by_name(spark, d):
     return io.union_by_name([region, nation])
 
 
-@query("select * from (values ('202401', '202401-citibike-tripdata_1.parquet,202401-citibike-tripdata_2.parquet,202401-citibike-tripdata_10.parquet'), ('202402', '202402-CITIBIKE-tripdata_1.parquet')) v(month, files)")
+_FILES = "'2024' || lpad((n_nationkey % 3 + 1)::varchar, 2, '0') || case when n_nationkey % 4 = 0 then '-CITIBIKE' else '-citibike' end || '-tripdata_' || n_nationkey || case when n_nationkey % 5 = 0 then '.csv' else '.parquet' end"
+
+
+@query(f"select substr(name, 1, 6) as month, string_agg(name, ',' order by n_nationkey) as files from (select n_nationkey, {_FILES} as name from nation) where name like '%.parquet' group by 1")
 def month_file_grouping(spark, d):
-    names = ["202401-citibike-tripdata_10.parquet", "202401-citibike-tripdata_2.parquet", "202402-CITIBIKE-tripdata_1.parquet", "202401-citibike-tripdata_1.parquet", "readme.txt", "20240-citibike-tripdata_1.parquet"]
-    return io.group_monthly(spark.createDataFrame([(n,) for n in names], "name string")).withColumn("files", F.array_join("files", ","))
+    k = F.col("n_nationkey")
+    pieces = [F.lit("2024"), F.lpad((k % 3 + 1).cast("string"), 2, "0"), F.when(k % 4 == 0, "-CITIBIKE").otherwise("-citibike"), F.lit("-tripdata_"), k.cast("string"), F.when(k % 5 == 0, ".csv").otherwise(".parquet")]
+    names = Q.table(spark, d, "nation").select(F.concat(*pieces).alias("name"))
+    return io.group_monthly(names).withColumn("files", F.array_join("files", ","))
 
 
 _GRID = """with n as (select floor((s_suppkey * 37 % 1000) / 250e0)::int as grid_x, floor((s_suppkey * 91 % 1000) / 250e0)::int as grid_y, count(*) as c from supplier group by all),

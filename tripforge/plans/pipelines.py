@@ -43,7 +43,7 @@ def filter_city(spark: SparkSession, city: str, layout: Layout, rule: trips.Trip
     return trips.rule_report(featured, rule).first().asDict()
 
 
-#: Names of the raw columns of the all-text files, and the values of the bike model column.
+# Names of the raw columns of the all-text files, and the values of the bike model column.
 LONDON_NAMES = {"Start date": "started_at", "End date": "ended_at", "Start station number": "start_station_id", "End station number": "end_station_id", "Bike model": "rideable_type", "Total duration (ms)": "duration_ms"}
 LONDON_MODELS = {"CLASSIC": "classic_bike", "PBSC_EBIKE": "electric_bike"}
 
@@ -128,7 +128,7 @@ def locked_split(spark: SparkSession, name: str, source: str, layout: Layout, ke
     """Train and test files; those that are there stay, unless forced."""
     train, test = layout.path(name, "train"), layout.path(name, "test")
     if force or not (io.exists(spark, train) and io.exists(spark, test)):
-        split = sample.stratified_split(spark.read.parquet(source), keys)
+        split = sample.stratified_split(spark.read.parquet(source), keys)  # the source is read once
         for path, side in ((train, "train"), (test, "test")):
             io.write_parquet(split.where(F.col("split") == side).drop("split"), path, "overwrite")
     return train, test
@@ -147,12 +147,11 @@ def quality_files(spark: SparkSession, files: list[str], out: str) -> DataFrame:
 def cross_city_report(spark: SparkSession, name: str, train: str, test: str, generate, n: int, layout: Layout, **forest) -> dict:
     """Fidelity, utility and transfer gap of a generator fitted on one city and tested on another."""
     table, other = (mlprep.generative_table(spark.read.parquet(p)) for p in (train, test))
-    features = [c for c in [*GENERATIVE_CATEGORICAL[1:], *GENERATIVE_CONTINUOUS] if c != "trip_duration"]
     filled = lambda df: df.na.fill(0.0, GENERATIVE_CONTINUOUS).na.fill(0)
     written = layout.path(name, "synthetic")
     io.write_parquet(generate(filled(table), n), written, "overwrite")
     report = {"experiment": name, "train_rows": table.count(), "n_synth": n}
-    report |= evaluate.evaluate_synthetic(filled(table), filled(other), spark.read.parquet(written), GENERATIVE_CONTINUOUS, GENERATIVE_CATEGORICAL, features, **forest)
+    report |= evaluate.evaluate_synthetic(filled(table), filled(other), spark.read.parquet(written), GENERATIVE_CONTINUOUS, GENERATIVE_CATEGORICAL, **forest)
     report["transfer_label"] = spark.range(1).select(evaluate.gap_label(F.lit(report["transfer_gap"]))).first()[0]
     io.write_json(spark, report, f"{layout.root}/eval_report_{name}.json")
     return report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +29,39 @@ def read_same_schema(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(first).parquet(*paths)
 
 
+#: Numeric types, each wider than those before it.
+_WIDTH = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def common_type(kinds: set[str]) -> str:
+    """The narrowest type that holds all values of some types: numbers widen (bigint and float to double), dates become times, all else text."""
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    if kinds <= set(_WIDTH):
+        return "double" if "float" in kinds and kinds & {"int", "bigint"} else max(kinds, key=_WIDTH.index)
+    numbers = [k for k in kinds if k in _WIDTH or k.startswith("decimal")]
+    if len(numbers) == len(kinds):
+        if kinds & {"float", "double"}:
+            return "double"
+        whole = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+        sizes = [(whole[k], 0) if k in whole else (int(k[8:-1].split(",")[0]) - int(k.split(",")[1][:-1]), int(k.split(",")[1][:-1])) for k in kinds]
+        left, right = max(s[0] for s in sizes), max(s[1] for s in sizes)
+        return f"decimal({left + right},{right})" if left + right <= 38 else "double"
+    if kinds <= {"date", "timestamp_ntz"}:
+        return "timestamp_ntz"
+    if kinds <= {"date", "timestamp"}:
+        return "timestamp"
+    return "string"
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    """Union by name: missing columns are null, columns with differing types become text."""
+    """Union by name: missing columns are null, columns of differing types get one that holds both (``common_type``)."""
     kinds: dict[str, set] = {}
     for f in frames:
         for name, kind in f.dtypes:
             kinds.setdefault(name, set()).add(kind)
-    same = [f.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in f.columns]) for f in frames]
+    types = {c: common_type(k) for c, k in kinds.items()}
+    same = [f.select(*[F.col(f"`{c}`") if k == types[c] else F.col(f"`{c}`").cast(types[c]).alias(c) for c, k in f.dtypes]) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
 
 
@@ -71,6 +98,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(named.alias("station_id"), F.col("commonName").alias("station_name"), "lat", F.col("lon").alias("lng")).where("station_id is not null")
 
 
+# Fixed value: the names of monthly part files.
 MONTHLY = r"(?i)^(\d{6})-citibike-tripdata_(\d+)\.parquet$"
 
 
@@ -100,32 +128,73 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source.toString()} to {target.toString()}")
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "error", files: int | None = None) -> bool:
-    """Write ZSTD Parquet to a side path, then move it into place; ``skip`` leaves what is there. True if written.
+    """Write ZSTD Parquet to a side path of its own, then move it into place. True if written.
 
-    ``files`` spreads the rows over so many files; by default each task writes its own.
+    ``skip`` leaves what is there, ``append`` adds files to it, ``overwrite`` replaces it: the old files are moved aside,
+    put back if the new ones can't be moved in, and deleted last, so at no time are both lost. ``files`` spreads the rows
+    over so many files; by default each task writes its own.
     """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
-    if fs.exists(target):
-        if mode == "skip":
-            return False
-        if mode != "overwrite":
-            raise FileExistsError(f"{path} is there; force it to write it anew")
-    side = path.rstrip("/") + ".writing"
-    _, side_path = _fs(spark, side)
+    there = fs.exists(target)
+    if there and mode == "skip":
+        return False
+    if there and mode not in ("overwrite", "append"):
+        raise FileExistsError(f"{path} is there; force it to write it anew")
+    name = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    _, side = _fs(spark, f"{name}.writing")
+    _, old = _fs(spark, f"{name}.old")
     out = df.repartition(files) if files else df
     try:
-        out.write.mode("overwrite").option("compression", "zstd").parquet(side)
-        if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(side_path, target)
+        out.write.mode("error").option("compression", "zstd").parquet(f"{name}.writing")
+        if there and mode == "append":
+            for status in fs.listStatus(side):
+                if status.getPath().getName().endswith(".parquet"):
+                    _move(fs, status.getPath(), _fs(spark, f"{path.rstrip('/')}/{status.getPath().getName()}")[1])
+            return True
+        if there:
+            _move(fs, target, old)
+        try:
+            _move(fs, side, target)
+        except Exception:
+            if there:
+                _move(fs, old, target)
+            raise
+        if there:
+            fs.delete(old, True)
     finally:
-        if fs.exists(side_path):
-            fs.delete(side_path, True)
+        if fs.exists(side):
+            fs.delete(side, True)
     return True
 
 
+def copy_tree(spark: SparkSession, source: str, target: str, skip: str = "_temporary") -> int:
+    """Copy all files below a folder to another root, without those of unfinished jobs; returns how many."""
+    fs, root = _fs(spark, source)
+    to_fs, _ = _fs(spark, target)
+    util = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base, n = fs.makeQualified(root).toString().rstrip("/"), 0
+    found = fs.listFiles(root, True)
+    while found.hasNext():
+        here = found.next().getPath()
+        below = here.toString().removeprefix(base).lstrip("/")
+        if skip in below.split("/"):
+            continue
+        there = _fs(spark, f"{target.rstrip('/')}/{below}")[1]
+        to_fs.mkdirs(there.getParent())
+        if not util.copy(fs, here, to_fs, there, False, True, conf):
+            raise OSError(f"could not copy {here.toString()}")
+        n += 1
+    return n
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -149,11 +218,3 @@ def verify_counts(source: dict[str, DataFrame], converted: dict[str, DataFrame])
     count = lambda frames, n: reduce(DataFrame.unionByName, [f.groupBy().agg(F.lit(k).alias("file"), F.count("*").alias(n)) for k, f in frames.items()])
     both = count(source, "source_rows").join(count(converted, "converted_rows"), "file", "full")
     return both.withColumn("matches", F.coalesce(F.col("source_rows") == F.col("converted_rows"), F.lit(False)))
-
-
-def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def missing_as_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))
