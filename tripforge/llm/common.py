@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+
 #: ASCII white space that separates words: space and the control characters 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -20,71 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, a temporary folder is made if all runs in this process; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripforge-checkpoint-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder, for the length of a ``with`` block.
-
-    Writing a table and reading it back cuts lineage, so a lost executor costs its tasks only. Tables are deleted when the
-    block is left, also by an error; those made by ``keep`` go to the block around it, or stay until the application ends.
-    """
-
-    def __init__(self, spark: SparkSession, outer: Scratch | None = None):
-        self.spark, self.outer, self.paths, self.kept = spark, outer, [], []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, kind, *_) -> None:
-        for path in self.paths + (self.kept if kind else []):
-            self._fs(path).delete(self._path(path), True)
-        if self.outer is not None and not kind:
-            self.outer.paths += self.kept
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path: str):
-        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _table(self, df: DataFrame, name: str, paths: list[str]) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        paths.append(path)
-        self._fs(path).deleteOnExit(self._path(path))
-        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(cleanup, None)
-        self.spark.conf.set(cleanup, "true")  # this job's shuffle files are of no use once its table is written
-        try:
-            df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(cleanup)
-            else:
-                self.spark.conf.set(cleanup, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """A table of this block."""
-        return self._table(df, name, self.paths)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """A table that outlives this block."""
-        return self._table(df, name, self.kept)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
