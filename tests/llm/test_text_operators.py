@@ -221,7 +221,7 @@ TRICKY = [
 ]
 
 
-@pytest.mark.parametrize("name", ["quality", "secrets"])
+@pytest.mark.parametrize("name", ["quality", "secrets", "substring"])
 def test_native_operators_equal_sql(spark, tmp_path, name):
     import importlib
 
@@ -230,7 +230,9 @@ def test_native_operators_equal_sql(spark, tmp_path, name):
     module = importlib.import_module(f"tripforge.llm.{name}")
     rng = random.Random(4)
     texts = TRICKY + ["".join(rng.choice(TRICKY + list(" \n|.!#Aa")) for _ in range(rng.randint(1, 12))) for _ in range(60)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, "")]
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts += [f"{passage} tail", f"head {passage}", passage[:-4], f"{passage} {passage}", "la " * 120]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (None, passage), (3, passage)]
     con = tables(spark, str(tmp_path), documents=spark.createDataFrame(rows, "doc_id long, text string"))
     query = next(q for n, q in llm.queries().items() if q.__module__ == module.__name__)
     same(spark, query, module.SQL, str(tmp_path), con)

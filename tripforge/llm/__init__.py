@@ -16,6 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL for the queries that SQL can express."""
-    from . import quality, secrets, warc
+    from . import quality, secrets, substring, warc
 
-    return {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL, "op6_warc_revisits": warc.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL, "op6_warc_revisits": warc.SQL, "op10_substring_dedup": substring.SQL}

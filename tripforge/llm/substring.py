@@ -208,3 +208,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 50 words and more, removed from every document but the first."""
     rows = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows are known by MD5 here; words hold no space, so joining by one keeps them apart.
+SQL = f"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (select rid, doc_id, i, md5(array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ')) as h from (select rid, doc_id, ws, unnest(generate_series(1, len(ws) - {WINDOW - 1})) as i from d)),
+least as (select h, min(doc_id) as first from w group by h),
+bad as (select rid, i from w join least using (h) where doc_id > first or (doc_id is null and first is not null)),
+gone as (select distinct rid, unnest(generate_series(i, i + {WINDOW - 1})) as i from bad),
+words as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
+kept as (select rid, string_agg(word, ' ' order by i) as kept from words anti join gone using (rid, i) group by rid),
+n as (select rid, count(*) as n_removed from gone group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join n using (rid) left join kept using (rid)
+"""
