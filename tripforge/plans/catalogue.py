@@ -191,6 +191,17 @@ def distance_quantiles_approx(spark, d):
     return P.quantile_table(Q.featured(spark, d), "haversine_distance_km", approximate=True)
 
 
+@query(" union all ".join(f"select city, '{n}' as point, true as within from f group by city" for n in P.POINTS.values()))
+def approximate_quantile_bounds(spark, d):
+    """Whether each approximate quantile's rank is within one in 10,000 rows of the rank asked for."""
+    with Scratch(spark) as own:
+        f = own.keep(Q.featured(spark, d).select("city", "trip_duration"), "durations")
+    points = P.quantile_table(f, "trip_duration", approximate=True).select("city", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("point"), F.col(n).alias("v")) for p, n in P.POINTS.items()])).alias("e")).select("city", "e.*")
+    ranks = f.join(points, "city").groupBy("city", "point").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.count_if(F.col("trip_duration") < F.col("v")).alias("below"), F.count_if(F.col("trip_duration") <= F.col("v")).alias("upto"))
+    slack = F.col("n") / 10_000 + 1
+    return ranks.select("city", "point", ((F.col("below") <= F.col("p") * F.col("n") + slack) & (F.col("upto") >= F.col("p") * F.col("n") - slack)).alias("within"))
+
+
 @query(f"""select city, count(*) as total_rows, count_if(trip_duration <= 1)::bigint as too_short, count_if(trip_duration >= 100)::bigint as too_long,
   {_r('100e0 * count_if(trip_duration <= 1) / count(*)', 4)} as too_short_pct, {_r('100e0 * count_if(trip_duration >= 100) / count(*)', 4)} as too_long_pct from f group by city""")
 def duration_threshold_impact(spark, d):
@@ -380,6 +391,19 @@ def uniform_sample_n(spark, d):
     return sample.uniform_sample(Q.filtered(spark, d), 2000)
 
 
+@query("select 'uniform' as sample, least(2000, count(*)) as n, least(2000, count(*)) as distinct_ids, least(2000, count(*)) as members from k union all select 'stratified', least(5000, count(*)), least(5000, count(*)), least(5000, count(*)) from k")
+def sample_membership(spark, d):
+    """Rows, different rows, and rows of the source in two samples of numbered trips."""
+    with Scratch(spark) as own:
+        rows = own.keep(Q.filtered(spark, d).withColumn("row_id", F.monotonically_increasing_id()), "numbered-trips")
+    both = sample.uniform_sample(rows, 2000).withColumn("sample", F.lit("uniform")).unionByName(sample.stratified_sample(rows, 5000, _STRATA).withColumn("sample", F.lit("stratified")))
+    source = rows.select(*[F.col(c).alias(f"{c}_") for c in rows.columns])
+    same = F.col("row_id") == F.col("row_id_")
+    for c in rows.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return both.join(source, same, "left").groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("distinct_ids"), F.count("row_id_").alias("members"))
+
+
 def _split_rows(rows):
     """Rows of strata with at least two rows."""
     sizes = sample.strata_sizes(rows, _STRATA).where("strata_size >= 2").drop("strata_size")
