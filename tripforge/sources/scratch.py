@@ -6,9 +6,15 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings of the session while a table is written, put back as they were after it: its job's shuffle files are of no
+#: use once it is written, and batches handed to Python stay small where rows hold whole texts.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
@@ -29,10 +35,13 @@ class Scratch:
 
     Writing a table and reading it back cuts lineage, so a lost executor costs its tasks only. Tables are deleted when the
     block is left, also by an error; those made by ``keep`` go to the block around it, or stay until the application ends.
+
+    Small results between tables can be held on the executors' disks instead (``hold``), until the outermost block is left:
+    what a lost executor held is computed again from the tables before it.
     """
 
     def __init__(self, spark: SparkSession, outer: Scratch | None = None):
-        self.spark, self.outer, self.paths, self.kept = spark, outer, [], []
+        self.spark, self.outer, self.paths, self.kept, self.held = spark, outer, [], [], []
 
     def __enter__(self) -> Scratch:
         return self
@@ -42,6 +51,10 @@ class Scratch:
             self._fs(path).delete(self._path(path), True)
         if self.outer is not None and not kind:
             self.outer.paths += self.kept
+            self.outer.held += self.held
+        else:
+            for df in self.held:
+                df.unpersist()
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,22 +72,30 @@ class Scratch:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         paths.append(path)
         self._fs(path).deleteOnExit(self._path(path))
-        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(cleanup, None)
-        self.spark.conf.set(cleanup, "true")  # this job's shuffle files are of no use once its table is written
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(cleanup)
-            else:
-                self.spark.conf.set(cleanup, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """A table of this block."""
         return self._table(df, name, self.paths)
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Rows that are computed once and held on the executors' disks; not for each step of a loop, whose plan would grow."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """What the block hands on: held by the block around it, or a table where there is none."""
+        return self.keep(df, name) if self.outer is None else self.outer.hold(df)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """A table that outlives this block."""
         return self._table(df, name, self.kept)
