@@ -6,6 +6,7 @@ folder and reads it again for the next. All but the last return the columns of `
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id (null last) of each group of near copies; of repeated rows, one.
 
-    Links are those of op7, and all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows are
-    numbered in a written table, so that whole texts enter no aggregate and rows that repeat are told apart.
+    Links are those of op7, and all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows
+    are known by a 64-bit hash of where they stand in their Parquet files (rows from elsewhere are numbered in a written
+    table), so that whole texts enter no aggregate and rows that repeat are told apart.
     """
     with Scratch(spark) as own:
-        rows = own.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered-rows")
-        groups = own.write(simhash_groups(rows, carry=("row",), scratch=own), "groups")
+        try:
+            rows = docs.select(*COLUMNS, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
+        except AnalysisException:
+            rows = own.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered-rows")
+        groups = own.hold(simhash_groups(rows, carry=("row",), scratch=own))
         merged = near_copy_roots(rows.select(F.col("row").alias("key"), "text"), groups.select(F.col("row").alias("key"), "root"), own)
         groups = groups.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root"))
         first = groups.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))

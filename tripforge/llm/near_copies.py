@@ -106,7 +106,7 @@ def near_copy_roots(docs: DataFrame, roots: DataFrame, scratch: Scratch | None =
         nodes = found.groupBy("root", "same").agg(F.min_by(F.struct("key", "n", "bands"), "key").alias("s"))
         filed = nodes.select(F.explode("s.bands").alias("band"), F.col("s.key").alias("node"), F.col("s.n").alias("n"), "root")
         filed = own.write(_open(filed), "open-buckets")
-        texts = own.write(docs.select("key", "text").join(filed.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "candidate-texts")
+        texts = own.hold(docs.select("key", "text").join(filed.select(F.col("node").alias("key")).distinct(), "key", "left_semi"))
         merged, tried = None, None
         for star in range(STARS + 1):
             if filed.isEmpty():
@@ -120,24 +120,25 @@ def near_copy_roots(docs: DataFrame, roots: DataFrame, scratch: Scratch | None =
             pairs = left.join(right, "band").where(unlike & close).select("a", "b", "ra", "rb").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = own.write(pairs, "candidates")
+            pairs = own.hold(pairs)
             tested = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
             tried = tested if tried is None else tried.unionByName(tested)
             links = own.write(_verified(pairs, texts).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "near-copies")
             if links.isEmpty():
                 continue
             step = connected_components(links, own).select(F.col("node").alias("root"), F.col("root").alias("next"))
-            filed = own.write(_open(filed.join(step, "root", "left").select("band", "node", "n", F.coalesce("next", "root").alias("root"))), "open-buckets")
+            if star < STARS:
+                filed = own.write(_open(filed.join(step, "root", "left").select("band", "node", "n", F.coalesce("next", "root").alias("root"))), "open-buckets")
             if merged is None:
                 merged = step.select("root", F.col("next").alias("merged"))
             else:
                 # what earlier rounds merged moves on; a root met only now joins as itself
                 moved = merged.join(step.select(F.col("root").alias("merged"), "next"), "merged", "left").select("root", F.coalesce("next", "merged").alias("merged"))
                 fresh = step.select("root", F.col("next").alias("merged")).join(merged, "root", "left_anti")
-                merged = own.write(moved.unionByName(fresh), "merged")
+                merged = moved.unionByName(fresh)
         if merged is None:
             merged = docs.sparkSession.createDataFrame([], "root long, merged long")
-        return own.keep(merged, "merged-groups")
+        return own.result(merged, "merged-groups")
 
 
 def _open(filed: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket
     """Links (a, b) between distinct fingerprints ``fp`` that differ in at most ``radius`` (3 or fewer) bits."""
     filed = fps.select("fp", F.posexplode(F.array(*_segments(F.col("fp")))).alias("seg", "key"))
     counts = filed.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key")
-    crowded = scratch.write(counts, "crowded-buckets")
+    crowded = scratch.hold(counts)
     probes = filed.select(F.col("fp").alias("a"), "seg", F.explode(_ball(F.col("key"), 32, False)).alias("key"))
     entries = filed.select(F.col("fp").alias("b"), "seg", "key")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") != F.col("b"))
@@ -92,11 +92,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     the smallest id reachable over links."""
     with Scratch(docs.sparkSession, scratch) as own:
         rows = own.keep(with_fingerprint(docs, text, ["doc_id", *carry]), "fingerprints")
-        first = own.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+        first = own.hold(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
         roots = connected_components(hamming_links(first.select("fp"), own), own)
         named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
         least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-        groups = own.keep(named.join(least, "root").select("fp", "root", "component_id"), "fingerprint-groups")
+        groups = own.result(named.join(least, "root").select("fp", "root", "component_id"), "fingerprint-groups")
     return rows.join(groups, "fp")
 
 
