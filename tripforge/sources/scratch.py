@@ -47,9 +47,13 @@ class Scratch:
         return self
 
     def __exit__(self, kind, *_) -> None:
-        for path in self.paths + (self.kept if kind else []):
-            self._fs(path).delete(self._path(path), True)
-        if self.outer is not None and not kind:
+        hand_on = self.outer is not None and not kind
+        if hand_on and self.held:  # what is held may be computed again from this block's tables
+            self.outer.paths += self.paths
+        else:
+            for path in self.paths + (self.kept if kind else []):
+                self._fs(path).delete(self._path(path), True)
+        if hand_on:
             self.outer.paths += self.kept
             self.outer.held += self.held
         else:
@@ -94,7 +98,7 @@ class Scratch:
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """What the block hands on: held by the block around it, or a table where there is none."""
-        return self.keep(df, name) if self.outer is None else self.outer.hold(df)
+        return self.keep(df, name) if self.outer is None else self.hold(df)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """A table that outlives this block."""
