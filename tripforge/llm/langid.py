@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table
+from .common import Scratch, map_texts, read_table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, SEED = 200, 40, 1e-2, 7
 _SYMBOLS: list[np.ndarray] = []
@@ -97,17 +97,18 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int
     """
     draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text", F.lit(seed))
     use = docs.where("lang is not null and text is not null").where(F.regexp_like("text", F.lit(r"\p{L}"))).select("lang", "text", draw.alias("draw"))
-    rates = use.groupBy("lang").agg((F.lit(4.0 * per_language) / F.approx_count_distinct("draw", 0.02)).alias("rate"))  # one row a language
-    near = use.join(rates, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("rate") * float(1 << 40))
+    rates = use.groupBy("lang").agg((F.lit(4.0 * per_language) / F.approx_count_distinct("draw", 0.02)).alias("rate"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw"))
-    near = near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
-    picked = near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
-
     def run(table: pa.Table):
         grams = [gram_ids(t).view(np.int64) for t in table.column("text").to_pylist()]
         yield from table.drop_columns(["text"]).append_column("grams", pa.array(grams, pa.list_(pa.int64()))).to_batches()
 
-    rows = map_texts(picked, run, "lang string, rank int, grams array<long>", 100).collect()
+    with Scratch(docs.sparkSession) as own:
+        rates = own.write(rates, "language-rates")  # one row a language: written, so that Spark knows it can be broadcast
+        near = use.join(rates, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("rate") * float(1 << 40))
+        near = near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
+        picked = near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+        rows = map_texts(picked, run, "lang string, rank int, grams array<long>", 100).collect()
     return [(r.lang, np.array(r.grams, np.uint64)) for r in sorted(rows, key=lambda r: (r["rank"], r.lang))]
 
 
