@@ -18,7 +18,7 @@ _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 STAR = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
 #: Depth of the registered forest: the published one has no limit, and Spark's deepest (30) takes hours on a large table.
-UTILITY_DEPTH = 12
+UTILITY_DEPTH = 10
 TABLES = [*STAR, "benchmark", "conversations", "documents", "embeddings", "labels", "pages"]
 
 
