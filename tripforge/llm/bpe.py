@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import map_texts, read_table
 
 #: Words kept in a worker's memo; beyond, it starts anew.
-MEMO = 100_000
+MEMO = 300_000
 #: Characters of a text that are taken at a time.
 SLICE = 1 << 16
 #: Ids that a decoder is fed at a time.
@@ -159,17 +159,19 @@ def merge_all(symbols: list[int], merges: dict) -> list[int]:
         return _merge_long(symbols, merges)
     get = merges.get
     ranks = [get(a << 20 | b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
-    while ranks:
+    n = len(ranks)
+    while n:
         best = min(ranks)
         if best == _NONE:
             break
         i = ranks.index(best)
         made = best & 0xFFFFF
-        symbols[i : i + 2] = [made]
-        del ranks[i]
+        symbols[i] = made
+        del symbols[i + 1], ranks[i]
+        n -= 1
         if i:
             ranks[i - 1] = get(symbols[i - 1] << 20 | made, _NONE)
-        if i < len(ranks):
+        if i < n:
             ranks[i] = get(made << 20 | symbols[i + 1], _NONE)
     return symbols
 
