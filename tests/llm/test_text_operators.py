@@ -508,7 +508,7 @@ def test_a_long_word_keeps_memory_flat():
 
     v, t = transducer()
     peaks = []
-    for n in (100_000, 1_000_000):
+    for n in (15_000, 60_000):
         text = "theinganr" * n
         tracemalloc.start()
         count = sum(len(part) // 4 for part in t.plain(text))
