@@ -73,9 +73,9 @@ def clean_trips_distinct(spark, d):
     return _rounded(trips.clean_trips(twice, distinct=True), _PLACE)
 
 
-@query(_CLEAN_SQL.replace(", city from", ", city, l_linenumber, l_shipmode from").replace(", l_shipmode", "") + " c")
+@query(_CLEAN_SQL.replace(", city from", ", city, l_linenumber from") + " c")
 def clean_trips_all_columns(spark, d):
-    """Cleaned trips with the columns that cleaning doesn't know."""
+    """Cleaned trips with a column that cleaning doesn't know."""
     return _rounded(trips.clean_trips(Q.raw_trips(spark, d, ("l_linenumber",)), keep=True), _PLACE)
 
 
