@@ -36,8 +36,8 @@ class Scratch:
     Writing a table and reading it back cuts lineage, so a lost executor costs its tasks only. Tables are deleted when the
     block is left, also by an error; those made by ``keep`` go to the block around it, or stay until the application ends.
 
-    Small results between tables can be held on the executors' disks instead (``hold``), until the outermost block is left:
-    what a lost executor held is computed again from the tables before it.
+    Small results between tables can be held on the executors' disks instead (``hold``), until the block is left: what a
+    lost executor held is computed again from the tables before it. What a block hands on must be a table.
     """
 
     def __init__(self, spark: SparkSession, outer: Scratch | None = None):
@@ -47,18 +47,12 @@ class Scratch:
         return self
 
     def __exit__(self, kind, *_) -> None:
-        hand_on = self.outer is not None and not kind
-        if hand_on and self.held:  # what is held may be computed again from this block's tables
-            self.outer.paths += self.paths
-        else:
-            for path in self.paths + (self.kept if kind else []):
-                self._fs(path).delete(self._path(path), True)
-        if hand_on:
+        for df in self.held:
+            df.unpersist()
+        for path in self.paths + (self.kept if kind else []):
+            self._fs(path).delete(self._path(path), True)
+        if self.outer is not None and not kind:
             self.outer.paths += self.kept
-            self.outer.held += self.held
-        else:
-            for df in self.held:
-                df.unpersist()
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -96,10 +90,6 @@ class Scratch:
         self.held.append(df.persist(StorageLevel.DISK_ONLY))
         return self.held[-1]
 
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        """What the block hands on: held by the block around it, or a table where there is none."""
-        return self.keep(df, name) if self.outer is None else self.hold(df)
-
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """A table that outlives this block."""
         return self._table(df, name, self.kept)
