@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     hook chains, and contracts the edges; every edge's later end hooks, so the nodes with edges get fewer in each
     round, by a constant factor on average. Only aggregates and equi-joins are used, so a node with very many edges is no
     single task's list. Self-loops, repeated edges and nulls are dropped. Each round's edges are written to the shared
-    folder, its hooks held on the executors' disks; the result belongs to ``scratch``, if given, and is a table otherwise.
+    folder, its hooks held on the executors' disks; the result is a table that belongs to ``scratch``, if given.
     """
     with Scratch(edges.sparkSession, scratch) as own:
         edges = own.write(edges.where("a is not null and b is not null and a != b").select("a", "b").distinct(), "edges")
@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
             edges = own.write(edges.join(left, "a").join(right, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
             rounds.append(hooks)
         if not rounds:
-            return own.result(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+            return own.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
         mapping = rounds[0]
         for hooks in rounds[1:]:
             step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
             mapping = mapping.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        return own.result(mapping, "components")
+        return own.keep(mapping, "components")
