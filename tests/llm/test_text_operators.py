@@ -14,6 +14,8 @@ NASTY = [
     (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (None, "some words of a row without an id here.", "en", "s", 10),
     (5, "word " * 3000 + "end.", "en", "s", 1), (5, "word " * 3000 + "end.", "en", "s", 1), (7, "éé ßß 你好 😀 naïve café", "fr", "s", 3), (8, "x", "xx", "s", 1),
 ]
+EMBEDDINGS = [(1, None, "x"), (2, [1.0, None], "x"), (None, [1.0, 2.0], "x"), (3, [1.0, 2.0], None), (3, [1.0, 2.0], None), (4, [float("nan"), 1.0], "x"), (5, [3.0, 1.0], "x"), (6, [], "x")]
+CONVERSATIONS = [(None, None, None, None, "x"), (1, None, "user", "a " * 3000, "x"), (1, 2, "user", "Hi.", None), (1, 2, "user", "Hi.", None), (2, 1, "", "", "x"), (None, 5, "assistant", "Yes.", "x")]
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,9 @@ def folder(spark, tmp_path_factory):
     pages = "page_id long, url string, html string"
     spark.createDataFrame([(1, None, None), (2, "http://a.b/c", ""), (3, "http://a.b/c", "<p>Hello there, this is text.</p>"), (3, "http://a.b/c", "<p>Hello there, this is text.</p>"), (4, "no url", "<div" * 50)], pages).write.parquet(f"{base}/nasty/pages.parquet")
     spark.createDataFrame([], pages).write.parquet(f"{base}/none/pages.parquet")
+    for name, rows, schema in (("embeddings", EMBEDDINGS, "vec_id long, embedding array<float>, n string"), ("conversations", CONVERSATIONS, "conv_id long, turn long, role string, text string, pos string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{base}/nasty/{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(f"{base}/none/{name}.parquet")
     return base
 
 
@@ -53,7 +58,7 @@ def test_queries_on_nasty_and_empty_tables(spark, folder, name):
     if name == "op1_decontamination":
         assert rows == []
     else:
-        assert len(rows) == (5 if name in ("op6_warc_revisits", "op8_html_text") else len(NASTY))
+        assert len(rows) == {"op6_warc_revisits": 5, "op8_html_text": 5, "op12_embedding_whitening": 8, "op13_conversation_repair": 3}.get(name, len(NASTY))
 
 
 def test_pipeline_on_nasty_and_empty_tables(spark, folder):

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 def queries() -> dict:
     """The numbered queries, by name."""
-    from . import bpe, decontaminate, html_extract, langid, quality, secrets, sharding, simhash, substring, warc
+    from . import bpe, conversations, decontaminate, html_extract, langid, pieces, quality, secrets, sharding, simhash, substring, warc, whitening
 
     found = [
         decontaminate.op1_decontamination, quality.op2_quality_rules, secrets.op3_secret_scan, bpe.op4_bpe, langid.op5_language_id,
         warc.op6_warc_revisits, simhash.op7_simhash, html_extract.op8_html_text, sharding.op9_sharding, substring.op10_substring_dedup,
+        pieces.op11_sentencepiece, whitening.op12_embedding_whitening, conversations.op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
 
