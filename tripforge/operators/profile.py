@@ -162,13 +162,23 @@ def duplicates(df: DataFrame, column: str) -> DataFrame:
     return full.crossJoin(F.broadcast(single))  # one row each
 
 
+def qc_counters() -> dict[str, Column]:
+    """The counters over cleaned trips, as aggregates by name."""
+    minutes = (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(60e6)
+    return {
+        "total_rows": F.count("*"), "same_station": F.count_if(F.col("start_station_id") == F.col("end_station_id")), "ends_before_start": F.count_if(minutes < 0),
+        "over_a_day": F.count_if(minutes > 1440), "under_a_minute": F.count_if((minutes >= 0) & (minutes < 1)), "not_positive": F.count_if(minutes <= 0),
+    }
+
+
+def null_counters(df: DataFrame) -> dict[str, Column]:
+    """Nulls of each column, as aggregates by name."""
+    return {f"null_{c}": F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns}
+
+
 def qc_checks(c: DataFrame) -> DataFrame:
     """One row of counters over cleaned trips."""
-    minutes = (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(60e6)
-    return c.select("start_station_id", "end_station_id", minutes.alias("m")).agg(
-        F.count("*").alias("total_rows"), F.count_if(F.col("start_station_id") == F.col("end_station_id")).alias("same_station"), F.count_if(F.col("m") < 0).alias("ends_before_start"),
-        F.count_if(F.col("m") > 1440).alias("over_a_day"), F.count_if((F.col("m") >= 0) & (F.col("m") < 1)).alias("under_a_minute"), F.count_if(F.col("m") <= 0).alias("not_positive"),
-    )
+    return c.agg(*[v.alias(n) for n, v in qc_counters().items()])
 
 
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]

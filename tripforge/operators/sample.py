@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import STRATA, ContractError
 from ..sources.scratch import Scratch
+from .ranks import with_row_number
 
 BUCKETS = 4096
 
@@ -15,16 +16,20 @@ BUCKETS = 4096
 def allocate(strata: DataFrame, keys: list[str], target: int | None = None, share: float | None = None) -> DataFrame:
     """Add target_in_stratum to a table with strata_size: largest remainders, ties by the keys; the sum is min(target, rows).
 
-    The table has one row a stratum, so its one ordered window is small. ``share`` takes the ceiling of a share of all rows.
+    ``share`` takes the ceiling of a share of all rows. Remainders are ranked by ranges, so there may be any number of strata.
     """
-    total = F.sum("strata_size").over(W.partitionBy())
-    goal = F.least(F.lit(target), total) if share is None else F.ceil(total * F.lit(share)).cast("long")
-    sized = strata.withColumn("__raw", F.col("strata_size") * goal.cast("double") / total).withColumn("__goal", goal)
-    sized = sized.withColumn("__base", F.floor("__raw").cast("long")).withColumn("__frac", F.col("__raw") - F.col("__base"))
-    extra = F.col("__goal") - F.sum("__base").over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(F.col("__frac").desc(), *[F.col(k).asc_nulls_last() for k in keys]))
-    out = sized.withColumn("__extra", extra).withColumn("__rank", rank)
-    return out.withColumn("target_in_stratum", F.col("__base") + F.when(F.col("__rank") <= F.col("__extra"), 1).otherwise(0)).drop("__raw", "__goal", "__base", "__frac", "__extra", "__rank")
+    with Scratch(strata.sparkSession) as own:
+        strata = own.write(strata, "strata")
+        total = strata.agg(F.coalesce(F.sum("strata_size"), F.lit(0)).cast("long").alias("__total"))
+        goal = F.least(F.lit(target).cast("long"), F.col("__total")) if share is None else F.ceil(F.col("__total") * F.lit(share)).cast("long")
+        sized = strata.crossJoin(F.broadcast(total.withColumn("__goal", goal)))  # one row
+        sized = sized.withColumn("__raw", F.col("strata_size") * F.col("__goal").cast("double") / F.col("__total"))
+        sized = sized.withColumn("__base", F.floor("__raw").cast("long")).withColumn("__frac", F.col("__raw") - F.col("__base")).drop("__total", "__raw")
+        ranked = with_row_number(sized, [F.col("__frac").desc(), *[F.col(k).asc_nulls_last() for k in keys]], own, "__rank")
+        extra = ranked.agg((F.max("__goal") - F.sum("__base")).alias("__extra"))
+        out = ranked.crossJoin(F.broadcast(extra))  # one row
+        one_more = F.when(F.col("__rank") <= F.col("__extra"), 1).otherwise(0)
+    return out.withColumn("target_in_stratum", F.col("__base") + one_more).drop("__goal", "__base", "__frac", "__extra", "__rank")
 
 
 def strata_sizes(df: DataFrame, keys: list[str] = STRATA) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Square grid cells over planar coordinates in metres."""
+"""Square grid cells over planar coordinates in metres: points and edges in cells, areas of cells at a border, cell metrics.
+
+A shape is an array of its corners, array<struct<x: double, y: double>>, without the first one again at its end.
+"""
 
 from __future__ import annotations
 
@@ -17,32 +20,102 @@ def with_cells(points: DataFrame, x: str, y: str, origin: tuple[float, float], s
     return points.withColumns({"grid_x": cell_index(F.col(x), origin[0], size), "grid_y": cell_index(F.col(y), origin[1], size)})
 
 
+def _meets(a: Column, b: Column, low: float, size: float):
+    """Where, as a share of the way from a to b, a numbered grid line lies."""
+    return lambda k: (k * F.lit(float(size)) + F.lit(float(low)) - a) / (b - a)
+
+
 def segments_by_cell(edges: DataFrame, origin: tuple[float, float], size: float) -> DataFrame:
-    """Edges (x1, y1, x2, y2, ...) once for each cell that they meet, with the length inside it.
+    """Edges (x1, y1, x2, y2, ...) once for each cell that they cross, with ``length_m``, the length inside it.
 
-    Cells of the bounding box are listed for each edge, then the edge is clipped to each.
+    The edge is followed from one grid line to the next: the places where it meets lines of either direction, in order, cut it
+    into pieces, and each piece's middle tells its cell. So an edge makes as many rows as it crosses lines, and one more. Cells
+    met in a point only are left out; an edge without length lies in its point's cell.
     """
-    ends = edges.withColumns({"__x0": F.least("x1", "x2"), "__x1": F.greatest("x1", "x2"), "__y0": F.least("y1", "y2"), "__y1": F.greatest("y1", "y2")})
+    cuts = []
     for axis, low in (("x", origin[0]), ("y", origin[1])):
-        ends = ends.withColumn(f"grid_{axis}", F.explode(F.sequence(cell_index(F.col(f"__{axis}0"), low, size), cell_index(F.col(f"__{axis}1"), low, size))))
-    bounds = []
+        a, b = F.col(f"{axis}1"), F.col(f"{axis}2")
+        first, last = cell_index(F.least(a, b), low, size) + 1, cell_index(F.greatest(a, b), low, size)
+        lines = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        cuts.append(F.transform(lines, _meets(a, b, low, size)))
+    inner = F.array_distinct(F.array_sort(F.filter(F.concat(*cuts), lambda t: (t > 0) & (t < 1))))
+    pieces = F.transform(F.concat(F.array(F.lit(0.0)), inner), lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("__inner", i), F.lit(1.0)).alias("u")))
+    rows = edges.withColumn("__inner", inner).withColumn("__piece", F.explode(pieces)).drop("__inner")
+    middle = (F.col("__piece.t") + F.col("__piece.u")) / 2
+    place = lambda axis: F.col(f"{axis}1") + (F.col(f"{axis}2") - F.col(f"{axis}1")) * middle
+    whole = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    rows = rows.withColumns({"grid_x": cell_index(place("x"), origin[0], size), "grid_y": cell_index(place("y"), origin[1], size), "length_m": whole * (F.col("__piece.u") - F.col("__piece.t"))})
+    longer = (F.col("__piece.u") - F.col("__piece.t") > 1e-12) | (whole == 0)
+    return rows.where(longer).drop("__piece")
+
+
+def clip_to_half(shape: Column, axis: str, bound: Column, above: bool) -> Column:
+    """The part of a shape on one side of a line at right angles to an axis (Sutherland and Hodgman): every side of the shape leaves
+    its end if that is inside, after the place where it meets the line if its ends are on different sides."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: p[axis] >= bound if above else p[axis] <= bound
+
+    def meet(p: Column, q: Column) -> Column:
+        across = p[other] + (q[other] - p[other]) * F.try_divide(bound - p[axis], q[axis] - p[axis])
+        named = {axis: bound, other: across}
+        return F.struct(named["x"].cast("double").alias("x"), named["y"].cast("double").alias("y"))
+
+    def left_by(q: Column, i: Column) -> Column:
+        p = F.when(i == 0, F.element_at(shape, -1)).otherwise(F.get(shape, i - 1))
+        crossing = F.when(inside(p) != inside(q), F.array(meet(p, q)))
+        end = F.when(inside(q), F.array(F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+        none = F.filter(F.slice(shape, 1, 1), lambda _: F.lit(False))
+        return F.concat(F.coalesce(crossing, none), F.coalesce(end, none))
+
+    return F.when(F.size(shape) > 0, F.flatten(F.transform(shape, left_by))).otherwise(shape)
+
+
+def clip_to_cells(shapes: DataFrame, shape: str = "shape", into: str = "clipped", size: float = 500.0, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Rows with grid_x and grid_y: the part of a shape inside its cell. The steps are columns of their own, so none is repeated in the next."""
+    out = shapes.withColumn(into, F.col(shape))
     for axis, low in (("x", origin[0]), ("y", origin[1])):
-        a, d = F.col(f"{axis}1"), F.col(f"{axis}2") - F.col(f"{axis}1")
-        left = F.col(f"grid_{axis}") * F.lit(float(size)) + F.lit(float(low))
-        t0, t1 = F.try_divide(left - a, d), F.try_divide(left + F.lit(float(size)) - a, d)
-        bounds.append((F.coalesce(F.least(t0, t1), F.lit(0.0)), F.coalesce(F.greatest(t0, t1), F.lit(1.0))))
-    enter, leave = F.greatest(F.lit(0.0), bounds[0][0], bounds[1][0]), F.least(F.lit(1.0), bounds[0][1], bounds[1][1])
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * (leave - enter)
-    return ends.withColumn("length_m", length).where(leave >= enter).drop("__x0", "__x1", "__y0", "__y1")
-
-
-def cell_table(nodes: DataFrame, edges: DataFrame, size: float, city: str) -> DataFrame:
-    """Per cell: crossings, metres of road and their densities. ``nodes`` and ``edges`` have grid_x and grid_y."""
-    area = (size / 1000.0) ** 2
-    crossings = nodes.groupBy("grid_x", "grid_y").agg(F.count("*").alias("intersection_count"))
-    roads = edges.groupBy("grid_x", "grid_y").agg(F.sum("length_m").alias("road_length_m"))
-    out = crossings.join(roads, ["grid_x", "grid_y"], "left").na.fill({"road_length_m": 0.0})
+        near = F.col(f"grid_{axis}") * F.lit(float(size)) + F.lit(float(low))
+        for bound, above in ((near, True), (near + F.lit(float(size)), False)):
+            out = out.withColumn("__bound", bound).withColumn("__shape", F.col(into))
+            out = out.withColumn(into, clip_to_half(F.col("__shape"), axis, F.col("__bound"), above)).drop("__bound", "__shape")
+    return out
+
+
+def area(shape: Column) -> Column:
+    """Area of a shape by the sum of cross products of its sides; corners may go either way round."""
+    sides = F.transform(shape, lambda q, i: F.when(i == 0, F.element_at(shape, -1)).otherwise(F.get(shape, i - 1))["x"] * q["y"] - q["x"] * F.when(i == 0, F.element_at(shape, -1)).otherwise(F.get(shape, i - 1))["y"])
+    return F.when(F.size(shape) > 0, F.abs(F.aggregate(sides, F.lit(0.0), lambda n, s: n + s)) / 2).otherwise(F.lit(0.0))
+
+
+def city_grid(cities: DataFrame, size: float, shape: str = "shape") -> DataFrame:
+    """The cells (city, grid_x, grid_y, x0, y0, cell_area_km2) of each city's grid that its shape (city, shape) has a part in.
+
+    A grid begins at the least coordinates of its shape; a cell's area is that of the shape within it.
+    """
+    low = {a: F.array_min(F.col(f"{shape}.{a}")) for a in "xy"}
+    high = {a: F.array_max(F.col(f"{shape}.{a}")) for a in "xy"}
+    bounds = cities.select("city", shape, *[v.alias(f"{a}{n}") for n, side in (("0", low), ("1", high)) for a, v in side.items()])
+    moved = bounds.withColumn("__moved", F.transform(shape, lambda p: F.struct((p["x"] - F.col("x0")).alias("x"), (p["y"] - F.col("y0")).alias("y"))))
+    cells = moved
+    for a in "xy":
+        n = F.greatest(F.lit(1), F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / F.lit(float(size))).cast("int"))
+        cells = cells.withColumn(f"grid_{a}", F.explode(F.sequence(F.lit(0), n - 1)))
+    clipped = clip_to_cells(cells, "__moved", "__part", size)
+    return clipped.select("city", "grid_x", "grid_y", "x0", "y0", (area(F.col("__part")) / 1e6).alias("cell_area_km2")).where("cell_area_km2 > 0")
+
+
+def cell_table(cells: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per cell (city, grid_x, grid_y, cell_area_km2) of a grid: crossings, metres of road and their densities; cells without either stay, with zeros.
+
+    ``nodes`` and ``edges`` have city, grid_x and grid_y, edges also ``length_m``, the length inside the cell, and ``edge_m``, that of the
+    whole edge. ``road_length_m`` adds up whole edges that meet the cell, ``road_inside_m`` the lengths inside it.
+    """
+    at = ["city", "grid_x", "grid_y"]
+    crossings = nodes.groupBy(*at).agg(F.count("*").alias("intersection_count"))
+    roads = edges.groupBy(*at).agg(F.sum("edge_m").alias("road_length_m"), F.sum("length_m").alias("road_inside_m"))
+    out = cells.join(crossings, at, "left").join(roads, at, "left").na.fill({"intersection_count": 0, "road_length_m": 0.0, "road_inside_m": 0.0})
+    per = lambda c: rounded(F.try_divide(F.col(c), F.col("cell_area_km2")))
     return out.select(
-        F.concat_ws("_", F.lit(city), "grid_x", "grid_y").alias("cell_id"), F.lit(city).alias("city"), "grid_x", "grid_y", F.lit(area).alias("cell_area_km2"), "intersection_count",
-        rounded(F.col("road_length_m")).alias("road_length_m"), rounded(F.col("intersection_count") / F.lit(area)).alias("intersection_density"), rounded(F.col("road_length_m") / F.lit(area)).alias("road_density"),
+        F.concat_ws("_", "city", "grid_x", "grid_y").alias("cell_id"), *at, "cell_area_km2", "intersection_count", rounded(F.col("road_length_m")).alias("road_length_m"), rounded(F.col("road_inside_m")).alias("road_inside_m"),
+        per("intersection_count").alias("intersection_density"), per("road_length_m").alias("road_density"), per("road_inside_m").alias("road_inside_density"),
     )

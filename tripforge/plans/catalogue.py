@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import BINARY, CATEGORIES, CONTINUOUS, DISCRETE, FEATURED, FILTERED, GENERATIVE_CATEGORICAL, GENERATIVE_CONTINUOUS, STRATA, WEATHER_VALUES
 from ..functions import exprs as X
-from ..operators import enrich, evaluate, mlprep, sample, spatial, trips
+from ..operators import enrich, evaluate, mlprep, sample, trips
 from ..operators import profile as P
 from ..sources import io
 from ..sources.scratch import Scratch
@@ -689,7 +689,7 @@ def free_dummies(spark, d):
     return coded.groupBy("city").agg(*[F.sum(c).alias(c) for c in coded.columns if c != "city"])
 
 
-# --- sources, grid --------------------------------------------------------------------------------
+# --- sources --------------------------------------------------------------------------------------
 
 
 @query(" union all ".join(f"select '{t}' as file, count(*) as source_rows, count(*) as converted_rows, true as matches from {t}" for t in STAR))
@@ -758,16 +758,3 @@ def month_file_grouping(spark, d):
     pieces = [F.lit("2024"), F.lpad((k % 3 + 1).cast("string"), 2, "0"), F.when(k % 4 == 0, "-CITIBIKE").otherwise("-citibike"), F.lit("-tripdata_"), k.cast("string"), F.when(k % 5 == 0, ".csv").otherwise(".parquet")]
     names = Q.table(spark, d, "nation").select(F.concat(*pieces).alias("name"))
     return io.group_monthly(names).withColumn("files", F.array_join("files", ","))
-
-
-_GRID = """with n as (select floor((s_suppkey * 37 % 1000) / 250e0)::int as grid_x, floor((s_suppkey * 91 % 1000) / 250e0)::int as grid_y, count(*) as c from supplier group by all),
-r as (select floor((s_suppkey * 37 % 1000) / 250e0)::int as grid_x, floor((s_suppkey * 91 % 1000) / 250e0)::int as grid_y, sum(abs(s_acctbal)) as m from supplier where s_nationkey % 2 = 0 group by all)"""
-
-
-@query(f"""{_GRID} select 'x_' || grid_x || '_' || grid_y as cell_id, 'x' as city, grid_x, grid_y, 0.0625e0 as cell_area_km2, c as intersection_count, {_r('coalesce(m, 0)')} as road_length_m,
-  {_r('c / 0.0625e0')} as intersection_density, {_r('coalesce(m, 0) / 0.0625e0', 5)} as road_density from n left join r using (grid_x, grid_y)""")
-def grid_density(spark, d):
-    s = F.col("s_suppkey")
-    points = Q.table(spark, d, "supplier").select((F.pmod(s * 37, F.lit(1000))).cast("double").alias("x"), (F.pmod(s * 91, F.lit(1000))).cast("double").alias("y"), "s_nationkey", F.abs("s_acctbal").alias("length_m"))
-    cells = spatial.with_cells(points, "x", "y", (0.0, 0.0), 250.0)
-    return _rounded(spatial.cell_table(cells, cells.where("s_nationkey % 2 = 0"), 250.0, "x"), ["road_density"], 5)

@@ -5,28 +5,44 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
+from fnmatch import fnmatch
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
+from . import schemas
 
 
 def files_in(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> list[str]:
-    """Sorted paths of the files of a folder of any file system Spark can read."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return sorted(r[0] for r in rows.select("path").collect())
+    """Sorted paths of the files of a folder of any file system Spark can read, listed by that file system."""
+    fs, root = _fs(spark, folder)
+    if not fs.exists(root):
+        raise FileNotFoundError(folder)
+    found, names = fs.listFiles(root, recursive), []
+    hidden = lambda path: any(part.startswith(("_", ".")) for part in path.removeprefix(base).split("/"))
+    base = fs.makeQualified(root).toString()
+    while found.hasNext():
+        path = found.next().getPath().toString()
+        if fnmatch(path.rsplit("/", 1)[-1], pattern) and not hidden(path):
+            names.append(path)
+    return sorted(names)
+
+
+def files_below(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The Parquet files themselves, where some of the paths are folders of them."""
+    out = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        out += files_in(spark, path, "*.parquet", recursive=True) if fs.getFileStatus(p).isDirectory() else [path]
+    return out
 
 
 def read_same_schema(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several Parquet files, all with the columns and types of the first."""
-    first = spark.read.parquet(paths[0]).schema
-    for p in paths[1:]:
-        other = spark.read.parquet(p).schema
-        if [(f.name, f.dataType) for f in other] != [(f.name, f.dataType) for f in first]:
-            raise ContractError(f"{p} differs from {paths[0]}")
-    return spark.read.schema(first).parquet(*paths)
+    return schemas.read_same(spark, files_below(spark, paths))
 
 
 #: Numeric types, each wider than those before it.
@@ -66,7 +82,8 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_union_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return union_by_name([spark.read.parquet(p) for p in paths])
+    """Several Parquet files united by name; one scan for each schema among them."""
+    return schemas.read_files(spark, files_below(spark, paths))
 
 
 def read_csv_typed(spark: SparkSession, paths: list[str], overrides: dict[str, str] | None = None) -> DataFrame:
@@ -133,12 +150,19 @@ def _move(fs, source, target) -> None:
         raise OSError(f"could not move {source.toString()} to {target.toString()}")
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "error", files: int | None = None) -> bool:
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file within a file system."""
+    fs, p = _fs(spark, source)
+    _move(fs, p, _fs(spark, target)[1])
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "error", files: int | None = None, beside: Callable[[], dict] | None = None) -> bool:
     """Write ZSTD Parquet to a side path of its own, then move it into place. True if written.
 
     ``skip`` leaves what is there, ``append`` adds files to it, ``overwrite`` replaces it: the old files are moved aside,
     put back if the new ones can't be moved in, and deleted last, so at no time are both lost. ``files`` spreads the rows
-    over so many files; by default each task writes its own.
+    over so many files; by default each task writes its own. ``beside`` is called when the files are written: JSON documents, by
+    hidden name, that go into place with them.
     """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
@@ -153,9 +177,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "error", files: int | No
     out = df.repartition(files) if files else df
     try:
         out.write.mode("error").option("compression", "zstd").parquet(f"{name}.writing")
+        documents = beside() if beside else {}
+        for document, value in documents.items():
+            write_json(spark, value, f"{name}.writing/{document}")
         if there and mode == "append":
             for status in fs.listStatus(side):
-                if status.getPath().getName().endswith(".parquet"):
+                if status.getPath().getName().endswith(".parquet") or status.getPath().getName() in documents:
                     _move(fs, status.getPath(), _fs(spark, f"{path.rstrip('/')}/{status.getPath().getName()}")[1])
             return True
         if there:
