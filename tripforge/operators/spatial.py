@@ -49,36 +49,37 @@ def segments_by_cell(edges: DataFrame, origin: tuple[float, float], size: float)
     return rows.where(longer).drop("__piece")
 
 
-def clip_to_half(shape: Column, axis: str, bound: Column, above: bool) -> Column:
-    """The part of a shape on one side of a line at right angles to an axis (Sutherland and Hodgman): every side of the shape leaves
-    its end if that is inside, after the place where it meets the line if its ends are on different sides."""
-    other = "y" if axis == "x" else "x"
-    inside = lambda p: p[axis] >= bound if above else p[axis] <= bound
+def _half(on_x: bool, bound: Column, side: float) -> Column:
+    """A half plane: beyond (side 1) or before (side -1) a line at right angles to an axis."""
+    return F.struct(F.lit(on_x).alias("on_x"), bound.cast("double").alias("bound"), F.lit(side).alias("side"))
+
+
+def clip_to_half(shape: Column, half: Column) -> Column:
+    """The part of a shape in a half plane (Sutherland and Hodgman): every side of the shape leaves its end if that is
+    inside, after the place where it meets the line if its ends are on different sides."""
+    beyond = lambda p: (F.when(half["on_x"], p["x"]).otherwise(p["y"]) - half["bound"]) * half["side"]
 
     def meet(p: Column, q: Column) -> Column:
-        across = p[other] + (q[other] - p[other]) * F.try_divide(bound - p[axis], q[axis] - p[axis])
-        named = {axis: bound, other: across}
-        return F.struct(named["x"].cast("double").alias("x"), named["y"].cast("double").alias("y"))
+        share = F.try_divide(beyond(p), beyond(p) - beyond(q))
+        at = lambda c, on_line: F.when(on_line, half["bound"]).otherwise(p[c] + (q[c] - p[c]) * share).alias(c)
+        return F.struct(at("x", half["on_x"]), at("y", ~half["on_x"]))
 
     def left_by(q: Column, i: Column) -> Column:
         p = F.when(i == 0, F.element_at(shape, -1)).otherwise(F.get(shape, i - 1))
-        crossing = F.when(inside(p) != inside(q), F.array(meet(p, q)))
-        end = F.when(inside(q), F.array(F.struct(q["x"].alias("x"), q["y"].alias("y"))))
-        none = F.filter(F.slice(shape, 1, 1), lambda _: F.lit(False))
-        return F.concat(F.coalesce(crossing, none), F.coalesce(end, none))
+        crossing = (beyond(p) >= 0) != (beyond(q) >= 0)
+        met = F.when(crossing & (beyond(q) >= 0), F.array(meet(p, q), q)).when(crossing, F.array(meet(p, q)))
+        return met.when(beyond(q) >= 0, F.array(q)).otherwise(F.slice(F.array(q), 1, 0))
 
     return F.when(F.size(shape) > 0, F.flatten(F.transform(shape, left_by))).otherwise(shape)
 
 
-def clip_to_cells(shapes: DataFrame, shape: str = "shape", into: str = "clipped", size: float = 500.0, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Rows with grid_x and grid_y: the part of a shape inside its cell. The steps are columns of their own, so none is repeated in the next."""
-    out = shapes.withColumn(into, F.col(shape))
+def clip_to_cell(shape: Column, size: float, origin: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """The part of a shape inside the cell grid_x, grid_y: its four half planes one after the other, so that no step is repeated within the next."""
+    halves = []
     for axis, low in (("x", origin[0]), ("y", origin[1])):
         near = F.col(f"grid_{axis}") * F.lit(float(size)) + F.lit(float(low))
-        for bound, above in ((near, True), (near + F.lit(float(size)), False)):
-            out = out.withColumn("__bound", bound).withColumn("__shape", F.col(into))
-            out = out.withColumn(into, clip_to_half(F.col("__shape"), axis, F.col("__bound"), above)).drop("__bound", "__shape")
-    return out
+        halves += [_half(axis == "x", near, 1.0), _half(axis == "x", near + F.lit(float(size)), -1.0)]
+    return F.aggregate(F.array(*halves), shape, clip_to_half)
 
 
 def area(shape: Column) -> Column:
@@ -100,8 +101,8 @@ def city_grid(cities: DataFrame, size: float, shape: str = "shape") -> DataFrame
     for a in "xy":
         n = F.greatest(F.lit(1), F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / F.lit(float(size))).cast("int"))
         cells = cells.withColumn(f"grid_{a}", F.explode(F.sequence(F.lit(0), n - 1)))
-    clipped = clip_to_cells(cells, "__moved", "__part", size)
-    return clipped.select("city", "grid_x", "grid_y", "x0", "y0", (area(F.col("__part")) / 1e6).alias("cell_area_km2")).where("cell_area_km2 > 0")
+    inside = F.get(F.transform(F.array(clip_to_cell(F.col("__moved"), size)), area), F.lit(0))
+    return cells.select("city", "grid_x", "grid_y", "x0", "y0", (inside / 1e6).alias("cell_area_km2")).where("cell_area_km2 > 0")
 
 
 def cell_table(cells: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
