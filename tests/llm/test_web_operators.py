@@ -53,6 +53,65 @@ def test_names_drop_only_furniture_inside_a_story(block, stays):
         assert found[:2] == ["A title here", "The first paragraph of the story, of some length."] and len(found) == (3 if stays else 2)
 
 
+LONG = "The council met on Tuesday and spoke at length of the bridge, the school and the river, and of what each of them would cost the town next year."
+
+
+@pytest.mark.parametrize(("block", "text"), [
+    ("<p class='alert'>Water levels are rising in the valley, officials said on Monday.</p>", "Water levels are rising in the valley, officials said on Monday."),
+    ("<p>We know <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p>", "We know x=2 here."), ("<p>Seen <object data=x><param name=a>in the picture</object> above.</p>", "Seen in the picture above."),
+    ("<div class='notice'><a href=1>Log in to read on</a></div>", None), ("<div class='responses'><p>I liked this story very much.</p></div>", None), ("<p>A <span class='alert'>word</span> of warning.</p>", "A word of warning."),
+    (f"<p>{LONG}</p><ol>{'<li class=x1><b class=user>Ann</b> <time>May 5</time><p>I liked this story very much.</p></li>' * 2}</ol>", LONG),
+    (f"<p>{LONG}</p><div>{'<div class=x1><h2>Another part</h2><i class=author>Ann</i> <time>May 5</time></div>' * 2}</div>", f"{LONG}\n\nAnother part\n\nAnn May 5\n\nAnother part\n\nAnn May 5"),
+])
+def test_blocks_inside_a_story_go_by_content(block, text):
+    from tripforge.llm.html_extract import extract
+
+    want = "A title here\n\nThe first paragraph of the story, of some length." + (f"\n\n{text}" if text else "")
+    for page, path in ((f"<body><article>{INSIDE}{block}</article></body>", None), (f"<body><div class=story>{INSIDE}{block}</div></body>", "body>div.story")):
+        assert extract(page, path) == want
+
+
+def test_prose_off_the_winning_path_stays_where_there_is_more():
+    from tripforge.llm.html_extract import extract
+
+    page = f"<body><nav><a href=1>Home</a></nav><div class=a><p>A short first story.</p></div><div class=b><p>{LONG}</p></div><div class=ad><p>Buy these things now.</p></div></body>"
+    assert extract(page, "body>div.a") == f"A short first story.\n\n{LONG}"
+    same = f"<body><div class=a><p>{LONG}</p></div><div class=a><p>{LONG}</p></div></body>"
+    assert extract(same, "body>div.a") == f"{LONG}\n\n{LONG}"
+    assert extract(same.replace("<div class=a>", "<div class=b>", 1), "body>div.a") == f"{LONG}\n\n{LONG}"
+    less = f"<body><div class=a><p>{LONG}</p></div><div class=b><p>A box that says something of this site.</p></div></body>"
+    assert extract(less, "body>div.a") == LONG
+
+
+LAYOUTS = [
+    "<body><nav>{n}</nav><article>{s}</article><footer>{f}</footer></body>", "<body><div class=top-nav>{n}</div><div class=story-7>{s}</div><div class=footer>{f}</div></body>",
+    "<body><main><div class=lead>{s}</div><aside>{f}</aside></main></body>", "<body><form id=f><div id=wrap>{s}</div></form><div class=sidebar>{f}</div></body>",
+    "<body><table><tr><td class=menu>{n}</td><td>{s}</td></tr></table></body>", "<body><div class='content has-sidebar'>{s}</div><div id=comments>{c}</div></body>",
+    "<body><div class=a><section>{s}</section></div><div class=cookie-notice>{f}</div></body>", "<body><div class=page><header>{n}</header><center>{s}</center></div><ul class=menu>{n}</ul></body>",
+    "<body><article>{s}<div class=responses>{c}</div></article></body>", "<body><div class=post>{s}</div><ol class=thread>{c}</ol><div class=newsletter>{f}</div></body>",
+]
+
+
+def test_blocks_of_ten_layouts(spark):
+    from tripforge.llm.html_extract import extract_pages
+
+    rng, rows, want = random.Random(8), [], {}
+    for k in range(400):
+        host = k % 10
+        blocks = [f"Part {k} {j} of the story says {' '.join(rng.choice(('river', 'bridge', 'town', 'school')) for _ in range(rng.randint(8, 40)))}." for j in range(rng.randint(2, 6))]
+        marks = [rng.choice(("<p>", "<p class=alert>", "<blockquote>", "<p>")) for _ in blocks]
+        story = "".join(f"{m}{b}</{m[1:].split('>')[0].split()[0]}>" for m, b in zip(marks, blocks, strict=True))
+        talk = "".join(f"<li class=c{j}><b class=author>Ann</b> <time>May {j}</time><p>Reader {j} writes something here.</p></li>" for j in range(3))
+        page = LAYOUTS[host].format(s=story, n="<a href=1>Home of it</a> <a href=2>News of it</a>", f="<p>All of this is the site's own, and not the story's.</p>", c=talk)
+        rows.append((k, f"http://h{host}.example/{k}", page))
+        want[k] = blocks
+    hit = said = known = 0
+    for row in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        found = set(row.text.split("\n\n"))
+        hit, said, known = hit + len(found & set(want[row.page_id])), said + len(found), known + len(want[row.page_id])
+    assert hit / known >= 0.99 and hit / said >= 0.97, (hit, said, known)
+
+
 @pytest.mark.parametrize("page", ['<a "' * 250_000, "<a href='x" * 200_000, "<p class=\"" * 200_000, "<div>" * 100_000 + "</x>" * 100_000, "<i>" * 100_000, "<!--" * 100_000, "<" * 500_000, "</" * 200_000])
 def test_broken_pages_take_linear_time(page):
     from tripforge.llm.html_extract import extract

@@ -4,7 +4,8 @@
    The best, deepest one votes for its generalised path of tags and classes (digits become ``#``).
 2. Votes are summed by host and path in Spark; each host's path with the largest sum wins.
 3. Every page is extracted again from the elements on its host's winning path, or from its own best container where it
-   has no such element.
+   has no such element. Where more prose lies off that path than on it, and at least ``LONG_PROSE`` characters, the page
+   is of another layout than its host's others: its own best container is taken, too.
 
 Blocks are cut at block-level tags; character references are decoded, white space in a block becomes one space, and
 blocks are joined by two line feeds. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
@@ -13,7 +14,9 @@ reader comments are left out by tag, role, or the names in class and id. A name
 holds ``MOST`` of the page's prose (reader comments apart), or the article or main element that holds over half of it. A name
 that also says something else (search-results-study) only hints: such a block within a story or the winning path goes
 only if it has no prose or half of it is links. Where nothing else is left, all such blocks are taken. Words after
-has-, with-, no- and the like mark nothing.
+has-, with-, no- and the like mark nothing. Names of ``CALLOUT_WORDS`` (alert, notice, banner) are those of boxes that
+stories have, too: within a story they only hint. Reader comments are also known by their build: siblings of one step,
+each with an author and a date and without a heading, beside at least ``LONG_PROSE`` characters of other prose.
 
 Pages are read in one pass: tags by hand, so that unclosed quotes and comments cost no second look, elements as a list in
 which parents come before children, so that sums and marks take one pass up and one down. Paths are written out for winners only.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, read_table
 
 #: Elements whose content is no text.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "math", "object"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "annotation"}
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)\s*(/?)>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _GAP = re.compile(r"[\s/]*")
@@ -45,10 +48,11 @@ _EQUALS = re.compile(r"\s*=\s*")
 _BARE = re.compile(r"[^\s>]*")
 _TO_END = re.compile(r"[^>]*")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr",
+    "object", "param", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mphantom", "merror", "semantics",
 }
 DROPPED_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu", "fieldset"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
@@ -59,7 +63,7 @@ STRONG_WORDS = {
 }
 #: Words that do so where the rest of the name is of such words or of words of layout.
 FURNITURE_WORDS = STRONG_WORDS | {
-    "promotion", "banner", "consent", "notice", "alert", "overlay", "subscribe", "subscription", "signup", "nav", "menu", "aside", "footer", "header", "comment", "comments", "reply", "replies", "share",
+    "promotion", "banner", "consent", "notice", "alert", "overlay", "subscribe", "subscription", "signup", "nav", "menu", "aside", "footer", "header", "comment", "comments", "reply", "replies", "responses", "share",
     "sharing", "social", "related", "recommended", "widget", "widgets", "pager", "toolbar", "search", "login", "form", "copyright", "skip",
 }
 LAYOUT_WORDS = {
@@ -67,13 +71,21 @@ LAYOUT_WORDS = {
     "group", "holder", "home", "icon", "icons", "inner", "item", "items", "large", "layout", "left", "link", "links", "list", "main", "mini", "mobile", "more", "outer", "page", "panel", "placement", "post",
     "posts", "primary", "right", "row", "secondary", "section", "side", "site", "slot", "small", "sticky", "stories", "tab", "tabs", "text", "thread", "title", "toggle", "top", "unit", "user", "wide", "wrap", "wrapper", "zone",
 }
+#: Furniture words that also name boxes within a story.
+CALLOUT_WORDS = {"alert", "notice", "banner", "overlay", "aside", "header", "footer", "widget", "widgets", "form", "search", "toolbar", "menu", "nav"}
 SOFT_TAGS = {"form", "fieldset"}
-TALK_WORDS = {"comment", "comments", "disqus", "reply", "replies"}
+TALK_WORDS = {"comment", "comments", "disqus", "reply", "replies", "responses"}
+#: Names of who wrote an entry, and when.
+AUTHOR_WORDS = {"author", "avatar", "byline", "commenter", "nick", "nickname", "user", "username"}
+DATE_WORDS = {"date", "datetime", "posted", "published", "time", "timestamp"}
+AUTHOR, DATE, HEADING = 1, 2, 4
 #: The rest of a name after these says what a page has or lacks, not what the element is.
 MODIFIERS = {"has", "have", "with", "without", "no", "not", "hide", "hides"}
 #: Before "header" these make it a story's own.
 STORY_WORDS = {"article", "entry", "post", "story"}
 MOST = 0.75
+#: So many characters of prose are no small box of a page.
+LONG_PROSE = 140
 CONTAINERS = {"body", "article", "main", "section", "div", "td", "center"}
 #: Tags that an opening tag of the key closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -98,7 +110,8 @@ def _mark(value: str, in_story: bool) -> tuple[int, bool]:
                 found.append(word)
             elif word not in LAYOUT_WORDS and len(word) > 1:
                 other = True
-        level = 0 if not found else 2 if not other or words[0] in STRONG_WORDS else 1
+        callout = bool(found) and CALLOUT_WORDS.issuperset(found)
+        level = 0 if not found else 2 if words[0] in STRONG_WORDS or not (other or callout) else 1
         most, talk = max(most, level), talk or level == 2 and not TALK_WORDS.isdisjoint(found)
     return most, talk
 
@@ -106,7 +119,7 @@ def _mark(value: str, in_story: bool) -> tuple[int, bool]:
 class Node:
     """An element: where it stands, what its tag and names say, and what its blocks add up to."""
 
-    __slots__ = ("bad", "chars", "depth", "dropped", "good", "in_story", "inside", "linked", "mark", "out", "parent", "path", "prose", "step", "story", "tag", "talk")
+    __slots__ = ("bad", "chars", "depth", "dropped", "good", "in_story", "inside", "linked", "mark", "out", "parent", "path", "prose", "signs", "step", "story", "tag", "talk")
 
     def __init__(self, tag: str, step: str, parent: Node | None, path: int, dropped: bool = False, mark: int = 0, talk: bool = False):
         self.tag, self.step, self.parent, self.path, self.dropped, self.mark = tag, step, parent, path, dropped, mark
@@ -114,6 +127,7 @@ class Node:
         self.in_story = tag in ("article", "main") or parent is not None and parent.in_story
         self.depth = parent.depth + 1 if parent is not None else 0
         self.good, self.bad, self.prose, self.story, self.chars, self.linked = 0.0, 0.0, 0, 0, 0, 0
+        self.signs = HEADING if tag in HEADINGS else DATE if tag == "time" else 0
         self.inside = self.out = False
 
 
@@ -181,6 +195,7 @@ class Page:
         self.blocks: list[tuple[Node, str, float]] = []
         self._read(page)
         self._sum()
+        self._find_talk()
 
     def _open(self, parent: Node, tag: str, attributes: dict[str, str]) -> Node:
         role = attributes.get("role", "").lower()
@@ -201,6 +216,9 @@ class Page:
         step = ".".join([tag, *classes])
         key = (0, step) if tag in ("html", "body") or parent.tag in ("html", "#") else (parent.path, step)
         node = Node(tag, step, parent, self.paths.setdefault(key, len(self.paths) + 1), parent.dropped or dropped, mark, talk)
+        for name in ("class", "itemprop", "rel"):
+            words = _name_words(attributes[name]) if attributes.get(name) else ()
+            node.signs |= (0 if AUTHOR_WORDS.isdisjoint(words) else AUTHOR) | (0 if DATE_WORDS.isdisjoint(words) else DATE)
         self.nodes.append(node)
         return node
 
@@ -287,6 +305,8 @@ class Page:
 
     def _sum(self) -> None:
         """What is below each element: prose outside reader comments, the most prose of one story, characters and those in links."""
+        for node in self.nodes:
+            node.prose = node.story = node.chars = node.linked = 0
         for node, text, share in self.blocks:
             node.chars += len(text)
             node.linked += int(share * len(text))
@@ -297,6 +317,23 @@ class Page:
             up.prose, up.chars, up.linked = up.prose + node.prose, up.chars + node.chars, up.linked + node.linked
             up.story = max(up.story, node.story, node.prose if node.tag in ("article", "main") else 0)
 
+    def _find_talk(self) -> None:
+        """Mark reader comments by their build."""
+        for node in reversed(self.nodes[1:]):
+            node.parent.signs |= node.signs
+        entries: dict[tuple[int, str], list[Node]] = {}
+        for node in self.nodes[1:]:
+            if node.signs == AUTHOR | DATE and node.prose and node.tag not in INLINE:
+                entries.setdefault((node.parent.path, node.step), []).append(node)
+        groups = [group for group in entries.values() if len(group) > 1 and self.nodes[0].prose - sum(n.prose for n in group) >= LONG_PROSE]
+        if not groups:
+            return
+        for node in (n for group in groups for n in group):
+            node.mark, node.talk = 2, True
+        for node in self.nodes[1:]:
+            node.talk = node.talk or node.parent.talk
+        self._sum()
+
     def judge(self, path: str | None = None, keep_all: bool = False) -> None:
         """Mark what is out, given the winning path."""
         total, wanted = self.nodes[0].prose, self.path_id(path) if path else None
@@ -333,13 +370,24 @@ class Page:
                     best, most = node, (score, node.depth)
         return best, most[0]
 
+    def _with_own(self, found: list[int]) -> list[int]:
+        """Blocks on the winning path, and those of the page's own best container where more prose lies off the path."""
+        on, off = 0, 0
+        for node, text, share in self.blocks:
+            if not node.out and _is_prose(text, node.tag, share):
+                on, off = (on + len(text), off) if node.inside else (on, off + len(text))
+        if off < max(on, LONG_PROSE):
+            return found
+        self.judge(self.path_of(self.best_container()[0]))
+        return sorted({*found, *(k for k, (node, _, _) in enumerate(self.blocks) if node.inside and not node.out)})
+
     def texts(self, path: str | None, keep_all: bool = False) -> list[str]:
         """Blocks of the elements on ``path``, or of the page's own best container, or all."""
         self.judge(path, keep_all)
         if path and path != ROOT:
-            found = [text for node, text, _ in self.blocks if node.inside and not node.out]
+            found = [k for k, (node, _, _) in enumerate(self.blocks) if node.inside and not node.out]
             if found:
-                return found
+                return [self.blocks[k][1] for k in self._with_own(found)]
         everything = [text for node, text, _ in self.blocks if not node.out]
         own = self.path_of(self.best_container()[0])
         if own != ROOT and path != ROOT:
