@@ -7,7 +7,8 @@ began, so every boundary of normalised text has a byte offset of the original, a
 
 Pieces are merged by score, leftmost first. No merge crosses a boundary whose two characters are in no piece side by side; so
 texts are cut where U+2581 follows another character (if no piece has that) and around characters that no longer piece
-holds, and what a worker made of such a stretch is remembered (``MEMO`` stretches). Characters that are no piece become
+holds, and such stretches at all other boundaries of the kind. What a worker made of a stretch, and of a part of one, is
+remembered (``MEMO`` of each). Characters that are no piece become
 bytes, or the unknown piece. Decoding feeds ids to a state machine that keeps an unfinished character's bytes.
 
 The model file's path is a parameter; the driver reads it and broadcasts it (its size is the vocabulary's, not the data's).
@@ -24,6 +25,7 @@ import codecs
 import heapq
 import re
 import struct
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .common import map_texts, read_table
 
-#: Stretches kept in a worker's memo; beyond, it starts anew.
+#: Stretches, and parts of them, kept in a worker's memos; beyond, a memo starts anew.
 MEMO = 300_000
 #: Ids that a decoder is fed at a time.
 FEED = 4096
@@ -127,6 +129,8 @@ class Model:
         #: Bytes that each id stands for in a decoded text.
         self.raw = [self._raw(i) for i in range(len(self.pieces))]
         self.stretches = self._stretches()
+        #: Neighbours in some piece; no merge joins others.
+        self.pairs = {p[k : k + 2] for p in self.ranks for k in range(len(p) - 1)}
 
     def _raw(self, i: int) -> bytes:
         kind = self.kinds[i]
@@ -211,7 +215,7 @@ class Encoder:
     """Encodes with one model."""
 
     def __init__(self, model: Model):
-        self.m, self.memo = model, _Memo(self.stretch)
+        self.m, self.memo, self.parts, self.packed = model, _Memo(self.stretch), _Memo(self.part), _Memo(self._pack)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and the byte of the source at which each of its characters begins (one more for the end)."""
@@ -249,18 +253,25 @@ class Encoder:
 
     def stretch(self, text: str) -> bytes:
         """Pairs of 32-bit integers for a stretch of normalised text: an id, and how many of its characters that stands for."""
-        m, out = self.m, []
-        for piece in m.merged(text) if len(text) > 1 else [text]:
-            i = m.ids.get(piece)
-            if i is not None:
-                out += [i, len(piece)]
-            elif m.fallback:
-                for b in piece.encode("utf-8", "surrogatepass"):
-                    out += [m.bytes[b], 0]
-                out[-1] = len(piece)
-            else:
-                out += [m.unknown, len(piece)]
-        return struct.pack(f"<{len(out)}i", *out)
+        pairs = self.m.pairs
+        if pairs.issuperset(map(add, text, text[1:])):
+            return self.parts[text]
+        cuts = [0, *(k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in pairs), len(text)]
+        return b"".join([self.parts[text[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def part(self, text: str) -> bytes:
+        """The same for a part without a boundary that no merge crosses."""
+        return b"".join(map(self.packed.__getitem__, self.m.merged(text) if len(text) > 1 else text))
+
+    def _pack(self, piece: str) -> bytes:
+        """The same for a piece, or for a character that is none."""
+        m = self.m
+        if piece in m.ids:
+            return struct.pack("<2i", m.ids[piece], len(piece))
+        if not m.fallback:
+            return struct.pack("<2i", m.unknown, len(piece))
+        parts = piece.encode("utf-8", "surrogatepass")
+        return b"".join([struct.pack("<2i", m.bytes[b], len(piece) if k == len(parts) else 0) for k, b in enumerate(parts, 1)])
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the byte offsets of the source at which they begin and, in the second column, end."""
