@@ -111,6 +111,16 @@ def test_heavy_hitters_equal_the_full_sort(spark, capacity):
     assert len(heavy.most_frequent(df, ["b"], 50, capacity).collect()) == 4
 
 
+def test_values_of_which_none_stands_out_take_two_passes(spark, monkeypatch):
+    made, summaries = [], heavy.summaries
+    monkeypatch.setattr(heavy, "summaries", lambda *a: made.append(a) or summaries(*a))
+    rows = spark.range(30_000, numPartitions=3).select((F.col("id") * 7919 % 9973).alias("k"))
+    counts = collections.Counter(i * 7919 % 9973 for i in range(30_000))
+    want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:25]
+    assert [(r.k, r.n) for r in heavy.most_frequent(rows, ["k"], 25, 20).collect()] == want
+    assert len(made) == 1  # the summaries grew to all values of a task, one scan and one count for each doubling
+
+
 def test_a_summary_is_no_larger_than_its_capacity(spark):
     made = heavy.summaries(spark.range(50_000).repartition(3).select((F.col("id") % 9000).alias("k")), ["k"], 20)
     assert made.where("__error is null").count() <= 3 * 20

@@ -1,10 +1,10 @@
-"""The most frequent values of columns of any cardinality, exactly, without shuffling them all.
+"""The most frequent values of columns of any cardinality, exactly, without shuffling them all where some stand out.
 
 Each task keeps a Misra-Gries summary of at most ``capacity`` values of its rows. What a summary dropped of a value is at most its
 error, and the errors add up, so the sum over tasks of a value's counters is short of its count by ``error`` at most, and a
-value in no summary has at most ``error`` rows. A second pass counts the candidates exactly. If the n-th of them has more than
-``error`` rows, no value was left out, ties included; if not, the summaries are made again with twice the capacity, up to the
-point where they hold all values of a task and the error is zero. So what is shuffled is bounded by tasks x capacity.
+value in no summary has at most ``error`` rows. If the n-th of those sums is more than ``error``, no value was left out, ties
+included: a second pass counts the candidates exactly, and what is shuffled is bounded by tasks x capacity. If not, no n values
+stand out, and the second pass counts all values, each task's once; so there are two passes at any size.
 """
 
 from __future__ import annotations
@@ -49,22 +49,20 @@ def summaries(rows: DataFrame, keys: list[str], capacity: int = CAPACITY) -> Dat
 def most_frequent(rows: DataFrame, keys: list[str], n: int, capacity: int = CAPACITY, name: str = "n") -> DataFrame:
     """The n most frequent values of the keys and their exact counts, ties by the keys (nulls first); nulls are values.
 
-    ``rows`` is read twice, or more where the capacity must grow: give a table or a cheap plan.
+    ``rows`` is read twice: give a table or a cheap plan.
     """
     order = [F.col(name).desc(), *[F.col(k).asc_nulls_first() for k in keys]]
+    counted = lambda df: df.groupBy(*keys).agg(F.count("*").alias(name)).orderBy(*order).limit(n)
     with Scratch(rows.sparkSession) as own:
-        while True:
-            made = own.write(summaries(rows, keys, capacity), "summaries")
-            error = made.agg(F.sum("__error")).first()[0] or 0
-            lower = own.write(made.where("__error is null").groupBy(*keys).agg(F.sum("__count").alias("__least")), "candidates")
-            # the n-th lower bound: a value that can't reach it is out
-            bar = lower.orderBy(F.col("__least").desc()).limit(n).agg(F.count("*").alias("n"), F.min("__least").alias("bar")).first()
-            reach = lower.where(F.col("__least") + F.lit(error) >= F.lit(bar.bar if bar.n == n else 0))
-            wanted = reach.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        made = own.write(summaries(rows, keys, capacity), "summaries")
+        error = made.agg(F.sum("__error")).first()[0] or 0
+        lower = own.write(made.where("__error is null").groupBy(*keys).agg(F.sum("__count").alias("__least")), "candidates")
+        # the n-th lower bound: a value that can't reach it is out
+        bar = lower.orderBy(F.col("__least").desc()).limit(n).agg(F.count("*").alias("n"), F.min("__least").alias("bar")).first()
+        if error and (bar.n < n or bar.bar <= error):
+            top = counted(rows.select(*keys))
+        else:
+            wanted = lower.where(F.col("__least") + F.lit(error) >= F.lit(bar.bar if bar.n == n else 0)).select(*[F.col(k).alias(f"__{k}") for k in keys])
             same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            counts = rows.select(*keys).join(wanted, same, "left_semi").groupBy(*keys).agg(F.count("*").alias(name))
-            top = own.keep(counts.orderBy(*order).limit(n), "most-frequent")
-            last = top.agg(F.count("*").alias("n"), F.min(name).alias("least")).first()
-            if error == 0 or (last.n == n and last.least > error):
-                return top.orderBy(*order)
-            capacity *= 2
+            top = counted(rows.select(*keys).join(wanted, same, "left_semi"))
+        return own.keep(top, "most-frequent").orderBy(*order)
