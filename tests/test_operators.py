@@ -268,3 +268,48 @@ def test_text_columns_become_the_same_dummies_on_both_sides(spark):
     assert features == ["rain_flag", "f0", "f1"]
     assert [tuple(r) for r in ca.select(*features).collect()] == [(0.0, 1, 0)]
     assert [tuple(r) for r in cb.select(*features).collect()] == [(1.0, 0, 1), (0.0, 0, 0)]
+
+
+def test_the_small_side_of_a_join_is_broadcast_though_its_source_is_large(spark, tmp_path):
+    spark.range(2_000_000, numPartitions=2).select((F.col("id") % 50).alias("k"), (F.col("id") * 7919 % 1_000_003).alias("v"), F.col("id")).write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    right = enrich.first_by(source, ["k"], ["id"]).select("k", "v")
+    joined = enrich.join_many_to_one(source.select("k", "id"), right, ["k"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the left side was shuffled before the right side's size was known
+    assert joined.where("v is null").count() == 0 and joined.count() == 2_000_000
+
+
+def test_features_run_in_methods_that_java_compiles(spark):
+    """One method of all features was over 8,000 bytes long and ran interpreted."""
+    from tripforge import session
+
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        session.limit_methods(spark)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "9000")
+        session.limit_methods(spark)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "9000"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def test_odd_trips_are_those_with_a_flag(spark):
+    nan = float("nan")
+    rows = [(m, k, s) for m in (None, nan, -1.0, 1.0, 1.1, 99.9, 100.0) for k in (None, nan, 0.0, 0.05, 0.06, 11.9, 12.0) for s in (0, 1, None)]
+    df = spark.createDataFrame(rows, "trip_duration double, haversine_distance_km double, same_station int").withColumn("city", F.lit("x"))
+    got = [sorted(map(tuple, profile.suspicious_trips(df, before=b).collect())) for b in (True, False)]
+    assert got[0] == got[1] and sum(r[-1] for r in got[0]) > 0
+
+
+def test_a_stored_table_is_not_written_again(spark, tmp_path, monkeypatch):
+    from tripforge.sources.scratch import Scratch
+
+    spark.createDataFrame([(float(i), i * 0.5) for i in range(101)], "a double, b double").write.parquet(str(tmp_path / "t"))
+    table, names, write = spark.read.parquet(str(tmp_path / "t")), [], Scratch._table
+    monkeypatch.setattr(Scratch, "_table", lambda self, df, name, paths: names.append(name) or write(self, df, name, paths))
+    assert mlprep.fit_medians(table, ["a", "b"], stored=True) == {"a": 50.0, "b": 25.0}
+    assert "quantile-rows" not in names
+    assert mlprep.fit_medians(table, ["a", "b"]) == {"a": 50.0, "b": 25.0} and "quantile-rows" in names

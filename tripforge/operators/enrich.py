@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import WEATHER, WEATHER_VALUES, ContractError, require_columns
 from ..functions import exprs as X
+from ..sources.scratch import Scratch
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -28,12 +29,14 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], checked: bool = True) -> DataFrame:
     """Left join in which null keys match null keys and the right side has each key once.
 
-    Spark broadcasts the right side where it is small, and splits hot keys of a shuffled left side.
+    The right side is written first, so Spark knows its size: where it is small it is broadcast, and the left side is not
+    shuffled; else Spark splits hot keys of the shuffled left side. ``checked`` False takes the right side as it is.
     """
     require_columns(left, keys, "left side")
     require_columns(right, keys, "right side")
     if checked:
-        require_unique(right, keys)
+        with Scratch(left.sparkSession) as own:
+            right = require_unique(own.keep(right, "right-side"), keys)
     same = [left[k].eqNullSafe(right[k]) for k in keys]
     return left.join(right, same, "left").drop(*[right[k] for k in keys])
 

@@ -13,9 +13,9 @@ from .quantiles import quantiles_wide
 MAX_DOMAIN = 1000
 
 
-def fit_medians(df: DataFrame, columns: list[str] = CONTINUOUS) -> dict[str, float]:
-    """Exact medians; 0.0 where all values are null."""
-    row = quantiles_wide(df, [], columns, {0.5: "m"}).first()
+def fit_medians(df: DataFrame, columns: list[str] = CONTINUOUS, stored: bool = False) -> dict[str, float]:
+    """Exact medians; 0.0 where all values are null. A ``stored`` table is not written again."""
+    row = quantiles_wide(df, [], columns, {0.5: "m"}, stored=stored).first()
     return {c: float(row[f"m_{c}" if len(columns) > 1 else "m"] or 0.0) if row else 0.0 for c in columns}
 
 
@@ -50,28 +50,30 @@ def free_domains(frames: list[DataFrame], columns: list[str]) -> dict[str, list[
     for f in frames[1:]:
         both = both.unionByName(f.select(*columns))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("e")
-    values = both.select(cells).select("e.*").where("v is not null").distinct()
-    wide = values.groupBy("c").count().where(F.col("count") > MAX_DOMAIN).first()
-    if wide:
-        raise ContractError(f"{wide.c} has {wide['count']} values, more than {MAX_DOMAIN} columns can stand for")
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in values.orderBy("c", "v").collect():  # at most MAX_DOMAIN a column
-        found[r.c].append(r.v)
-    return found
-
-
-def fit_scaling(trips: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
-    """Medians, and mean and deviation after imputation and logarithms, from one written copy of the continuous columns."""
+    with Scratch(both.sparkSession) as own:
+        values = own.write(both.select(cells).select("e.*").where("v is not null").distinct(), "domains")
+        wide = values.groupBy("c").count().where(F.col("count") > MAX_DOMAIN).first()
+        if wide:
+            raise ContractError(f"{wide.c} has {wide['count']} values, more than {MAX_DOMAIN} columns can stand for")
+        found: dict[str, list[str]] = {c: [] for c in columns}
+        for r in values.orderBy("c", "v").collect():  # at most MAX_DOMAIN a column
+            found[r.c].append(r.v)
+        return found
+
+
+def fit_scaling(trips: DataFrame, stored: bool = False) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Medians, and mean and deviation after imputation and logarithms, from one written copy of the continuous columns or a ``stored`` table."""
     with Scratch(trips.sparkSession) as own:
-        slim = own.write(trips.select(*CONTINUOUS), "continuous-columns")
-        medians = fit_medians(slim)
+        slim = trips.select(*CONTINUOUS)
+        slim = slim if stored else own.write(slim, "continuous-columns")
+        medians = fit_medians(slim, stored=True)
         return medians, fit_scaler(log_skewed(impute(slim, medians)))
 
 
-def model_input(trips: DataFrame) -> tuple[DataFrame, dict]:
-    """The 22 model columns and the parameters they were made with."""
+def model_input(trips: DataFrame, stored: bool = False) -> tuple[DataFrame, dict]:
+    """The 22 model columns and the parameters they were made with; trips are computed twice unless they are a ``stored`` table."""
     require_columns(trips, [*CATEGORIES, *DISCRETE, *BINARY, *CYCLICAL, *CONTINUOUS], "model input")
-    medians, scaler = fit_scaling(trips)
+    medians, scaler = fit_scaling(trips, stored)
     coded = one_hot(scale(log_skewed(impute(trips, medians)), scaler))
     small, real = [*DISCRETE, *BINARY], [*CYCLICAL, *CONTINUOUS]
     coded = coded.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("byte") for c in small} | {c: F.col(c).cast("float") for c in real})

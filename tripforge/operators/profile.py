@@ -69,10 +69,9 @@ def distance_impact(f: DataFrame, rule: TripRule = RULE) -> DataFrame:
 
 def suspicious_trips(f: DataFrame, rule: TripRule = RULE, before: bool = True) -> DataFrame:
     """Counts by outlier flags of trips with one at least; filtered before grouping or after it (same rows)."""
-    odd = (F.col("duration_flag") != "normal") | (F.col("distance_flag") != "normal")
-    flagged = with_outlier_flags(f, rule)
-    counts = (flagged.where(odd) if before else flagged).groupBy("city", "duration_flag", "distance_flag").agg(F.count("*").alias("n"))
-    return counts if before else counts.where(odd)
+    flagged = with_outlier_flags(f.where(rule.odd()) if before else f, rule)
+    counts = flagged.groupBy("city", "duration_flag", "distance_flag").agg(F.count("*").alias("n"))
+    return counts if before else counts.where((F.col("duration_flag") != "normal") | (F.col("distance_flag") != "normal"))
 
 
 def short_distance_breakdown(f: DataFrame, rule: TripRule = RULE) -> DataFrame:

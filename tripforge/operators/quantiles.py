@@ -13,10 +13,10 @@ from ..sources.scratch import Scratch
 ACCURACY, SLICES = 10_000, 64
 
 
-def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], at: list[float], accuracy: int = ACCURACY, more: dict[str, Column] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], at: list[float], accuracy: int = ACCURACY, more: dict[str, Column] | None = None, stored: bool = False) -> DataFrame:
     """Rows (by..., column, p, value), nulls left out; value is null for a group without values.
 
-    The columns needed are written once. A sketch brackets each rank to within 2 / accuracy of the rows; values within a
+    The columns needed are written once, unless ``df`` is a ``stored`` table. A sketch brackets each rank to within 2 / accuracy of the rows; values within a
     bracket are counted by ``SLICES`` of its width, and only the slices that hold the two values around the rank are
     ordered, so no task orders a bracket. Groups of up to ``accuracy`` rows are bracketed whole. Brackets are joined back
     as one row a group, from a written table, so Spark knows whether they are few enough to broadcast. ``more`` names
@@ -39,7 +39,8 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], at: list[f
             spans.append(F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"n_{c}").alias("n"), lo.alias("lo"), hi.alias("hi")))
     with Scratch(df.sparkSession) as own:
         slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-        slim = own.write(slim.withColumnsRenamed(dict(zip(by, keys, strict=True))), "quantile-rows")
+        slim = slim.withColumnsRenamed(dict(zip(by, keys, strict=True)))
+        slim = slim if stored else own.write(slim, "quantile-rows")
         frame = slim.groupBy(*keys).agg(*made).select(*keys, F.array(*spans).alias("spans"), *[f"__m_{n}" for n in more])
         frame = own.write(frame, "quantile-brackets")
         joined = slim.alias("a").join(frame.select(*keys, "spans").alias("b"), same())
@@ -75,8 +76,8 @@ def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], at: list[f
         return own.keep(out.select(*columns_out, F.col("s.column").alias("column"), F.col("s.p").alias("p"), value.alias("value"), *[F.col(f"a.__m_{n}").alias(n) for n in more]), "quantiles")
 
 
-def quantiles_wide(df: DataFrame, by: list[str], columns: list[str], names: dict[float, str], accuracy: int = ACCURACY, more: dict[str, Column] | None = None) -> DataFrame:
+def quantiles_wide(df: DataFrame, by: list[str], columns: list[str], names: dict[float, str], accuracy: int = ACCURACY, more: dict[str, Column] | None = None, stored: bool = False) -> DataFrame:
     """One row a group, with a column ``<name>_<column>`` for each quantile (``<name>`` if there is one column), and ``more`` aggregates."""
-    long = exact_quantiles(df, by, columns, list(names), accuracy, more)
+    long = exact_quantiles(df, by, columns, list(names), accuracy, more, stored)
     pick = [F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("value"))).alias(f"{n}_{c}" if len(columns) > 1 else n) for c in columns for p, n in names.items()]
     return long.groupBy(*by).agg(*pick, *[F.first(n).alias(n) for n in more or {}])

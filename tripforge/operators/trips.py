@@ -31,6 +31,11 @@ class TripRule:
     def far_ok(self) -> Column:
         return F.col("haversine_distance_km") < self.max_km
 
+    def odd(self) -> Column:
+        """Whether one of the outlier flags is set."""
+        minutes, km = F.col("trip_duration"), F.col("haversine_distance_km")
+        return (minutes <= self.min_minutes) | (minutes >= self.max_minutes) | (km >= self.max_km) | (km <= self.min_km)
+
     def keep(self) -> Column:
         return self.duration_ok() & self.near_ok() & self.far_ok()
 
@@ -46,12 +51,17 @@ def type_trips(raw: DataFrame, keep: bool = False) -> DataFrame:
     return raw.select(*[F.col(c).try_cast(kinds.get(c, "string")).alias(c) for c in RAW], *more)
 
 
+def usable() -> Column:
+    """Whether a typed trip has both times and valid coordinates; NaN is beyond every bound."""
+    ok = F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()
+    for c, limit in (("start_lat", 90.0), ("end_lat", 90.0), ("start_lng", 180.0), ("end_lng", 180.0)):
+        ok = ok & F.col(c).between(-limit, limit)
+    return ok
+
+
 def clean_trips(raw: DataFrame, distinct: bool = False, keep: bool = False) -> DataFrame:
     """Typed trips with times and valid coordinates; ``distinct`` drops full-row repeats over all files, ``keep`` keeps columns beyond ``RAW``."""
-    needed = ["started_at", "ended_at", "start_lat", "start_lng", "end_lat", "end_lng"]
-    out = type_trips(raw, keep).na.drop(subset=needed)
-    for c, limit in (("start_lat", 90.0), ("end_lat", 90.0), ("start_lng", 180.0), ("end_lng", 180.0)):
-        out = out.where(F.col(c).between(-limit, limit))
+    out = type_trips(raw, keep).where(usable())
     return out.distinct() if distinct else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import BINARY, CATEGORIES, CONTINUOUS, DISCRETE, FEATURED, FILTERED, GENERATIVE_CATEGORICAL, GENERATIVE_CONTINUOUS, STRATA, WEATHER_VALUES
+from ..contracts import BINARY, CATEGORIES, CONTINUOUS, CYCLICAL, DISCRETE, FEATURED, FILTERED, GENERATIVE_CATEGORICAL, GENERATIVE_CONTINUOUS, STRATA, WEATHER_VALUES
 from ..functions import exprs as X
 from ..operators import enrich, evaluate, mlprep, sample, trips
 from ..operators import profile as P
@@ -471,10 +471,7 @@ def _joined(spark, d, clean: bool = True):
     rows = Q.trips_with_hour(spark, d)
     if clean:
         hour = rows.select(*trips.RAW, "weather_hour")
-        typed = hour.na.drop(subset=["started_at", "ended_at", *_PLACE])
-        for c, limit in (("start_lat", 90.0), ("end_lat", 90.0), ("start_lng", 180.0), ("end_lng", 180.0)):
-            typed = typed.where(F.col(c).between(-limit, limit))
-        keyed = trips.trip_features(typed.withColumn("rideable_type", F.struct("rideable_type", "weather_hour")))
+        keyed = trips.trip_features(hour.where(trips.usable()).withColumn("rideable_type", F.struct("rideable_type", "weather_hour")))
         rows = keyed.withColumn("weather_hour", F.col("rideable_type.weather_hour")).withColumn("rideable_type", F.col("rideable_type.rideable_type"))
     return enrich.join_many_to_one(rows, Q.weather(spark, d), ["city", "weather_hour"])
 
@@ -585,10 +582,16 @@ _FILL = ", ".join(
 _LOGGED = f"with {_JW}, {_MED}, lg as (select jw.*, {_FILL} from jw, md)"
 
 
+def _stored(spark, d, columns: list[str]):
+    """Columns of the trips with weather, computed and written once."""
+    with Scratch(spark) as own:
+        return own.keep(_joined(spark, d).select(*columns), "trips-with-weather")
+
+
 @query(f"{_LOGGED} select city, " + ", ".join(f"{_r(f'avg(l_{c})')} as {c}" for c in CONTINUOUS) + " from lg group by city", weather=True)
 def model_input_impute(spark, d):
-    rows = _joined(spark, d)
-    done = mlprep.log_skewed(mlprep.impute(rows, mlprep.fit_medians(rows)))
+    rows = _stored(spark, d, ["city", *CONTINUOUS])
+    done = mlprep.log_skewed(mlprep.impute(rows, mlprep.fit_medians(rows, stored=True)))
     return done.groupBy("city").agg(*[X.rounded(F.avg(c)).alias(c) for c in CONTINUOUS])
 
 
@@ -597,8 +600,8 @@ _SC = "sc as (select " + ", ".join(f"avg(l_{c}) as a_{c}, coalesce(nullif(stddev
 
 @query(f"{_LOGGED}, {_SC} select city, " + ", ".join(f"{_r(f'avg((l_{c} - a_{c}) / s_{c})')} as {c}" for c in CONTINUOUS) + " from lg, sc group by city", weather=True)
 def model_input_scaled(spark, d):
-    rows = _joined(spark, d)
-    medians, scaler = mlprep.fit_scaling(rows)
+    rows = _stored(spark, d, ["city", *CONTINUOUS])
+    medians, scaler = mlprep.fit_scaling(rows, stored=True)
     done = mlprep.scale(mlprep.log_skewed(mlprep.impute(rows, medians)), scaler)
     return done.groupBy("city").agg(*[X.rounded(F.avg(c)).alias(c) for c in CONTINUOUS])
 
@@ -608,7 +611,8 @@ _HOT = [(f"{c}_{v}", f"count_if({c} = '{v}')") for c, values in CATEGORIES.items
 
 @query(f"with {_JW} select count(*) as n, " + ", ".join(f"{e}::bigint as {n}" for n, e in _HOT) + ", " + ", ".join(f"sum(coalesce({c}, 0))::bigint as {c}" for c in [*DISCRETE, *BINARY]) + " from jw", weather=True)
 def model_input_onehot(spark, d):
-    table, _ = mlprep.model_input(_joined(spark, d))
+    rows = _stored(spark, d, [*CATEGORIES, *DISCRETE, *BINARY, *CYCLICAL, *CONTINUOUS])
+    table, _ = mlprep.model_input(rows, stored=True)
     return table.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in [*(n for n, _ in _HOT), *DISCRETE, *BINARY]])
 
 
@@ -683,7 +687,8 @@ _DUMMIES = [f"{c}_{v}" for c, values in (("member_casual", ("casual", "member"))
 @query("select city, " + ", ".join(f"count_if({c[:13] if c.startswith('r') else 'member_casual'} = '{c[14:]}')::bigint as {c}" for c in _DUMMIES) + " from c group by city")
 def free_dummies(spark, d):
     """0/1 columns of whatever values two text columns take, the same for every city."""
-    rows = trips.clean_trips(Q.raw_trips(spark, d)).select("city", "member_casual", "rideable_type")
+    with Scratch(spark) as own:
+        rows = own.keep(trips.clean_trips(Q.raw_trips(spark, d)).select("city", "member_casual", "rideable_type"), "three-columns")
     domains = mlprep.free_domains([rows], ["member_casual", "rideable_type"])
     coded = mlprep.one_hot(rows, domains)
     return coded.groupBy("city").agg(*[F.sum(c).alias(c) for c in coded.columns if c != "city"])

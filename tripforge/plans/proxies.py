@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import WEATHER
 from ..functions import exprs as X
 from ..operators.trips import clean_trips, filter_trips, trip_features
+from ..session import limit_methods
 
 CITY = {"F": "chicago", "O": "nyc", "P": "london"}
 
@@ -25,11 +26,12 @@ def _named(column: str, names: dict[str, str]):
 
 def raw_trips(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
     """The trip proxy; ``more`` names further columns to keep."""
+    limit_methods(spark)
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     s = F.pmod(F.col("o_orderkey") * 7919 + F.col("l_partkey") * 104729, F.lit(86400))
     d = F.pmod(F.col("l_partkey") * 37 + F.col("l_suppkey") * 11 + F.col("l_linenumber") * 13, F.lit(7200))
     e = F.pmod(F.col("l_suppkey") + F.pmod("l_partkey", F.lit(12)), F.lit(100))
-    seconds = lambda n: F.make_dt_interval(secs=n.cast("decimal(18,6)"))
+    seconds = lambda n: F.expr("interval '1' second") * n
     sup = F.col("l_suppkey")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _named("l_returnflag", {"N": "classic_bike", "R": "electric_bike", "A": "docked_bike"}).alias("rideable_type"),
@@ -80,7 +82,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trips_with_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncleaned trips keyed into the 30 days that the weather covers."""
     seconds = F.pmod(F.col("o_orderkey") * 7919 + F.col("l_partkey") * 104729, F.lit(2592000))
-    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.expr("interval '1' second") * seconds
     rows = raw_trips(spark, sf_dir, ("o_orderkey", "l_partkey"))
     return rows.withColumn("weather_hour", X.floor_hour(at)).drop("o_orderkey", "l_partkey")
 
