@@ -61,3 +61,48 @@ def test_templated_texts_are_told_apart_by_their_signatures(spark, monkeypatch):
         groups.setdefault(to, set()).add(root)
     assert sorted(map(sorted, groups.values())) == [[k, n + i] for i, k in enumerate(range(0, 60, 3))]
     assert sum(tested) <= 0.06 * n * (n - 1) / 2
+
+
+def test_copies_of_one_text_are_joined_by_it_and_not_by_their_pairs(spark, monkeypatch):
+    draw, n = random.Random(11), 300
+    words = [f"t{k}" for k in range(150)]
+    texts = []
+    for k in range(n):
+        text = list(words)
+        for i in draw.sample(range(len(text)), 2 + k % 3):
+            text[i] = f"o{draw.randint(0, 10**6)}"
+        texts.append(" ".join(text))
+    texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(8)
+    tested, verify = [], N._verified
+
+    def counted(pairs, texts):
+        tested.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(N, "_verified", counted)
+    merged = {r.root: r.merged for r in N.near_copy_roots(rows, rows.select("key", F.col("key").alias("root"))).collect()}
+    sets = [set(N.shingles([t.encode()])[0].tolist()) for t in texts]
+    want = list(range(n + 1))
+    for a in range(n + 1):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= N.SIMILAR * len(sets[a] | sets[b]) - 1e-9:
+                want = [want[b] if w == want[a] else w for w in want]
+    got = [merged.get(k, k) for k in range(n + 1)]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    assert tested[-1] <= n, tested
+
+
+def test_parities_never_differ_more_than_the_shingles(spark):
+    draw, rows = random.Random(5), []
+    for i in range(300):
+        n = draw.choice([1, 10, 150, 3000])
+        both = [draw.getrandbits(64) for _ in range(n)]
+        own = [[draw.getrandbits(64) for _ in range(int(n * draw.choice([0, 0.11, 0.12, 0.2])))] for _ in "ab"]
+        a, b = (np.unique(np.array(both + o, np.uint64)) for o in own)
+        similar = n / (n + len(own[0]) + len(own[1])) >= N.SIMILAR
+        rows.append((i, N.parities(a).tolist(), N.parities(b).tolist(), len(a), len(b), similar))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, na int, nb int, similar boolean")
+    kept = df.select("similar", "na", N.may_be_similar(F.col("a"), F.col("b"), F.col("na"), F.col("nb")).alias("kept")).collect()
+    assert all(r.kept for r in kept if r.similar) and sum(r.similar for r in kept) >= 100
+    assert not all(r.kept for r in kept if not r.similar and r.na < 1000)
