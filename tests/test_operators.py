@@ -313,3 +313,19 @@ def test_a_stored_table_is_not_written_again(spark, tmp_path, monkeypatch):
     assert mlprep.fit_medians(table, ["a", "b"], stored=True) == {"a": 50.0, "b": 25.0}
     assert "quantile-rows" not in names
     assert mlprep.fit_medians(table, ["a", "b"]) == {"a": 50.0, "b": 25.0} and "quantile-rows" in names
+
+
+def test_forest_is_fitted_on_all_cores_at_once(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = spark.range(0, 400, 1, 1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3.0).alias("y"))
+    dealt, fit = [], RandomForestRegressor.fit
+
+    def counted(self, df):
+        dealt.append(df.rdd.glom().map(len).collect())
+        return fit(self, df)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", counted)
+    scores = evaluate.forest_utility(rows, rows, ["x"], label="y", trees=3, depth=4).first()
+    assert scores.r2 > 0.95
+    assert len(dealt[0]) == spark.sparkContext.defaultParallelism and sum(dealt[0]) == 400 and min(dealt[0]) >= 50
