@@ -93,9 +93,9 @@ def forest_utility(train: DataFrame, test: DataFrame, features: list[str], label
     return regression_scores(model.transform(assembler.transform(number(test))), label, "prediction")
 
 
-def binned_forest_utility(train: DataFrame, test: DataFrame, features: list[str], label: str = "trip_duration", trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
+def binned_forest_utility(train: DataFrame, test: DataFrame, features: list[str], label: str = "trip_duration", trees: int = 100, depth: int = 10, seed: int = 42, stored: bool = False) -> DataFrame:
     """The same by a forest of bounded depth that is grown in passes over binned rows (``forest``), for large tables."""
-    model = fit_forest(train, features, label, trees, depth, seed)
+    model = fit_forest(train, features, label, trees, depth, seed, stored=stored)
     return regression_scores(model.predict(test, "__prediction"), label, "__prediction")
 
 

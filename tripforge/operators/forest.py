@@ -29,7 +29,7 @@ from ..sources.scratch import Scratch
 
 BINS = 32
 #: Rows of a block, rows that are counted at a time, and the most values of features that are counted together.
-BLOCK, CHUNK, PACKED = 5000, 1 << 16, 64
+BLOCK, CHUNK, PACKED = 5000, 1 << 17, 64
 #: Bytes of sums that a task holds; trees beyond that are grown in further passes.
 MEMORY = 256 << 20
 #: Depth of the trees at most: each level holds sums for all of its places.
@@ -37,19 +37,20 @@ DEEPEST = 14
 #: Gain, as a share of what it is the difference of, that is rounding.
 NOTHING = 1e-12
 _CDF = np.cumsum([exp(-1) / factorial(k) for k in range(20)])
-#: Poisson(1) counts of the 65,536 equal slices of [0, 1), and the slices in which the count changes.
-_COUNTS = np.searchsorted(_CDF, np.arange(65536) / 65536, side="right").astype(np.uint8)
-_MIXED = _COUNTS != np.searchsorted(_CDF, np.arange(1, 65537) / 65536, side="left")
+#: Poisson(1) counts of the 65,536 equal slices of [0, 1); ``MIXED`` where the count changes within the slice.
+_LEAST, _MOST = np.searchsorted(_CDF, np.arange(65536) / 65536, side="right"), np.searchsorted(_CDF, np.arange(1, 65537) / 65536, side="left")
+MIXED = 255
+_COUNTS = np.where(_LEAST == _MOST, _LEAST, MIXED).astype(np.uint8)
 
 
 def bootstrap(seed: int, block: int, trees: int, rows: int) -> np.ndarray:
     """How often each tree takes each row of a block: Poisson(1) numbers, the same whenever they are asked for."""
     rng = np.random.Generator(np.random.PCG64([seed, block]))
-    draws = rng.integers(0, 65536, (trees, rows), np.uint16)
-    counts = _COUNTS[draws]
-    mixed = np.nonzero(_MIXED[draws])
-    counts[mixed] = np.searchsorted(_CDF, (draws[mixed] + rng.random(len(mixed[0]))) / 65536, side="right")
-    return counts
+    draws = rng.integers(0, 65536, trees * rows, np.uint16)
+    counts = _COUNTS.take(draws)
+    mixed = np.flatnonzero(counts == MIXED)
+    counts[mixed] = np.searchsorted(_CDF, (draws[mixed] + rng.random(len(mixed))) / 65536, side="right")
+    return counts.reshape(trees, rows)
 
 
 def known(features: list[str]):
@@ -57,10 +58,13 @@ def known(features: list[str]):
     return reduce(and_, [F.col(f"`{c}`").isNotNull() & ~F.isnan(f"`{c}`") for c in features])
 
 
-def bounds_of_bins(rows: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """For each feature the bounds between its bins; a value at a bound lies below it."""
+def bounds_of_bins(rows: DataFrame, features: list[str], label: str, bins: int = BINS) -> tuple[list[np.ndarray], float]:
+    """For each feature the bounds between its bins, where a value at a bound lies below it, and the label's mean."""
     name = {c: f"c{k}" for k, c in enumerate(features)}
-    about = rows.agg(*[F.approx_count_distinct(f"`{c}`").alias(n) for c, n in name.items()]).first()
+    y = F.col(f"`{label}`")
+    about = rows.agg(F.avg(y).alias("mean"), F.count_if(y.isNull() | F.isnan(y)).alias("unknown"), *[F.approx_count_distinct(f"`{c}`").alias(n) for c, n in name.items()]).first()
+    if about.unknown or about.mean is None:
+        raise ContractError(f"{about.unknown} rows have no {label}" if about.unknown else "no rows to fit a forest on")
     few = {c for c, n in name.items() if about[n] <= 2 * bins}
     steps = [i / bins for i in range(1, bins)]
     found = rows.agg(*[(F.collect_set(f"`{c}`") if c in few else F.percentile_approx(f"`{c}`", steps, 10_000)).alias(n) for c, n in name.items()]).first()
@@ -72,7 +76,7 @@ def bounds_of_bins(rows: DataFrame, features: list[str], bins: int = BINS) -> li
         elif c in few:
             values = values[:-1] + np.diff(values) / 2
         bounds.append(values)
-    return bounds
+    return bounds, about.mean
 
 
 def packs(sizes: list[int], most: int = PACKED) -> list[list[int]]:
@@ -163,7 +167,7 @@ def _counted(batches, forest: Forest, groups: list[list[int]], trees: range, of:
         y, flat, n = np.concatenate(ys), bins.ravel(), bins.shape[1]
         codes = [np.ravel_multi_index([bins[f] for f in g], [sizes[f] for f in g]).astype(np.uint8 if s <= 256 else np.uint32) for g, s in zip(groups, spans)]
         for t in trees:
-            rows = np.flatnonzero(taken[t])
+            rows = np.flatnonzero(taken[t] != 0)
             parent = np.zeros(len(rows), np.intp)
             if counted is not None:
                 node = forest.place(t, flat, n, rows)
@@ -253,17 +257,15 @@ def _best(batches, sizes: list[int], counted: np.ndarray | None, last: bool):
         yield pa.RecordBatch.from_pydict({"tree": [t], "whole": [True], "sums": [b"" if last else sums.tobytes()], "feature": [feature.tobytes()], "cut": [cut.tobytes()], "weights": [weights.tobytes()], "means": [means.tobytes()]})
 
 
-def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42, bins: int = BINS) -> Forest:
-    """A forest fitted on all rows of ``train`` whose features are known."""
+def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42, bins: int = BINS, stored: bool = False) -> Forest:
+    """A forest fitted on all rows of ``train`` whose features are known; they are written once unless they come from a ``stored`` table."""
     if depth > DEEPEST or bins > 256:
         raise ContractError(f"forests here are at most {DEEPEST} levels deep and have at most 256 bins a feature")
     spark = train.sparkSession
     with Scratch(spark) as own:
-        rows = own.write(numbers(train, features, label).where(known(features)), "training-rows")
-        about = rows.agg(F.avg(label), F.count_if(F.col(f"`{label}`").isNull() | F.isnan(f"`{label}`"))).first()
-        if about[1] or about[0] is None:
-            raise ContractError(f"{about[1]} rows have no {label}" if about[1] else "no rows to fit a forest on")
-        forest = Forest(features, label, bounds_of_bins(rows, features, bins), about[0])
+        rows = numbers(train, features, label).where(known(features))
+        rows = rows if stored else own.write(rows, "training-rows")
+        forest = Forest(features, label, *bounds_of_bins(rows, features, label, bins))
         sizes = [len(b) + 1 for b in forest.bounds]
         groups, cores = packs(sizes), spark.sparkContext.defaultParallelism
         blocks = own.hold(own.write(_blocks(rows, forest), "blocks").repartition(cores))

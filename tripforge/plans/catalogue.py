@@ -669,7 +669,7 @@ def utility_rf(spark, d):
     split = sample.stratified_split(own_rows, ["month", "is_weekend"])
     test = split.where("split = 'test'")
     own = evaluate.binned_forest_utility(split.where("split = 'train'"), test, features, depth=UTILITY_DEPTH)
-    tstr = evaluate.binned_forest_utility(other_rows, test, features, depth=UTILITY_DEPTH)
+    tstr = evaluate.binned_forest_utility(other_rows, test, features, depth=UTILITY_DEPTH, stored=True)
     both = own.withColumnsRenamed({"r2": "trtr_r2", "mae": "trtr_mae"}).crossJoin(F.broadcast(tstr.withColumnsRenamed({"r2": "tstr_r2", "mae": "tstr_mae"})))  # one row each
     gap = F.col("trtr_r2") - F.col("tstr_r2")
     return both.withColumn("transfer_gap", X.rounded(gap, 4)).withColumn("label", evaluate.gap_label(gap))
