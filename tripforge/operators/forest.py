@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..contracts import ContractError
 from ..sources.scratch import Scratch
 
-BINS = 32
+#: Bins of a feature, and the accuracy of the quantiles between them: ranks are off by at most one in so many.
+BINS, RANKS = 32, 1000
 #: Rows of a block, rows that are counted at a time, and the most values of features that are counted together.
 BLOCK, CHUNK, PACKED = 5000, 1 << 17, 64
 #: Bytes of sums that a task holds; trees beyond that are grown in further passes.
@@ -67,12 +68,12 @@ def bounds_of_bins(rows: DataFrame, features: list[str], label: str, bins: int =
         raise ContractError(f"{about.unknown} rows have no {label}" if about.unknown else "no rows to fit a forest on")
     few = {c for c, n in name.items() if about[n] <= 2 * bins}
     steps = [i / bins for i in range(1, bins)]
-    found = rows.agg(*[(F.collect_set(f"`{c}`") if c in few else F.percentile_approx(f"`{c}`", steps, 10_000)).alias(n) for c, n in name.items()]).first()
+    found = rows.agg(*[(F.collect_set(f"`{c}`") if c in few else F.percentile_approx(f"`{c}`", steps, RANKS)).alias(n) for c, n in name.items()]).first()
     bounds = []
     for c, n in name.items():
         values = np.unique(np.array(found[n] or [], float))
         if c in few and len(values) > bins:
-            values = np.unique(np.array(rows.agg(F.percentile_approx(f"`{c}`", steps, 10_000)).first()[0], float))
+            values = np.unique(np.array(rows.agg(F.percentile_approx(f"`{c}`", steps, RANKS)).first()[0], float))
         elif c in few:
             values = values[:-1] + np.diff(values) / 2
         bounds.append(values)
